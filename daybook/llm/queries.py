@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, pii, simhash
+from . import bpe, exact_dedup, line_dedup, packing, pii, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_pii": pii.op3_pii,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_simhash": simhash.op6_simhash,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
