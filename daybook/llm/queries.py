@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing, pii, simhash
+from . import bpe, exact_dedup, line_dedup, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_quality": quality.op8_quality,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
