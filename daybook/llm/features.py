@@ -23,23 +23,31 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def words_and_sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(hash of each word, the number of its sentence, byte bounds of the sentences); words of 64 bytes and more are hashed by their bytes modulo position 64."""
+#: Beginnings of words that are features beside the whole words, in bytes.
+PREFIXES = (4, 5, 6, 7, 9)
+
+
+def words_and_sentences(text: str | None, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(hashes of each word and its beginnings, the numbers of their sentences, byte bounds of the sentences)."""
     b = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
     if not len(b):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), []
-    inside = _WORD[b]
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    edge = np.diff(np.concatenate([[False], _WORD[b], [False]]).astype(np.int8))
     starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     stops = np.append(np.nonzero(_STOP[b])[0] + 1, len(b))
     bounds = list(zip([0, *stops[:-1].tolist()], stops.tolist()))
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), bounds
     n = ends - starts
-    at = np.flatnonzero(inside)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    h = np.add.reduceat((b[at].astype(np.uint64) + np.uint64(1)) * _POWERS[step & 63], np.cumsum(n) - n)
-    return _mix(h + n.astype(np.uint64)), np.searchsorted(stops, starts, side="right"), bounds
+    step = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b)))) if not starts[0] else np.arange(len(b)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(b)]])))
+    so_far = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[step & 63])])
+    sentence = np.searchsorted(stops, starts, side="right")
+    ids, places = [_mix(so_far[ends] - so_far[starts] + n.astype(np.uint64))], [sentence]
+    for k in prefixes:
+        long = n > k
+        ids.append(_mix(so_far[starts[long] + k] - so_far[starts[long]] + np.uint64(k * 7_654_321)))
+        places.append(sentence[long])
+    return np.concatenate(ids), np.concatenate(places), bounds
 
 
 def grams(text: str | None, size: int = 3) -> np.ndarray:
@@ -58,7 +66,7 @@ def grams(text: str | None, size: int = 3) -> np.ndarray:
 def shape(text: str | None) -> np.ndarray:
     """Hashes of the text's measures in steps, one for each measure."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    words, sentence, bounds = words_and_sentences(text)
+    words, _, bounds = words_and_sentences(text, ())
     n = max(1, len(raw))
     signs = np.count_nonzero((raw > 32) & (raw < 128) & ~_WORD[raw]) / n
     distinct = len(np.unique(words)) / max(1, len(words))

@@ -112,6 +112,21 @@ def classify(docs: DataFrame, model: CumulativeLink, least_grade: int = 1, enoug
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, expected_grade double, p_tail double, kept boolean")
 
 
+def keep_good(docs: DataFrame, model: CumulativeLink, least_grade: int = 1, enough: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that ``classify`` keeps."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            tails = m.tails(np.array([m.score(t) for t in b.column("text").to_pylist()]))
+            ok = tails[:, least_grade - 1] >= enough if tails.shape[1] >= least_grade else np.ones(len(tails), bool)
+            yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ratings_of(labels: DataFrame) -> DataFrame:
     """Grades from the labels: 0 bad, 1 readable but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)

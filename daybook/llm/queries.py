@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing, pii, quality, simhash, toxicity
+from . import bpe, embed_dedup, exact_dedup, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_pii": pii.op3_pii,
+        "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -19,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_url_filter": url_filter.SQL,
+        "op4_embedding_dedup": embed_dedup.SQL,
+        "op5_line_dedup": line_dedup.SQL,
+        "op10_exact_dedup": exact_dedup.SQL,
+    }

@@ -31,6 +31,7 @@ def held(doc_id):
 class NoisyOr:
     def __init__(self, bias: float = -6.0):
         self.w, self.bias = np.zeros(1 << BITS, np.float32), bias
+        self.slope, self.shift = 1.0, 0.0
 
     def sentences(self, words: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         """log(1 - p) of n sentences, summed over the words of each; words count once per occurrence."""
@@ -39,7 +40,24 @@ class NoisyOr:
 
     def score(self, text: str | None) -> float:
         words, sentence, bounds = words_and_sentences(text)
-        return float(-np.expm1(self.sentences(words, sentence, max(1, len(bounds))).sum()))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(words, sentence, max(1, len(bounds))) + self.shift, -40, 40))))
+
+    def log_odds(self, words: np.ndarray, sentence: np.ndarray, n: int) -> float:
+        """Of the noisy-or over all sentences."""
+        clear = self.sentences(words, sentence, n).sum()
+        return float(np.log(np.maximum(-np.expm1(clear), 1e-300)) - clear)
+
+    def calibrate(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> NoisyOr:
+        """Fits slope and shift of the documents' log odds on labelled documents that training did not see, by Newton's method."""
+        x = np.array([self.log_odds(w, s, int(s.max()) + 1 if len(s) else 1) for w, s in bags])
+        x = np.stack([np.clip(x, -12, 12), np.ones(len(x))], axis=1)
+        theta = np.array([1.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ theta))
+            theta -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag([0.01, 0.01]), x.T @ (p - toxic) + 0.01 * (theta - [1.0, 0.0]))
+        if theta[0] > 0:
+            self.slope, self.shift = map(float, theta)
+        return self
 
     def offending(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
         """Byte bounds and probability of the sentences with at least ``least``."""
@@ -47,30 +65,37 @@ class NoisyOr:
         p = -np.expm1(self.sentences(words, sentence, max(1, len(bounds))))
         return [(*bounds[i], float(p[i])) for i in np.flatnonzero(p >= least) if bounds]
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 100, rate: float = 0.3, decay: float = 2e-6) -> NoisyOr:
-        """Full-batch AdaGrad on the documents' likelihood; the gradient reaches a sentence by its share in the noisy-or."""
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 300, rate: float = 1.0, least_docs: int = 4) -> NoisyOr:
+        """Full-batch gradient descent with momentum on the documents' likelihood.
+
+        The gradient reaches a sentence by its share in the noisy-or. A feature's step is its summed
+        gradient over the root of the number of documents that have it, so features that recur learn
+        before those that could only memorise single documents; those in fewer than ``least_docs`` stay 0.
+        """
         n = len(bags)
         sizes = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])
         first = np.cumsum(sizes) - sizes
-        sent = np.concatenate([s + f for (_, s), f in zip(bags, first)])
         doc = np.repeat(np.arange(n), sizes)
+        kept_in = np.bincount(np.concatenate([np.unique(w) for w, _ in bags]), minlength=1 << BITS)
+        bags = [(w[ok], s[ok] + f) for (w, s), f in zip(bags, first) for ok in [kept_in[w] >= least_docs]]
         used, col = np.unique(np.concatenate([w for w, _ in bags]), return_inverse=True)
-        w, gw, bias, gb = np.zeros(len(used)), np.full(len(used), 1e-8), self.bias, 1e-8
+        sent = np.concatenate([s for _, s in bags])
+        w, speed, scale, bias = np.zeros(len(used)), np.zeros(len(used)), rate / np.sqrt(kept_in[used]), self.bias
         total = int(sizes.sum())
         for _ in range(rounds):
             z = bias + np.bincount(sent, w[col], minlength=total)
             clear = np.bincount(doc, -np.logaddexp(0, z), minlength=n)
             odds = np.where(toxic, -np.exp(clear) / np.maximum(-np.expm1(clear), 1e-9), 1.0)
-            dz = odds[doc] / (1 + np.exp(-np.clip(z, -40, 40))) / n
-            g = np.bincount(col, dz[sent], minlength=len(used)) + decay * w
-            gw, gb = gw + g * g, gb + dz.sum() ** 2
-            w -= rate * g / np.sqrt(gw)
-            bias = min(-3.0, bias - rate * dz.sum() / np.sqrt(gb) / 10)
-        self.w[used], self.bias = w, bias
+            dz = odds[doc] / (1 + np.exp(-np.clip(z, -40, 40)))
+            g = np.bincount(col, dz[sent], minlength=len(used)) + 0.01 * w
+            speed = 0.8 * speed - np.clip(scale * g, -0.3, 0.3)
+            w += np.clip(speed, -0.6, 0.6)
+            bias = min(-4.0, bias - np.clip(0.02 * dz.sum() / np.sqrt(n), -0.1, 0.1))
+        self.w[used], self.bias = w, float(bias)
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> NoisyOr:
     """Documents with labels (doc_id, toxic) that aren't held out, about ``bound`` of them by a hash of doc_id."""
 
     def run(batches):
@@ -83,7 +108,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> NoisyOr:
     rows = gathered(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text"), run, "toxic int, words array<int>, sentences array<int>")
     model = NoisyOr()
     if any(r[0] for r in rows):
-        model.fit([(np.array(r[1], np.int64), np.array(r[2], np.int64)) for r in rows], np.array([r[0] == 1 for r in rows]))
+        bags = [(np.array(r[1], np.int64), np.array(r[2], np.int64)) for r in rows]
+        toxic, late = np.array([r[0] == 1 for r in rows]), np.arange(len(rows)) % 5 == 4
+        model.fit([b for b, x in zip(bags, late) if not x], toxic[~late])
+        if toxic[late].any():
+            model.calibrate([b for b, x in zip(bags, late) if x], toxic[late])
     return model
 
 
