@@ -24,7 +24,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 #: Beginnings of words that are features beside the whole words, in bytes.
-PREFIXES = (4, 5, 6, 7, 9)
+PREFIXES = (4, 5, 6, 8)
 
 
 def words_and_sentences(text: str | None, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:

@@ -53,7 +53,7 @@ class NoisyOr:
         x = np.stack([np.clip(x, -12, 12), np.ones(len(x))], axis=1)
         theta = np.array([1.0, 0.0])
         for _ in range(30):
-            p = 1 / (1 + np.exp(-x @ theta))
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
             theta -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag([0.01, 0.01]), x.T @ (p - toxic) + 0.01 * (theta - [1.0, 0.0]))
         if theta[0] > 0:
             self.slope, self.shift = map(float, theta)
@@ -65,7 +65,16 @@ class NoisyOr:
         p = -np.expm1(self.sentences(words, sentence, max(1, len(bounds))))
         return [(*bounds[i], float(p[i])) for i in np.flatnonzero(p >= least) if bounds]
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 300, rate: float = 1.0, least_docs: int = 4) -> NoisyOr:
+    @staticmethod
+    def _part(bags: list, toxic: np.ndarray) -> tuple:
+        """(feature, its sentence, the sentence's document, the documents' labels) of some documents; features below 0 are left out."""
+        sizes = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])
+        first = np.cumsum(sizes) - sizes
+        col = np.concatenate([w[w >= 0] for w, _ in bags])
+        sent = np.concatenate([s[w >= 0] + f for (w, s), f in zip(bags, first)]).astype(np.int32)
+        return col, sent, np.repeat(np.arange(len(bags)), sizes), toxic
+
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 300, rate: float = 1.0, least_docs: int = 4, chunk: int = 500) -> NoisyOr:
         """Full-batch gradient descent with momentum on the documents' likelihood.
 
         The gradient reaches a sentence by its share in the noisy-or. A feature's step is its summed
@@ -73,42 +82,44 @@ class NoisyOr:
         before those that could only memorise single documents; those in fewer than ``least_docs`` stay 0.
         """
         n = len(bags)
-        sizes = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])
-        first = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.arange(n), sizes)
-        kept_in = np.bincount(np.concatenate([np.unique(w) for w, _ in bags]), minlength=1 << BITS)
-        bags = [(w[ok], s[ok] + f) for (w, s), f in zip(bags, first) for ok in [kept_in[w] >= least_docs]]
-        used, col = np.unique(np.concatenate([w for w, _ in bags]), return_inverse=True)
-        sent = np.concatenate([s for _, s in bags])
+        kept_in = np.zeros(1 << BITS, np.int64)
+        for w, _ in bags:
+            kept_in[np.unique(w)] += 1
+        used = np.flatnonzero(kept_in >= least_docs)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        parts = [self._part([(place[w], s) for w, s in bags[i : i + chunk]], toxic[i : i + chunk]) for i in range(0, n, chunk)]
         w, speed, scale, bias = np.zeros(len(used)), np.zeros(len(used)), rate / np.sqrt(kept_in[used]), self.bias
-        total = int(sizes.sum())
         for _ in range(rounds):
-            z = bias + np.bincount(sent, w[col], minlength=total)
-            clear = np.bincount(doc, -np.logaddexp(0, z), minlength=n)
-            odds = np.where(toxic, -np.exp(clear) / np.maximum(-np.expm1(clear), 1e-9), 1.0)
-            dz = odds[doc] / (1 + np.exp(-np.clip(z, -40, 40)))
-            g = np.bincount(col, dz[sent], minlength=len(used)) + 0.01 * w
+            g, gb = 0.01 * w, 0.0
+            for col, sent, doc, label in parts:
+                z = bias + np.bincount(sent, w[col], minlength=len(doc))
+                clear = np.bincount(doc, -np.logaddexp(0, z), minlength=len(label))
+                odds = np.where(label, -np.exp(clear) / np.maximum(-np.expm1(clear), 1e-9), 1.0)
+                dz = odds[doc] / (1 + np.exp(-np.clip(z, -40, 40)))
+                g += np.bincount(col, dz[sent], minlength=len(used))
+                gb += dz.sum()
             speed = 0.8 * speed - np.clip(scale * g, -0.3, 0.3)
             w += np.clip(speed, -0.6, 0.6)
-            bias = min(-4.0, bias - np.clip(0.02 * dz.sum() / np.sqrt(n), -0.1, 0.1))
+            bias = min(-4.0, bias - np.clip(0.02 * gb / np.sqrt(n), -0.1, 0.1))
         self.w[used], self.bias = w, float(bias)
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 7000) -> NoisyOr:
     """Documents with labels (doc_id, toxic) that aren't held out, about ``bound`` of them by a hash of doc_id."""
 
     def run(batches):
         for b in batches:
             bags = [words_and_sentences(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _, _ in bags], pa.list_(pa.int32())), pa.array([s.astype(np.int32) for _, s, _ in bags], pa.list_(pa.int32()))], ["toxic", "words", "sentences"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.astype("<i4").tobytes() for w, _, _ in bags], pa.binary()), pa.array([s.astype("<i4").tobytes() for _, s, _ in bags], pa.binary())], ["toxic", "words", "sentences"])
 
     seen = labels.where("toxic is not null and doc_id is not null").where(~held(F.col("doc_id")))
     chosen = sample_of(seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), bound)
-    rows = gathered(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text"), run, "toxic int, words array<int>, sentences array<int>")
+    rows = gathered(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text"), run, "toxic int, words binary, sentences binary")
     model = NoisyOr()
     if any(r[0] for r in rows):
-        bags = [(np.array(r[1], np.int64), np.array(r[2], np.int64)) for r in rows]
+        bags = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4")) for r in rows]
         toxic, late = np.array([r[0] == 1 for r in rows]), np.arange(len(rows)) % 5 == 4
         model.fit([b for b, x in zip(bags, late) if not x], toxic[~late])
         if toxic[late].any():
