@@ -49,9 +49,12 @@ class CumulativeLink:
 
     def fit(self, ids: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 1e-5) -> CumulativeLink:
         """Full-batch AdaGrad on the likelihood of the grades, which is a difference of neighbouring tails."""
-        row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
         col, val = np.concatenate(ids), np.concatenate(values)
-        used, col = np.unique(col, return_inverse=True)
+        seen = np.zeros(1 << BITS, bool)
+        seen[col] = True
+        used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+        col = place[col]
         w, cuts = np.zeros(len(used)), self.cuts
         gw, gc = np.full(len(used), 1e-8), np.full(len(cuts), 1e-8)
         k, n = len(cuts), len(ids)
@@ -75,20 +78,20 @@ class CumulativeLink:
         return float(self.w[ids] @ values)
 
 
-def train(docs: DataFrame, ratings: DataFrame, bound: int = 6000) -> CumulativeLink:
+def train(docs: DataFrame, ratings: DataFrame, bound: int = 5000) -> CumulativeLink:
     """ratings (doc_id, grade 0..) joined to docs; about ``bound`` rated documents train the model. Null grades and texts without rating are left out."""
 
     def run(batches):
         for b in batches:
             both = [vector(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([v for _, v in both], pa.list_(pa.float32()))], ["grade", "ids", "vals"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in both], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in both], pa.binary())], ["grade", "ids", "vals"])
 
     chosen = sample_of(ratings.where("grade is not null and doc_id is not null").select("doc_id", "grade"), bound)
-    rows = gathered(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("grade").cast("int"), "text"), run, "grade int, ids array<int>, vals array<float>")
+    rows = gathered(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("grade").cast("int"), "text"), run, "grade int, ids binary, vals binary")
     top = max((r[0] for r in rows), default=0)
     model = CumulativeLink(top + 1)
     if rows and top:
-        model.fit([np.array(r[1], np.int64) for r in rows], [np.array(r[2]) for r in rows], np.array([r[0] for r in rows]))
+        model.fit([np.frombuffer(r[1], "<i4") for r in rows], [np.frombuffer(r[2], "<f4") for r in rows], np.array([r[0] for r in rows]))
     return model
 
 
