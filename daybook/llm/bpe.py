@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,16 @@ class Codec:
         return self._gather(self.decimal, ids)[:-1]
 
 
+_codec: list = [None, None]
+
+
+def codec_of(run_id: str, shared) -> Codec:
+    """The codec of a run, kept by a worker process from task to task, with what it remembers; only the latest run's."""
+    if _codec[0] != run_id:
+        _codec[:] = [run_id, Codec(*shared.value)]
+    return _codec[1]
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False) -> DataFrame:
     """doc_id, text -> doc_id, ids array<int>, decoded binary; with ``digests``, n_tokens and two SHA-256 instead.
 
@@ -193,9 +204,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
     ranks = read_ranks(vocabulary)
     shared = spark.sparkContext.broadcast((ranks, pattern, PerfectHash(list(ranks))))
     bounded_batches(spark)
+    run_id = uuid.uuid4().hex
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = codec_of(run_id, shared)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             a, c, d = [], [], []
