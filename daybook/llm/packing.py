@@ -236,7 +236,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024,
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
-def pack(cut: DataFrame, capacity: int = 1024, block: int = 4096, nodes: int = 100) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 1024, block: int = 512, nodes: int = 100) -> DataFrame:
     """Pieces (with length) -> the same rows plus sequence_id and offset.
 
     The driver gets the histogram alone. Ranks within a length are counted in blocks of about
