@@ -6,8 +6,10 @@ SimHash, so the few bits of ``simhash.near_groups`` miss most of them. Here thre
 two bits or fewer (or in three that decode alike), and then shares a codeword of the Golay code
 with its counterpart. A codeword alone has 12 bits, too few for a large corpus, so each key joins
 it with the smallest of the shingles' hashes under one of several orders, which similar texts share
-as often as they are similar. Candidates of a bucket are paired with their nearest earlier one, and
-every such pair is verified by the whole sets of shingles.
+as often as they are similar. Members of a bucket are first paired with their nearest earlier one,
+and every such pair is verified by the whole sets of shingles. Then every pair of a bucket within
+``FAR`` bits that these links have not connected is verified too; large buckets are compared block
+by block in tasks of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ ROLES = WORDS * len(SEGMENTS)
 FAR = 18
 #: Members of a bucket that are compared at once.
 CHUNK = 2048
+#: Buckets with more members than this are compared block by block; about the members of a block.
+BLOCK = 1024
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -101,8 +105,28 @@ def nearest(nodes: np.ndarray, fps: np.ndarray, far: int = FAR, chunk: int = CHU
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(uniq: DataFrame) -> DataFrame:
-    """node, sketch binary -> distinct candidate pairs (a, b)."""
+def whole_groups(batches):
+    """The columns of batches sorted by the first one, cut where it changes."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = [np.asarray(c) for c in b.columns]
+        k = part[0]
+        if k[0] == k[-1] and (not held or held[-1][0][-1] == k[0]):
+            held.append(part)
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, part)]
+        cut = np.searchsorted(whole[0], k[-1])
+        held = [[c[cut:] for c in whole]]
+        if cut:
+            yield [c[:cut] for c in whole]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def met_in_buckets(uniq: DataFrame) -> DataFrame:
+    """node, sketch binary -> key, a, b: pairs (a, b) of near nodes where key is null; else the members (node, fp) of a bucket that has more than two."""
 
     def spread(batches):
         codes = [Golay(width) for _, width in SEGMENTS]
@@ -114,7 +138,8 @@ def candidates(uniq: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[i + at]), pa.array(fps.view(np.int64))], ["key", "node", "fp"])
 
     def met(batches):
-        def found(keys, nodes, fps):
+        for keys, nodes, fps in whole_groups(batches):
+            fps = fps.view(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             count = np.diff(np.append(first, len(keys)))
             two = first[count == 2]
@@ -124,29 +149,54 @@ def candidates(uniq: DataFrame) -> DataFrame:
                 x, y = nearest(nodes[s : s + n], fps[s : s + n])
                 a.append(x)
                 b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
-
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, n, f = (np.asarray(c) for c in b.columns)
-            part = [k, n, f.view(np.uint64)]
-            if k[0] == k[-1] and (not held or held[-1][0][-1] == k[0]):
-                held.append(part)
-                continue
-            whole = [np.concatenate(c) for c in zip(*held, part)]
-            cut = np.searchsorted(whole[0], k[-1])
-            held = [[c[cut:] for c in whole]]
-            if cut:
-                yield found(*(c[:cut] for c in whole))
-        if held:
-            yield found(*(np.concatenate(c) for c in zip(*held)))
+            a, b, many = np.concatenate(a), np.concatenate(b), np.repeat(count > 2, count)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(nodes[many]), pa.array(fps[many].view(np.int64))], ["key", "a", "b"])
 
     bounded_batches(uniq.sparkSession, rows=20000)
     keyed = uniq.select("node", "sketch").mapInArrow(spread, "key long, node long, fp long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "a long, b long")
-    return pairs.distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "key long, a long, b long")
+
+
+def apart(crowded: DataFrame, known: DataFrame, least: float, scratch: Scratch, far: int = FAR, block: int = BLOCK) -> DataFrame:
+    """(key, node, fp) members of buckets, (node, root, least and most size of its sets) -> distinct pairs (a, b): all of a bucket within ``far`` bits, of different roots, and of sizes that a similarity of ``least`` allows.
+
+    A bucket of more than ``block`` members is dealt into blocks, and each two blocks meet in a group of their own.
+    """
+
+    def compared(batches):
+        for cell, own, other, nodes, fps, roots, low, high in whole_groups(batches):
+            fps = fps.view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            mixed_ = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+            a, b, held = [], [], 0
+            for s, e in zip(first[mixed_], np.append(first[1:], len(cell))[mixed_]):
+                for i in range(s, e, 256):
+                    x, y = slice(i, min(e, i + 256)), slice(s, e)
+                    near = np.bitwise_count(fps[x, None] ^ fps[None, y]) <= far
+                    near &= (nodes[x, None] < nodes[None, y]) & (roots[x, None] != roots[None, y])
+                    near &= (high[x, None] >= least * low[None, y]) & (high[None, y] >= least * low[x, None])
+                    near &= (own[x, None] != own[None, y]) | (own[x] == other[x])[:, None]
+                    p, q = np.nonzero(near)
+                    a.append(nodes[i + p])
+                    b.append(nodes[s + q])
+                    held += len(p)
+                    if held > 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
+                        a, b, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
+
+    bounded_batches(crowded.sparkSession, rows=20000)
+    large = crowded.groupBy("key").count().where(F.col("count") > block)
+    blocks = scratch.keep(large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    dealt = crowded.join(F.broadcast(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.join(known, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = dealt.select(cell.alias("cell"), "own", "other", "node", "fp", "root", "low", "high")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -154,8 +204,8 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
 
     Texts link when the sets of their ``size``-word shingles have a Jaccard similarity of ``least``
     or more, or when their words are the same; words are runs without blanks, A-Z lower-cased. Links
-    are exact, but a candidate must share a bucket: that is probabilistic, and none of 3,000 made
-    pairs at 0.8 was missed. Null counts as empty; texts without words are alike, shorter texts link only when equal.
+    are exact, but a candidate must share a bucket and be within FAR bits there: that is probabilistic, and none of
+    3,000 made pairs at 0.8 was missed. All such pairs are verified but those that verified links connect. Null counts as empty; texts without words are alike, shorter texts link only when equal.
     Rows of one doc_id count as one document; rows without one take no part. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -166,25 +216,37 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
         for b in batches:
             words = [(t or "").encode().lower().split() for t in b.column(1).to_pylist()]
             digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-            sketches = [sketch(shingle_set(w, size)).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "digest", "sketch"])
+            shingles = [shingle_set(w, size) for w in words]
+            sketches = [sketch(x).tobytes() for x in shingles]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array([len(x) for x in shingles], pa.int32())], ["doc_id", "digest", "sketch", "size"])
 
     def sets(batches):
         for b in batches:
             out = [shingle_set((t or "").encode().lower().split(), size).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "set"])
 
+    def verified(pairs):
+        bounded_batches(spark)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        held, held_path = scratch.write(rows.join(ends, "doc_id", "left_semi").mapInArrow(sets, "node long, set array<long>"))
+        left, right = held.toDF("a", "set_a"), held.toDF("b", "set_b")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        alike = F.least(F.size("set_a"), F.size("set_b")) >= least * F.greatest(F.size("set_a"), F.size("set_b"))
+        met = pairs.join(right, "b").join(left, "a").where(alike).select("a", "b", F.size("set_a").alias("m"), F.size("set_b").alias("n"), both.alias("c"))
+        links = scratch.keep(met.where(F.col("c") >= least * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b"))
+        scratch.drop(held_path)
+        return links
+
     bounded_batches(spark)
-    drawn_ = scratch.keep(rows.mapInArrow(drawn, "doc_id long, digest binary, sketch binary"))
-    uniq, uniq_path = scratch.write(drawn_.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
-    pairs = scratch.keep(candidates(uniq))
-    bounded_batches(spark)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = scratch.keep(rows.join(ends, "doc_id", "left_semi").mapInArrow(sets, "node long, set array<long>"))
-    left, right = held.toDF("a", "set_a"), held.toDF("b", "set_b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = F.least(F.size("set_a"), F.size("set_b")) >= least * F.greatest(F.size("set_a"), F.size("set_b"))
-    met = pairs.join(right, "b").join(left, "a").where(alike).select("a", "b", F.size("set_a").alias("m"), F.size("set_b").alias("n"), both.alias("c"))
-    linked = components(met.where(F.col("c") >= least * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b"), scratch)
+    drawn_ = scratch.keep(rows.mapInArrow(drawn, "doc_id long, digest binary, sketch binary, size int"))
+    uniq, uniq_path = scratch.write(drawn_.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size")))
+    found, found_path = scratch.write(met_in_buckets(uniq))
+    linked = scratch.keep(components(verified(scratch.keep(found.where("key is null").select("a", "b").distinct())), scratch))
+    sizes = uniq.groupBy("node").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    known = scratch.keep(sizes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "high"))
+    crowded = found.where("key is not null").toDF("key", "node", "fp")
+    more = verified(scratch.keep(apart(crowded, known, least, scratch)))
+    scratch.drop(found_path)
+    linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
     ids = uniq.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return drawn_.select("doc_id", "digest").join(scratch.keep(ids), "digest").select("doc_id", "component_id")

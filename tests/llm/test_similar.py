@@ -84,3 +84,37 @@ def test_members_pair_with_their_nearest_over_chunks():
     fps = np.array([centre[i % 5] ^ np.uint64(1 << int(r.integers(64))) for i in range(100)])
     a, b = similar.nearest(np.arange(100), fps, chunk=16)
     assert len(b) == 95 and (a % 5 == b % 5).all() and (a < b).all()
+
+
+def crowd(seed, n, twins, words=300, share=0.02):
+    """One template's texts, most pairs at about 0.7, and near copies of ``twins`` of them."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(4000)}" for _ in range(words)]
+
+    def changed(w, k):
+        w = list(w)
+        for at in r.sample(range(len(w)), k):
+            w[at] = f"n{r.randrange(1 << 40)}"
+        return w
+
+    texts = [changed(base, round(words * share)) for _ in range(n)]
+    return [" ".join(w) for w in texts + [changed(w, 5) for w in texts[:twins]]]
+
+
+def test_near_copies_inside_a_crowded_family(spark):
+    rows = list(enumerate(crowd(5, 360, 120)))
+    want = brute(rows)
+    assert len(set(want.values())) > 200 and len(set(want.values())) < 400
+    assert run(spark, rows)[0] == want
+
+
+def test_blocks_of_a_bucket_meet_in_all_pairs(spark, tmp_path):
+    r = np.random.default_rng(4)
+    n, centre = 300, int(r.integers(0, 1 << 62))
+    fps = [centre ^ sum(1 << int(b) for b in r.choice(62, 9, replace=False)) for _ in range(n)]
+    roots, sizes = [i // 2 * 2 for i in range(n)], [int(r.integers(100, 160)) for _ in range(n)]
+    crowded = spark.createDataFrame([(k, i, fps[i]) for k in (7, -7) for i in range(n if k == 7 else 9)], "key long, node long, fp long")
+    known = spark.createDataFrame([(i, roots[i], sizes[i], sizes[i]) for i in range(n)], "node long, root long, low int, high int")
+    got = [tuple(x) for x in similar.apart(crowded, known, LEAST, similar.Scratch(spark, "apart"), block=32).collect()]
+    want = {(i, j) for j in range(n) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= similar.FAR and roots[i] != roots[j] and min(sizes[i], sizes[j]) >= LEAST * max(sizes[i], sizes[j])}
+    assert len(got) == len(set(got)) and set(got) == want
