@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from daybook.functions.text import host_of  # noqa: F401
@@ -91,14 +94,13 @@ def replace_tags(t):
 @query("incremental_pages", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 200")
 def incremental_pages(t):
     """A paged source read to its end: pages of 50, each stored before the cursor moves."""
-    served, got, state = sorted(r[0] for r in t.orders.where("o_orderkey < 200").select("o_orderkey").collect()), [], {}
-
-    def fetch(start: int) -> tuple[list[dict], int]:
-        return [{"id": i} for i in served if i >= start][:50], served[-1]
+    return pages_stored(t.orders.select(F.col("o_orderkey").alias("id")).where("id < 200"), 50)
 
-    def commit(page: list[dict]) -> int:
-        got.extend((p["id"],) for p in page)
-        return len(page)
 
-    paging.forwards(fetch, commit, state, "comments.start")
-    return t.spark.createDataFrame(got, "id bigint")
+def pages_stored(rows, size: int):
+    """All rows that have an id, page by page through Parquet: a page that is committed again replaces itself."""
+    spark = rows.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='daybook-')}"
+    root = f"{found.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    n = paging.by_key(rows, lambda page, k: page.write.mode("overwrite").parquet(f"{root}/page={k}"), {}, "orders.start", size)
+    return spark.read.schema(rows.schema).parquet(f"{root}/page=*") if n else rows.where("false")

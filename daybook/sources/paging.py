@@ -5,6 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def backwards(fetch: Callable[[str | None], list[dict]], commit: Callable[[list[dict]], int], state: dict) -> int:
     """Entries from newest to oldest by 'before this date'. Ends on an empty page or one without new rows.
@@ -36,6 +39,22 @@ def forwards(fetch: Callable[[int], tuple[list[dict], int]], commit: Callable[[l
             return total
 
 
+def by_key(rows: DataFrame, commit: Callable[[DataFrame, int], None], state: dict, key: str, size: int) -> int:
+    """A table by ranges of its whole-numbered ``id``, about ``size`` rows a page; the driver holds the cursor alone.
+
+    Each page is committed, as a DataFrame with its number, before the cursor moves. Rows of one id share a page;
+    rows without an id are on none. A page costs a read of what is left. Returns the number of pages in all.
+    """
+    while True:
+        start, n = state.get(key), state.get(f"{key}.pages", 0)
+        left = rows.where("id is not null") if start is None else rows.where(F.col("id") >= start)
+        end = left.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
+        if end is None:
+            return n
+        commit(left.where(F.col("id") <= end), n)
+        state |= {key: end + 1, f"{key}.pages": n + 1}
+
+
 class Banned(Exception):
     """The server refuses all further requests."""
 
