@@ -32,7 +32,12 @@ def otd_circular(t):
     "SELECT strftime(prev, '%Y-%m-%d') AS start, strftime(day, '%Y-%m-%d') AS until, date_diff('day', prev, day) AS days FROM (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT o_orderdate AS day FROM orders WHERE o_custkey < 100)) WHERE prev IS NOT NULL ORDER BY days DESC, start LIMIT 1",
 )
 def longest_gap(t):
-    days = t.orders.where("o_custkey < 100").select(F.col("o_orderdate").alias("day")).distinct()  # distinct days: some thousands in any archive
+    return gap_of(t.orders.where("o_custkey < 100"))
+
+
+def gap_of(orders):
+    """The longest run of days without an order, the earliest of several."""
+    days = orders.select(F.col("o_orderdate").alias("day")).distinct()  # distinct days: some thousands in any archive
     gaps = days.withColumn("prev", F.lag("day").over(Window.partitionBy().orderBy("day"))).where("prev is not null")
     rows = gaps.select(F.date_format("prev", "yyyy-MM-dd").alias("start"), F.date_format("day", "yyyy-MM-dd").alias("until"), text.days_between(F.col("day"), F.col("prev")).alias("days"))
     return rows.orderBy(F.desc("days"), "start").limit(1)
@@ -52,8 +57,13 @@ def embed_ordinal(t):
 
 @query("next_date", "SELECT coalesce(min(strftime(o_orderdate, '%m-%d')) FILTER (WHERE strftime(o_orderdate, '%m-%d') >= '12-25'), min(strftime(o_orderdate, '%m-%d'))) AS md FROM orders WHERE o_custkey < 50")
 def next_date(t):
+    return next_of(t.orders.where("o_custkey < 50"))
+
+
+def next_of(orders):
+    """The first month and day with an order from Christmas on, else the first of the year."""
     md = F.date_format("o_orderdate", "MM-dd")
-    return t.orders.where("o_custkey < 50").agg(F.coalesce(F.min(F.when(md >= "12-25", md)), F.min(md)).alias("md"))
+    return orders.agg(F.coalesce(F.min(F.when(md >= "12-25", md)), F.min(md)).alias("md"))
 
 
 @query("recent30", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")
