@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
+from itertools import groupby
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
@@ -229,9 +232,8 @@ class _Redactor(HTMLParser):
     def __init__(self, source: str):
         super().__init__(convert_charrefs=False)
         self.source, self.cuts, self.raw = source, [], 0
-        self.lines = [0]
-        for line in source.splitlines(keepends=True):
-            self.lines.append(self.lines[-1] + len(line))
+        #: Starts of lines; the parser counts line feeds only.
+        self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
 
     def at(self) -> int:
         line, col = self.getpos()
@@ -257,11 +259,14 @@ def redact(html: str | None) -> tuple[str, list[str]]:
     source = html or ""
     p = _Redactor(source)
     p.feed(source)
-    removed, out = [], source
-    for start, end, put in sorted(set(p.cuts), reverse=True):
-        removed.append(source[start:end])
-        out = out[:start] + put + out[end:]
-    return out, removed[::-1]
+    p.close()
+    removed, out, at = [], [], 0
+    for start, end, put in sorted(set(p.cuts)):
+        if start >= at:
+            removed.append(source[start:end])
+            out += [source[at:start], put]
+            at = end
+    return "".join([*out, source[at:]]), removed
 
 
 @arrow_udf("html string, removed array<string>")
@@ -269,18 +274,24 @@ def redact_udf(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([redact(h) for h in html], columns=["html", "removed"])
 
 
+def not_in_order(a: str, b: str) -> Iterator[bool]:
+    """For each character of a, whether b lacks it behind those matched so far."""
+    places: dict[str, list[int]] = {}
+    for i, ch in enumerate(b):
+        places.setdefault(ch, []).append(i)
+    start = 0
+    for ch in a:
+        where = places.get(ch, [])
+        k = bisect_left(where, start)
+        yield k == len(where)
+        if k < len(where):
+            start = where[k] + 1
+
+
 def missing_run(a: str | None, b: str | None) -> int:
     """The longest run of a's characters that a greedy walk through b doesn't find in order."""
-    best = run = at = 0
-    b = b or ""
-    for ch in a or "":
-        found = b.find(ch, at)
-        if found < 0:
-            run += 1
-            best = max(best, run)
-        else:
-            at, run = found + 1, 0
-    return best
+    runs = (sum(1 for _ in run) for lost, run in groupby(not_in_order(a or "", b or "")) if lost)
+    return max(runs, default=0)
 
 
 @arrow_udf("int")

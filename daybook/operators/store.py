@@ -1,7 +1,9 @@
 """The archive's store: a folder of Parquet snapshots, changed by upserts that swap a pointer.
 
 Parquet has no MERGE. A new version of a table is written beside the old one and becomes current
-when the small pointer file is replaced; readers of the old version are never disturbed.
+when an empty pointer file with the next number appears, which names it. Nothing is replaced or
+deleted on the way: at any moment, and after a crash at any point, the highest pointer leads to a
+whole version.
 """
 
 from __future__ import annotations
@@ -90,29 +92,38 @@ class Store:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _pointers(self, name: str) -> list[tuple[int, str]]:
+        """(number, version), the current one last."""
+        fs, where = self._fs(f"{self.root}/{name}")
+        if not fs.exists(where):
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(where))
+        return sorted((int(n.split("-")[1]), n.split("-")[2]) for n in names if n.startswith("current-"))
 
     def read(self, name: str) -> DataFrame:
         """The current version; columns added since it was written are null."""
         schema = TABLES[name][0]
-        fs, at = self._fs(self._pointer(name))
-        if not fs.exists(at):
+        pointers = self._pointers(name)
+        if not pointers:
             return self.spark.createDataFrame([], schema)
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{pointers[-1][1]}")
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version, current once it is whole."""
-        version = uuid.uuid4().hex
+        """A new version, current once it is whole. Raises if another writer made a version current meanwhile."""
+        version, before = uuid.uuid4().hex, self._pointers(name)
         df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name][0])).write.parquet(f"{self.root}/{name}/{version}")
-        fs, draft = self._fs(f"{self._pointer(name)}.{version}")
-        out = fs.create(draft, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        final = self._fs(self._pointer(name))[1]
-        fs.delete(final, False)
-        fs.rename(draft, final)
+        if self._pointers(name) != before:
+            raise RuntimeError(f"{name} was changed while a new version was written")
+        n = before[-1][0] + 1 if before else 0
+        fs, pointer = self._fs(f"{self.root}/{name}/current-{n:010d}-{version}")
+        fs.create(pointer, False).close()
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Deletes all but the last ``keep`` versions, the pointers first."""
+        for n, version in self._pointers(name)[:-keep]:
+            for path in (f"{self.root}/{name}/current-{n:010d}-{version}", f"{self.root}/{name}/{version}"):
+                fs, where = self._fs(path)
+                fs.delete(where, True)
 
     def upsert(self, name: str, new: DataFrame) -> None:
         self.write(name, upsert(self.read(name), new, TABLES[name][1]))

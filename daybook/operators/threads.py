@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybook.shared import checkpointed
 
-def thread_depths(comments: DataFrame, most: int = 10_000) -> DataFrame:
+
+def thread_depths(comments: DataFrame) -> DataFrame:
     """(tree, id, parent) -> tree, id, depth, root: ancestors counted by pointer doubling.
 
     Every round doubles the distance each pointer spans, so a thread of depth d takes log2(d)
     joins. A parent that isn't there counts one level; a null parent is a root of depth 1. Rows on
-    a cycle never meet a root: after log2(most) rounds they come back with depth null.
+    or above a cycle never meet a root. As every round resolves all threads up to twice the depth,
+    a round that resolves nothing leaves only those, and they come back with depth and root null.
     """
     rows = comments.select("tree", "id", "parent")
     known = rows.select("tree", F.col("id").alias("parent"), F.lit(True).alias("_known"))
     start = rows.join(known, ["tree", "parent"], "left")
     dangling = F.col("parent").isNotNull() & F.col("_known").isNull()
     now = start.select("tree", "id", F.when(F.col("_known"), F.col("parent")).alias("up"), F.when(dangling, 2).otherwise(1).cast("long").alias("depth"), F.col("id").alias("root"))
-    rounds = max(1, most.bit_length())
-    for i in range(rounds):
-        if not now.where("up is not null").take(1):
-            break
+    now = checkpointed(now)
+    open_, before = now.where("up is not null").count(), -1
+    while open_ and open_ != before:
         above = now.select("tree", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
         met = now.join(above, ["tree", "up"], "left")
         now = met.select("tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root").alias("root"))
-        now = now.checkpoint() if i % 3 == 2 and now.sparkSession.conf.get("spark.checkpoint.dir", None) else now
+        now = checkpointed(now)
+        open_, before = now.where("up is not null").count(), open_
     return now.select("tree", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.when(F.col("up").isNull(), F.col("root")).alias("root"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
 from daybook.functions import html, text
 from daybook.plans.registry import query
+from daybook.shared import shared_dir
 from daybook.sources import comments, fetch, xmlrpc
 
 
@@ -18,7 +16,12 @@ def html_links(t):
     return t.pages.select("page_id", F.size(found["links"]).cast("bigint").alias("links"))
 
 
-@query("html_references")
+@query(
+    "html_references",
+    r"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS origin, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*$', ''), '<a\s[^>]*href="(/[^"]*)"[^>]*>', 1)) AS path FROM pages)
+SELECT page_id, origin || array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN ord(c) > 126 OR c IN (' ', '<', '>', '^', '`', '{', '|', '}', chr(92)) THEN url_encode(c) ELSE c END), '') AS link,
+lower(regexp_extract(origin, '^[a-z]+://(.+)$', 1)) AS host FROM l""",
+)
 def html_references(t):
     """Absolute addresses of all links of a page, with the host each leads to."""
     found = t.pages.select("page_id", F.explode(html.extract_udf(F.col("html"), F.col("url"))["links"]).alias("link"))
@@ -87,14 +90,9 @@ EXPORT = """<?xml version="1.0"?><journal><maxid>9</maxid><comments>
 
 
 def _landed(t, content: str, name: str) -> str:
-    """Puts a document of ours where all executors can read it: the shared folder, or a local one where none is set."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        path = Path(tempfile.mkdtemp(prefix="daybook-xml-")) / name
-        path.write_text(content)
-        return str(path)
+    """Puts a document of ours into the shared folder."""
     jvm = t.spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/daybook-{name}")
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(t.spark)}/daybook-{name}")
     out = where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     out.write(bytearray(content.encode()))
     out.close()

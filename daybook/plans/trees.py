@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from daybook.functions.text import host_of  # noqa: F401
 from daybook.operators import store, threads
 from daybook.plans.registry import query
+from daybook.shared import shared_dir
 from daybook.sources import paging
 
 
@@ -91,16 +91,15 @@ def replace_tags(t):
     return store.replace_tags(old, new)
 
 
-@query("incremental_pages", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 200")
+@query("incremental_pages", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey IS NOT NULL")
 def incremental_pages(t):
-    """A paged source read to its end: pages of 50, each stored before the cursor moves."""
-    return pages_stored(t.orders.select(F.col("o_orderkey").alias("id")).where("id < 200"), 50)
+    """A paged source read to its end: pages of about 10,000 rows, each stored before the cursor moves."""
+    return pages_stored(t.orders.select(F.col("o_orderkey").alias("id")), 10_000)
 
 
 def pages_stored(rows, size: int):
     """All rows that have an id, page by page through Parquet: a page that is committed again replaces itself."""
     spark = rows.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='daybook-')}"
-    root = f"{found.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
     n = paging.by_key(rows, lambda page, k: page.write.mode("overwrite").parquet(f"{root}/page={k}"), {}, "orders.start", size)
     return spark.read.schema(rows.schema).parquet(f"{root}/page=*") if n else rows.where("false")

@@ -29,15 +29,15 @@ def otd_circular(t):
 
 @query(
     "longest_gap",
-    "SELECT strftime(prev, '%Y-%m-%d') AS start, strftime(day, '%Y-%m-%d') AS until, date_diff('day', prev, day) AS days FROM (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT o_orderdate AS day FROM orders WHERE o_custkey < 100)) WHERE prev IS NOT NULL ORDER BY days DESC, start LIMIT 1",
+    "SELECT strftime(prev, '%Y-%m-%d') AS start, strftime(day, '%Y-%m-%d') AS until, date_diff('day', prev, day) AS days FROM (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT o_orderdate AS day FROM orders)) WHERE prev IS NOT NULL ORDER BY days DESC, start LIMIT 1",
 )
 def longest_gap(t):
-    return gap_of(t.orders.where("o_custkey < 100"))
+    return gap_of(t.orders)
 
 
 def gap_of(orders):
     """The longest run of days without an order, the earliest of several."""
-    days = orders.select(F.col("o_orderdate").alias("day")).distinct()  # distinct days: some thousands in any archive
+    days = orders.select(F.to_date("o_orderdate").alias("day")).distinct()  # calendar days: some thousands in any archive
     gaps = days.withColumn("prev", F.lag("day").over(Window.partitionBy().orderBy("day"))).where("prev is not null")
     rows = gaps.select(F.date_format("prev", "yyyy-MM-dd").alias("start"), F.date_format("day", "yyyy-MM-dd").alias("until"), text.days_between(F.col("day"), F.col("prev")).alias("days"))
     return rows.orderBy(F.desc("days"), "start").limit(1)
@@ -55,9 +55,9 @@ def embed_ordinal(t):
     return t.conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("idx"))
 
 
-@query("next_date", "SELECT coalesce(min(strftime(o_orderdate, '%m-%d')) FILTER (WHERE strftime(o_orderdate, '%m-%d') >= '12-25'), min(strftime(o_orderdate, '%m-%d'))) AS md FROM orders WHERE o_custkey < 50")
+@query("next_date", "SELECT coalesce(min(strftime(o_orderdate, '%m-%d')) FILTER (WHERE strftime(o_orderdate, '%m-%d') >= '12-25'), min(strftime(o_orderdate, '%m-%d'))) AS md FROM orders")
 def next_date(t):
-    return next_of(t.orders.where("o_custkey < 50"))
+    return next_of(t.orders)
 
 
 def next_of(orders):

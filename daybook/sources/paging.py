@@ -4,25 +4,41 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def backwards(fetch: Callable[[str | None], list[dict]], commit: Callable[[list[dict]], int], state: dict) -> int:
-    """Entries from newest to oldest by 'before this date'. Ends on an empty page or one without new rows.
+def moment_before(time: str) -> str:
+    """One second earlier, or one day for a bare date."""
+    step = timedelta(days=1) if len(time) == 10 else timedelta(seconds=1)
+    return (datetime.fromisoformat(time) - step).isoformat(" ")[: len(time)]
 
-    The cursor is (eventtime, itemid), so a page full of entries of one second still moves on.
-    ``commit`` stores a page and says how many rows were new. Returns the rows stored.
+
+def backwards(fetch: Callable[..., list[dict]], commit: Callable[[list[dict]], int], state: dict) -> int:
+    """Entries from newest to oldest by 'before this date'; ends on an empty page.
+
+    ``fetch(before)`` gives a page, ``fetch(before, n)`` one of up to n entries. ``commit`` stores a
+    page and says how many rows were new. A page without new rows may lie within one moment of more
+    entries than a page holds: it is asked for again, twice as large each time, until it brings new
+    rows or is not full. Where the server won't give larger pages the walk goes on before that
+    moment, which ``entries.partial`` of the state then names as one that may lack entries. Returns the rows stored.
     """
     total = 0
     while page := fetch(state.get("entries.before")):
-        new = commit(page)
+        new, usual = commit(page), max(len(page), state.get("entries.page", 0))
+        oldest = min(p["eventtime"] for p in page)
+        asked = usual
+        while not new and len(page) >= asked and oldest == state.get("entries.before"):
+            asked *= 2
+            page = fetch(oldest, asked)
+            new, oldest = commit(page), min(p["eventtime"] for p in page)
+            if not new and len(page) == usual:
+                state["entries.partial"] = [*state.get("entries.partial", []), oldest]
         total += new
-        oldest = min((p["eventtime"], p["itemid"]) for p in page)
-        if not new or state.get("entries.cursor") == oldest:
-            break
-        state |= {"entries.before": oldest[0], "entries.cursor": oldest}
+        stuck = not new and oldest == state.get("entries.before")
+        state |= {"entries.before": moment_before(oldest) if stuck else oldest, "entries.page": usual}
     return total
 
 

@@ -77,3 +77,43 @@ def test_resolve():
 def test_jpeg_size():
     assert jpeg_size(bytes.fromhex("FFD8FFE000040000FFC0000B080258032003012200")) == (800, 600)
     assert jpeg_size(b"\xff\xd8\xff") is None
+
+
+@pytest.mark.parametrize("sign", ["\x0c", "\x0b", "\u2028", "\u2029", "\x85", "\r", "\r\n", "\n", "\x1c"])
+def test_redaction_finds_its_places_behind_any_line_sign(sign):
+    out, removed = html.redact(f"a{sign}b\n{sign}<p>secret Alice</p>{sign}<i title='Bob'>x9</i>")
+    assert out == f"x{sign}x\n{sign}<p>xxxxxx xxxxx</p>{sign}<i title='x'>x0</i>" and "Alice" in removed
+
+
+def plain_redact(source):
+    """By characters: letters and digits outside tags."""
+    out, inside = [], False
+    for c in source:
+        inside = c == "<" or inside and c != ">"
+        out.append(c if inside else "x" if c.isalpha() else "0" if c.isdigit() else c)
+    return "".join(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["Anna", "12", " ", "\n", "\x0c", "\u2028", "\r", "<b>", "</b>", "<p class='k'>", "ä", "é9", "&", ";"]), max_size=40))
+def test_redaction_equals_the_plain_one(parts):
+    source = "".join(parts)
+    if not re.search(r"&[A-Za-z0-9#]", source):
+        assert html.redact(source)[0] == plain_redact(source)
+
+
+def plain_missing(a, b):
+    best = run = 0
+    for c in a:
+        if c in b:
+            b, run = b[b.index(c) + 1 :], 0
+        else:
+            run += 1
+            best = max(best, run)
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=12), st.text("abcd", max_size=12))
+def test_missing_runs_equal_the_plain_walk(a, b):
+    assert html.missing_run(a, b) == plain_missing(a, b)

@@ -61,3 +61,40 @@ def test_login_parents():
     xml = xmlrpc.encode_request("m", {"username": "a", "fullname": "", "usejournals": ["x"]})
     body = xml[xml.index("<params>") :].replace("</methodCall>", "")
     assert xmlrpc.login_of(f"<methodResponse>{body}</methodResponse>") == {"username": "a", "fullname": None, "usejournals": ["x"], "moods": []}
+
+
+def served(rows, known, most=None):
+    """A server of entries, newest first, with pages of three unless more are asked for, up to ``most``; and a store."""
+
+    def page(before, n=3):
+        left = [r for r in rows if before is None or r["eventtime"] <= before]
+        return sorted(left, key=lambda r: (r["eventtime"], r["itemid"]), reverse=True)[: min(n, most or n)]
+
+    def commit(page):
+        new = {r["itemid"] for r in page} - set(known)
+        known.update((i, True) for i in new)
+        return len(new)
+
+    return page, commit
+
+
+@pytest.mark.parametrize("same", [2, 3, 4, 5, 17])
+@pytest.mark.parametrize("older", [0, 1, 3])
+def test_backwards_passes_a_second_of_more_entries_than_a_page(same, older):
+    rows = [{"eventtime": "2004-01-02 03:04:05", "itemid": 100 + i} for i in range(same)] + [{"eventtime": f"2003-01-02 03:04:{i:02}", "itemid": i} for i in range(older)]
+    known, state = {}, {}
+    assert paging.backwards(*served(rows, known), state) == len(rows) == len(known)
+    assert paging.backwards(*served(rows, known), state) == 0
+
+
+def test_backwards_goes_on_where_the_server_gives_no_larger_pages():
+    rows = [{"eventtime": "2004-01-01 00:00:00", "itemid": 100 + i} for i in range(5)] + [{"eventtime": f"2003-01-02 03:04:{i:02}", "itemid": i} for i in range(4)]
+    known, state = {}, {}
+    assert paging.backwards(*served(rows, known, most=3), state) == 7
+    assert state["entries.partial"] == ["2004-01-01 00:00:00"] and set(known) >= {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("xml", ["<html>busy</html>", "<br", "", "<methodResponse/>", "<methodResponse><params/></methodResponse>"])
+def test_what_is_no_response_raises(xml):
+    with pytest.raises(xmlrpc.NoResponse):
+        xmlrpc.events_of(xml)
