@@ -2,15 +2,19 @@
 
 Pieces of equal length are alike, so the packing is worked out on the histogram of lengths, which
 has at most ``capacity`` rows whatever the corpus: best-fit decreasing gives an incumbent, bin
-completion (branch and bound around the largest piece left) tries to beat it, and the solution is a
-short list of fillings with how often each is used. Pieces then find their places by their rank
+completion (branch and bound around the largest piece left) packs its bins with waste anew, into
+fewer, until the bound is met, and the solution is a short list of fillings with how often each is
+used. Pieces then find their places by their rank
 among the pieces of their length.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,75 +75,132 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [(tuple(f), n) for bins in room.values() for f, n in bins if f]
 
 
-def completions(counts: dict[int, int], lengths: list[int], space: int, most: int) -> list[Filling]:
-    """Undominated fillings of the space beside the largest piece, fullest first: none to which a piece left over could be added, or in which one could be swapped for a longer one that fits."""
-    found: list[tuple[int, Filling]] = []
+def completions(left: dict[int, int], capacity: int, most: int) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of the bins that hold the longest piece left, fullest first and those of long pieces first, up to a waste of ``most``.
 
-    def extend(at: int, free: int, filling: tuple) -> None:
-        if len(found) >= most:
-            return
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if x <= free and counts[x]:
-                for n in range(min(counts[x], free // x), 0, -1):
-                    extend(i + 1, free - n * x, (*filling, (x, n)))
-                break
-        else:
-            used = dict(filling)
-            if all(counts[x] == used.get(x, 0) or x > free for x in lengths):
-                for x, _ in filling:
-                    better = lengths[: lengths.index(x)]
-                    if any(y - x <= free and counts[y] > used.get(y, 0) for y in better):
-                        return
-                found.append((free, filling))
+    Undominated ones only: none to which a piece left over could be added, or in which one could be
+    swapped for a longer one that fits. Bit s of reach[i] says whether pieces of lengths[i:] can sum
+    to s, so the search never enters a branch that has no filling. No filling is left out.
+    """
+    lengths = sorted((x for x, n in left.items() if n), reverse=True)
+    top, space = lengths[0], capacity - lengths[0]
+    spare = left | {top: left[top] - 1}
+    lengths = [x for x in lengths if x <= space and spare[x]]
+    reach, mask = [1], (1 << (space + 1)) - 1
+    for x in reversed(lengths):
+        r, n, step = reach[-1], min(spare[x], space // x), 1
+        while n > 0:
+            r |= r << (min(step, n) * x) & mask
+            n, step = n - step, step * 2
+        reach.append(r)
+    reach.reverse()
+
+    def summing(i: int, total: int) -> Iterator[Filling]:
+        if not total:
+            yield ()
             return
-        rest = [j for j in range(at, len(lengths)) if lengths[j] <= free and counts[lengths[j]]]
-        if rest:
-            extend(rest[0] + 1, free, filling)
-
-    extend(0, space, ())
-    return [f for _, f in sorted(found, key=lambda f: (f[0], len(f[1])))]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 100, most: int = 60) -> tuple[list[tuple[Filling, int]], int]:
+        for j in range(max(i, bisect_left(lengths, -total, key=int.__neg__)), len(lengths)):
+            if not reach[j] >> total & 1:
+                return
+            x = lengths[j]
+            for n in range(min(spare[x], total // x), 0, -1):
+                if reach[j + 1] >> (total - n * x) & 1:
+                    for rest in summing(j + 1, total - n * x):
+                        yield ((x, n), *rest)
+
+    def dominated(waste: int, filling: Filling) -> bool:
+        used = dict(filling)
+        over = [x for x in lengths if spare[x] > used.get(x, 0)]
+        return bool(over) and (over[-1] <= waste or any(0 < y - x <= waste for x in used for y in over))
+
+    for waste in range(min(most, space) + 1):
+        for filling in summing(0, space - waste):
+            if not waste or not dominated(waste, filling):
+                whole = dict(filling)
+                whole[top] = whole.get(top, 0) + 1
+                yield waste, tuple(sorted(whole.items(), reverse=True))
+
+
+def search(counts: dict[int, int], capacity: int, goal: int, nodes: int) -> list[tuple[Filling, int]] | None:
+    """A packing of at most ``goal`` bins by bin completion, depth first; None where there is none, or none within ``nodes`` nodes.
+
+    A node fills bins around the longest piece left, each filling as often as the counts allow, half
+    as often or once. A branch ends when its waste exceeds what the goal allows or the bound of what
+    is left does, and succeeds when nothing is left or best fit, tried now and then, packs what is left.
+    """
+    stack: list[tuple[Iterator, list]] = []
+
+    def enter(left: dict[int, int], done: list) -> list | None:
+        bins = goal - sum(n for _, n in done)
+        allowed = bins * capacity - sum(x * n for x, n in left.items())
+        if allowed < 0 or waste_bound(left, capacity) > bins:
+            return None
+        if not left:
+            return done
+        if len(done) % 8 == 0 or sum(left.values()) < 100:
+            quick = best_fit(left, capacity)
+            if sum(n for _, n in quick) <= bins:
+                return done + quick
+        stack.append((children(left, allowed), done))
+        return None
+
+    def children(left: dict[int, int], allowed: int) -> Iterator[tuple[dict, tuple]]:
+        for waste, filling in completions(left, capacity, allowed):
+            times = min(left[x] // n for x, n in filling)
+            times = min(times, allowed // waste) if waste else times
+            for t in sorted({times, (times + 1) // 2, 1} - {0}, reverse=True):
+                rest = left | {x: left[x] - n * t for x, n in filling}
+                yield {x: n for x, n in rest.items() if n}, (filling, t)
+
+    found = enter({x: n for x, n in counts.items() if n}, [])
+    while found is None and stack and nodes > 0:
+        step = next(stack[-1][0], None)
+        if step is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        found = enter(step[0], [*stack[-1][1], step[1]])
+    return found
+
+
+def histogram(fillings: list[tuple[Filling, int]]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for filling, times in fillings:
+        for x, n in filling:
+            out[x] = out.get(x, 0) + n * times
+    return out
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 800, opening: tuple[int, ...] = (0, 512, 16), small: int = 60) -> tuple[list[tuple[Filling, int]], int]:
     """-> (fillings with how often each is used, the lower bound).
 
-    Depth first over completions of the largest piece left, each used as often as the counts allow;
-    a branch ends when the waste so far and the bound of what is left can't beat the incumbent.
-    The search stops when the incumbent meets the bound or after ``nodes`` nodes; every incumbent is
-    a whole packing, so the limits bound the effort, never the result's completeness.
+    Best-fit decreasing is the first incumbent. While it is above the bound, some of its bins are
+    opened and their pieces packed anew by ``search`` into fewer: the bins that have waste and, by
+    and by, up to ``opening`` kinds of the full ones. A search aims at one bin less, and after each
+    success at twice as many, as far as the bound. Up to ``small`` bins all are opened at once, and within the
+    nodes the search then is exhaustive. The limits bound the effort: every incumbent is a whole packing.
     """
-    counts = {x: n for x, n in counts.items() if n}
     bound = waste_bound(counts, capacity)
-    best = best_fit(counts, capacity)
+    best = best_fit({x: n for x, n in counts.items() if n}, capacity)
     size = sum(n for _, n in best)
-    budget = [nodes]
-
-    def search(left: dict[int, int], done: list, used: int) -> None:
-        nonlocal best, size
-        budget[0] -= 1
-        lengths = [x for x in sorted(left, reverse=True) if left[x]]
-        if not lengths:
-            if used < size:
-                best, size = list(done), used
-            return
-        if used + waste_bound(left, capacity) >= size or budget[0] < 0 or size == bound:
-            return
-        quick = best_fit(left, capacity)
-        if used + sum(n for _, n in quick) < size:
-            best, size = done + quick, used + sum(n for _, n in quick)
-        top = lengths[0]
-        rest = left | {top: left[top] - 1}
-        for filling in completions(rest, lengths, capacity - top, most):
-            whole = dict(filling)
-            whole[top] = whole.get(top, 0) + 1
-            times = min(left[x] // n for x, n in whole.items())
-            search(left | {x: left[x] - n * times for x, n in whole.items()}, [*done, (tuple(sorted(whole.items(), reverse=True)), times)], used + times)
-            if budget[0] < 0 or size == bound:
-                return
-
-    if size > bound:
-        search(counts, [], 0)
+    for few in opening:
+        step = min(1, size - bound)
+        while step:
+            wasteful = [sum(x * n for x, n in filling) < capacity for filling, _ in best]
+            opened, shut = [b for b, w in zip(best, wasteful) if w], [b for b, w in zip(best, wasteful) if not w]
+            # full bins of short pieces help most: those fit into any gap
+            shut.sort(key=lambda b: (b[0][0][0], b))
+            each = max(4, sum(n for _, n in opened) // 128)
+            opened, shut = opened + [(f, min(n, each)) for f, n in shut[:few]], [(f, n - each) for f, n in shut[:few] if n > each] + shut[few:]
+            if size <= small:
+                opened, shut = best, []
+            better = search(histogram(opened), capacity, sum(n for _, n in opened) - step, nodes)
+            if better is None:
+                step = int(step > 1)
+            else:
+                best = shut + better
+                size = sum(n for _, n in best)
+                step = min(2 * step, size - bound)
     return best, bound
 
 
@@ -170,15 +231,26 @@ class Places:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes; pieces between blanks are remembered, up to a bound."""
+    """Ids as little-endian unsigned 32-bit bytes; pieces between blanks are remembered, up to a bound.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 500_000):
+    The strings of added tokens have ids of their own wherever they stand, as in the library; what
+    lies between them is encoded piece by piece.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None = None, remember: int = 500_000):
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in (added or {}).items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.remember, self.memo = remember, {}
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return b"".join([self.added.get(part) or self.plain(part) for part in self.split.split(text)])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         pieces, memo = PIECE.findall(text), self.memo
         if len(memo) > self.remember:
             memo.clear()
@@ -187,18 +259,18 @@ class Encoder:
         return b"".join([memo[p] for p in pieces])
 
 
-def ranks_of(vocabulary: str) -> dict[bytes, int]:
-    """Merge ranks of a rank file, or of a tokenizer's JSON file that holds a byte-level BPE."""
-    if not vocabulary.endswith(".json"):
-        return read_ranks(vocabulary)
-    import json
-
+def vocabulary_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(merge ranks, added tokens) of a rank file, which has no added tokens, or of a tokenizer's JSON file that holds a byte-level BPE."""
+    if not path.endswith(".json"):
+        return read_ranks(path), {}
     signs = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in signs} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in signs)}
-    with open(vocabulary, encoding="utf-8") as f:
+    with open(path, encoding="utf-8") as f:
         whole = json.load(f)
-    special = {t["content"] for t in whole.get("added_tokens", [])}
-    return {bytes(byte[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in special}
+    added = {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
+    if any(t.get(k) for t in whole.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take blanks or whole words only are not supported")
+    return {bytes(byte[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in added}, added
 
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, end: int = 2, ids: bool = False) -> DataFrame:
@@ -209,12 +281,13 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024,
     ``tag`` tells repeated rows of one doc_id apart where their texts differ.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks_of(vocabulary), pattern))
+    shared = spark.sparkContext.broadcast(vocabulary_of(vocabulary))
     bounded_batches(spark)
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(*shared.value)
+        ranks, added = shared.value
+        encoder = Encoder(ranks, pattern, added)
         for b in batches:
             out = []
             for doc, tag, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -236,7 +309,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024,
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
-def pack(cut: DataFrame, capacity: int = 1024, block: int = 512, nodes: int = 100) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 1024, block: int = 512, nodes: int = 800) -> DataFrame:
     """Pieces (with length) -> the same rows plus sequence_id and offset.
 
     The driver gets the histogram alone. Ranks within a length are counted in blocks of about

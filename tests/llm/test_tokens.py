@@ -58,15 +58,21 @@ def test_encode_table(spark):
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(SOUP)
+END = "<|endoftext|>"
+RANKS, ADDED = packing.vocabulary_of(packing.production()[0])
+ENCODER = packing.Encoder(RANKS, PATTERN, ADDED)
+HF = Tokenizer.from_file(packing.production()[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(SOUP, st.sampled_from([END, " " + END, END[:-1], "<", "|>", "\n"])), max_size=6).map("".join))
 def test_packing_ids_equal_the_tokenizer(text):
     assert np.frombuffer(ENCODER(text), "<u4").tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
-ENCODER = packing.Encoder(packing.ranks_of(packing.production()[0]), PATTERN)
-HF = Tokenizer.from_file(packing.production()[0])
-HF.encode_special_tokens = True
+@pytest.mark.parametrize("text", [f"hi {END} there", END, END * 3, f" {END} ", f"a{END}b", f"<|{END}|>", f"x  {END}\n\n{END}  y", "<|ENDOFTEXT|>"])
+def test_the_end_mark_in_a_text(text):
+    assert np.frombuffer(ENCODER(text), "<u4").tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
 def fewest(items, capacity):
@@ -102,9 +108,75 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert used == items and sum(n for _, n in fillings) == best and bound <= best
 
 
+def checked(counts, capacity, **limits):
+    """The number of bins, best fit's and the bound, after a check that the packing is whole."""
+    fillings, bound = packing.bin_completion(counts, capacity, **limits)
+    assert all(n > 0 and sum(x * k for x, k in filling) <= capacity for filling, n in fillings)
+    assert packing.histogram(fillings) == {x: n for x, n in counts.items() if n}
+    return sum(n for _, n in fillings), sum(n for _, n in packing.best_fit(counts, capacity)), bound
+
+
+def test_completion_beats_best_fit():
+    won = 0
+    for seed in range(40):
+        rng = random.Random(seed)
+        exact = collections.Counter()
+        for _ in range(30):
+            left = 100
+            while left:
+                x = min(left, rng.randint(18, 60))
+                exact[x] += 1
+                left -= x
+        got, quick, bound = checked(dict(exact), 100)
+        assert bound <= got <= quick
+        won += got < quick
+    assert won >= 10
+
+
+def test_completion_beats_best_fit_on_large_counts():
+    """Each length a thousand times: fillings are used many times at once, so the search stays as small."""
+    counts = {x: 1000 for x in (6, 5, 4, 3, 2, 7)} | {9: 1000}
+    got, quick, bound = checked(counts, 12)
+    assert got == bound == 3000
+    won = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        wide = collections.Counter()
+        for _ in range(400):
+            a, b = sorted(rng.sample(range(90, 934), 2))
+            for x in (a, b - a, 1024 - b):
+                wide[x] += 500
+        got, quick, bound = checked(dict(wide), 1024)
+        assert bound <= got <= quick
+        won += got < quick
+    assert won >= 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_completions_are_the_undominated_fillings(seed):
+    rng = random.Random(seed)
+    left = dict(collections.Counter(rng.randint(1, 9) for _ in range(8)))
+    capacity, top = 14, max(left)
+    spare = collections.Counter(left) - collections.Counter([top])
+    every = set()
+    pool = sorted(spare.elements())
+    for mask in range(1 << len(pool)):
+        chosen = tuple(sorted(x for i, x in enumerate(pool) if mask >> i & 1))
+        if sum(chosen) <= capacity - top:
+            every.add(chosen)
+
+    def beaten(chosen):
+        waste, over = capacity - top - sum(chosen), spare - collections.Counter(chosen)
+        return any(y <= waste or any(0 < y - x <= waste for x in chosen) for y in over)
+
+    got = [(w, tuple(sorted((collections.Counter(dict(f)) - collections.Counter([top])).elements()))) for w, f in packing.completions(left, capacity, capacity)]
+    assert [w for w, _ in got] == sorted(w for w, _ in got) and len(got) == len(set(got))
+    assert {f for _, f in got} == {f for f in every if not beaten(f)}
+
+
 def test_packing_table(spark):
     rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice(["the", "cat", "xyzzy", "löwe"]) for _ in range(rng.choice([0, 3, 40, 900])))) for i in range(300)] + [(300, None), (301, "t " * 5000), (7, "again"), (None, "x")]
+    docs = [(i, " ".join(rng.choice(["the", "cat", "xyzzy", "löwe"]) for _ in range(rng.choice([0, 3, 40, 900])))) for i in range(300)] + [(300, None), (301, "t " * 5000), (302, f"a {END} b{END}"), (7, "again"), (None, "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as length", "5 as sequence_id").repartition(5)
     rows = packing.packed(df, *packing.production()).collect()
     bins = collections.defaultdict(list)
@@ -120,8 +192,8 @@ def test_packing_table(spark):
     for r in rows:
         if r.doc_id != 7:
             assert zlib.crc32(whole[str(r.doc_id)][r.start : r.start + r.length].tobytes()) == r.ids_crc32
-    bound = packing.waste_bound(collections.Counter(r.length for r in rows), 1024)
-    assert bound <= len(bins) <= bound * 1.02 + 1
+    lengths = collections.Counter(r.length for r in rows)
+    assert packing.waste_bound(lengths, 1024) <= len(bins) <= sum(n for _, n in packing.best_fit(lengths, 1024))
     long = sorted((r.piece, r.length) for r in rows if r.doc_id == 301)
     assert all(n == 1024 for _, n in long[1:]) and [p for p, _ in long] == list(range(len(long)))
     assert packing.packed(df.limit(0), *packing.production()).count() == 0
