@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
+from daybook.shared import delete, shared_dir, swept
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that the contracts name: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the path may belong to any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='daybook-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        _made.append((spark, found))
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            pass
-
-
 class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
@@ -55,7 +26,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        _made.append((spark, self.root))
+        swept(spark, self.root)
         self.count = 0
 
     def path(self) -> str:
@@ -75,7 +46,14 @@ class Scratch:
         delete(self.spark, path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bounds the Arrow batches that Python workers hold, by rows and by bytes, so that long texts don't pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def bounded_batches(spark: SparkSession, rows: int = 20_000, mb: int = 4) -> None:
+    """Bounds the Arrow batches that Python workers hold, by rows and by bytes, so that long texts don't pile up.
+
+    These are settings of the session. Every operator sets the same two, so a result that is
+    computed later runs under them whichever operator came last; smaller ones of the caller stay.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))

@@ -182,7 +182,7 @@ def links(uniq: DataFrame, most: int = 4) -> DataFrame:
         if len(k):
             yield found(k, f)
 
-    bounded_batches(uniq.sparkSession, rows=20000)
+    bounded_batches(uniq.sparkSession)
     keyed = uniq.select("fp").mapInArrow(spread, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long")
 

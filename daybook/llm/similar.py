@@ -154,7 +154,7 @@ def met_in_buckets(uniq: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["key", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(nodes[many]), pa.array(fps[many].view(np.int64))], ["key", "a", "b"])
 
-    bounded_batches(uniq.sparkSession, rows=20000)
+    bounded_batches(uniq.sparkSession)
     keyed = uniq.select("node", "sketch").mapInArrow(spread, "key long, node long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "key long, a long, b long")
 
@@ -188,7 +188,7 @@ def apart(crowded: DataFrame, known: DataFrame, least: float, scratch: Scratch,
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
 
-    bounded_batches(crowded.sparkSession, rows=20000)
+    bounded_batches(crowded.sparkSession)
     large = crowded.groupBy("key").count().where(F.col("count") > block)
     blocks = scratch.keep(large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     dealt = crowded.join(F.broadcast(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
-from .features import BITS, words_and_sentences
+from .features import BITS, bounds_of, sentence_sums, words_and_sentences
 from .quality import gathered, sample_of
 
 
@@ -33,23 +33,27 @@ class NoisyOr:
         self.w, self.bias = np.zeros(1 << BITS, np.float32), bias
         self.slope, self.shift = 1.0, 0.0
 
-    def sentences(self, words: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        """log(1 - p) of n sentences, summed over the words of each; words count once per occurrence."""
-        z = self.bias + np.bincount(sentence, self.w[words], minlength=n)
-        return -np.logaddexp(0, z)
+    def clear(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(log(1 - p) of the sentences, where they end, bytes); words count once per occurrence."""
+        sums, ends, n = sentence_sums(text, self.w)
+        return -np.logaddexp(0, self.bias + sums), ends, n
+
+    def of_document(self, clear: np.ndarray) -> float:
+        """The calibrated score of the noisy-or over all sentences."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(clear) + self.shift, -40, 40))))
 
     def score(self, text: str | None) -> float:
-        words, sentence, bounds = words_and_sentences(text)
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(words, sentence, max(1, len(bounds))) + self.shift, -40, 40))))
+        return self.of_document(self.clear(text)[0])
 
-    def log_odds(self, words: np.ndarray, sentence: np.ndarray, n: int) -> float:
+    @staticmethod
+    def log_odds(clear: np.ndarray) -> float:
         """Of the noisy-or over all sentences."""
-        clear = self.sentences(words, sentence, n).sum()
-        return float(np.log(np.maximum(-np.expm1(clear), 1e-300)) - clear)
+        none = clear.sum()
+        return float(np.log(np.maximum(-np.expm1(none), 1e-300)) - none)
 
     def calibrate(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> NoisyOr:
         """Fits slope and shift of the documents' log odds on labelled documents that training did not see, by Newton's method."""
-        x = np.array([self.log_odds(w, s, int(s.max()) + 1 if len(s) else 1) for w, s in bags])
+        x = np.array([self.log_odds(-np.logaddexp(0, self.bias + np.bincount(s, self.w[w], minlength=1))) for w, s in bags])
         x = np.stack([np.clip(x, -12, 12), np.ones(len(x))], axis=1)
         theta = np.array([1.0, 0.0])
         for _ in range(30):
@@ -59,11 +63,21 @@ class NoisyOr:
             self.slope, self.shift = map(float, theta)
         return self
 
-    def offending(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """Byte bounds and probability of the sentences with at least ``least``."""
-        words, sentence, bounds = words_and_sentences(text)
-        p = -np.expm1(self.sentences(words, sentence, max(1, len(bounds))))
-        return [(*bounds[i], float(p[i])) for i in np.flatnonzero(p >= least) if bounds]
+    def judged(self, text: str | None, least: float = 0.5, at: float = 0.7) -> tuple[float, list[tuple[int, int, float]]]:
+        """(score, byte bounds and probability of the offending sentences): those of ``least`` or more, and of a document of ``at`` or more its likeliest one at least."""
+        clear, ends, n = self.clear(text)
+        score, p = self.of_document(clear), -np.expm1(clear)
+        bad = set(np.flatnonzero(p >= least).tolist()) | ({int(p.argmax())} if score >= at else set())
+        bounds = bounds_of(ends, n) if bad else []
+        return score, [(*bounds[i], float(p[i])) for i in sorted(bad) if bounds]
+
+    @staticmethod
+    def slopes(z: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+        """(negative log likelihood of the documents, its slopes by the sentences' z): a sentence's share in the noisy-or."""
+        clear = np.bincount(doc, -np.logaddexp(0, z), minlength=len(label))
+        toxic = np.maximum(-np.expm1(clear), 1e-9)
+        odds = np.where(label, -np.exp(clear) / toxic, 1.0)
+        return float(np.where(label, -np.log(toxic), -clear).sum()), odds[doc] / (1 + np.exp(-np.clip(z, -40, 40)))
 
     @staticmethod
     def _part(bags: list, toxic: np.ndarray) -> tuple:
@@ -93,10 +107,7 @@ class NoisyOr:
         for _ in range(rounds):
             g, gb = 0.01 * w, 0.0
             for col, sent, doc, label in parts:
-                z = bias + np.bincount(sent, w[col], minlength=len(doc))
-                clear = np.bincount(doc, -np.logaddexp(0, z), minlength=len(label))
-                odds = np.where(label, -np.exp(clear) / np.maximum(-np.expm1(clear), 1e-9), 1.0)
-                dz = odds[doc] / (1 + np.exp(-np.clip(z, -40, 40)))
+                _, dz = self.slopes(bias + np.bincount(sent, w[col], minlength=len(doc)), doc, label)
                 g += np.bincount(col, dz[sent], minlength=len(used))
                 gb += dz.sum()
             speed = 0.8 * speed - np.clip(scale * g, -0.3, 0.3)
@@ -106,29 +117,36 @@ class NoisyOr:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 7000) -> NoisyOr:
-    """Documents with labels (doc_id, toxic) that aren't held out, about ``bound`` of them by a hash of doc_id."""
+def late(doc_id: int) -> bool:
+    """Which of the training documents are kept for the calibration."""
+    return zlib.crc32(f"calibrate {doc_id}".encode()) % 5 == 0
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = 7000, most_bytes: int = 16 << 20) -> NoisyOr:
+    """Documents with labels (doc_id, toxic) that aren't held out, about ``bound`` of them by a hash of doc_id and of up to ``most_bytes`` in all; a fifth calibrates."""
 
     def run(batches):
         for b in batches:
-            bags = [words_and_sentences(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.astype("<i4").tobytes() for w, _, _ in bags], pa.binary()), pa.array([s.astype("<i4").tobytes() for _, s, _ in bags], pa.binary())], ["toxic", "words", "sentences"])
+            bags = [words_and_sentences(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w.astype("<i4").tobytes() for w, _, _ in bags], pa.binary()), pa.array([s.astype("<i4").tobytes() for _, s, _ in bags], pa.binary())], ["doc_id", "toxic", "words", "sentences"])
 
     seen = labels.where("toxic is not null and doc_id is not null").where(~held(F.col("doc_id")))
     chosen = sample_of(seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), bound)
-    rows = gathered(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text"), run, "toxic int, words binary, sentences binary")
+    rows = gathered(docs, chosen, run, "doc_id long, toxic int, words binary, sentences binary", most_bytes)
     model = NoisyOr()
-    if any(r[0] for r in rows):
-        bags = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4")) for r in rows]
-        toxic, late = np.array([r[0] == 1 for r in rows]), np.arange(len(rows)) % 5 == 4
-        model.fit([b for b, x in zip(bags, late) if not x], toxic[~late])
-        if toxic[late].any():
-            model.calibrate([b for b, x in zip(bags, late) if x], toxic[late])
+    if any(r[1] for r in rows):
+        bags = [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in rows]
+        toxic, kept = np.array([r[1] == 1 for r in rows]), np.array([late(r[0]) for r in rows])
+        if toxic[~kept].any():
+            model.fit([b for b, x in zip(bags, kept) if not x], toxic[~kept])
+        if toxic[kept].any():
+            model.calibrate([b for b, x in zip(bags, kept) if x], toxic[kept])
     return model
 
 
 def score(docs: DataFrame, model: NoisyOr, at: float = 0.7) -> DataFrame:
-    """docs -> doc_id, held_out, score, predicted, offending (start and end bytes in UTF-8 and the probability of each sentence of 0.5 or more).
+    """docs -> doc_id, held_out, score, predicted, offending (start and end bytes in UTF-8 and the probability of each
+    sentence of 0.5 or more, and of a document predicted toxic its likeliest sentence at least).
 
     Null counts as empty; a text without words gets the score of one empty sentence. A model trained
     on no toxic document scores everything near 0. Repeated rows come back as often.
@@ -141,8 +159,9 @@ def score(docs: DataFrame, model: NoisyOr, at: float = 0.7) -> DataFrame:
         m = shared.value
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            p = np.array([m.score(t) for t in texts])
-            spans = [[{"start": s, "end": e, "p": q} for s, e, q in m.offending(t)] if x >= 0.3 else [] for t, x in zip(texts, p)]
+            found = [m.judged(t, at=at) for t in texts]
+            p = np.array([x for x, _ in found])
+            spans = [[{"start": s, "end": e, "p": q} for s, e, q in bad] for _, bad in found]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held_out(i) for i in ids]), pa.array(p), pa.array((p >= at).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "held_out", "score", "predicted", "offending"])
 
@@ -150,5 +169,6 @@ def score(docs: DataFrame, model: NoisyOr, at: float = 0.7) -> DataFrame:
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, offending for each row of documents."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

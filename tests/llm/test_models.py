@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.llm import quality, toxicity
+from daybook.llm import features, quality, toxicity
 from daybook.llm.features import words_and_sentences
 
 WORDS = [a + b for a in "bcdfgklmnprst" for b in ("a", "e", "ing", "ori", "um")]
@@ -78,3 +78,117 @@ def test_sentences_of_words():
     words, sentence, bounds = words_and_sentences("One two. Three!\nvier", ())
     assert sentence.tolist() == [0, 0, 1, 3] and bounds[0] == (0, 8) and len(words) == 4
     assert words_and_sentences("a b")[0].tolist() == words_and_sentences("A  B")[0].tolist()
+
+
+def test_models_and_scores_do_not_depend_on_the_layout(spark, docs):
+    """Rows dealt to tasks in three ways, repeated rows among them, give the same weights and the same scores."""
+    twice = docs.union(docs.where("doc_id % 9 = 0")).union(docs.where("doc_id % 50 = 0").withColumn("text", F.concat("text", F.lit(" more"))))
+    found = []
+    for way in (twice.repartition(7, "text"), twice.coalesce(1), twice.repartition(3).orderBy(F.desc("doc_id"))):
+        tox, qual = toxicity.train(way, way.select("doc_id", "toxic")), quality.train(way, quality.ratings_of(way))
+        a = sorted((r.doc_id, r.score, r.predicted) for r in toxicity.score(way, tox).collect())
+        b = sorted((r.doc_id, r.expected_grade, r.kept) for r in quality.classify(way, qual).collect())
+        found.append((tox.w.tobytes(), tox.bias, tox.slope, tox.shift, qual.w.tobytes(), qual.cuts.tobytes(), a, b))
+    assert found[0] == found[1] == found[2] and len(found[0][-1]) == twice.count()
+
+
+def test_very_long_labelled_texts_do_not_train(spark, docs):
+    long = spark.createDataFrame([(10_001, "vileness. " * 400_000, 1, 1), (10_002, "plain words " * 300_000, 1, 0)], docs.schema)
+    for train in (lambda d: toxicity.train(d, d.select("doc_id", "toxic")), lambda d: quality.train(d, quality.ratings_of(d))):
+        assert (train(docs).w == train(docs.union(long)).w).all()
+    few = quality.gathered(docs, docs.select("doc_id", F.lit(1).alias("g")), lambda bs: bs, "doc_id long, g int, text string", 20_000)
+    assert 0 < sum(len(r.text.encode()) for r in few) <= 20_000 and all(len(r.text.encode()) <= 20_000 // 64 for r in few)
+
+
+def numeric(f, x, i, h=1e-5):
+    up, down = x.copy(), x.copy()
+    up[i], down[i] = up[i] + h, down[i] - h
+    return (f(up) - f(down)) / (2 * h)
+
+
+def test_slopes_of_the_grades_are_those_of_finite_differences():
+    rng = np.random.default_rng(1)
+    m = quality.CumulativeLink(4)
+    m.cuts = np.array([-1.2, 0.1, 0.9])
+    z, grade = rng.normal(size=12), rng.integers(0, 4, 12)
+
+    def loss(z, cuts):
+        sig = lambda x: 1 / (1 + np.exp(-x))
+        tail = lambda i, k: 1.0 if k < 0 else 0.0 if k == len(cuts) else sig(z[i] - cuts[k])
+        return -sum(np.log(tail(i, g - 1) - tail(i, g)) for i, g in enumerate(grade))
+
+    value, dz, dc = m.slopes(z, grade)
+    assert value == pytest.approx(loss(z, m.cuts))
+    assert dz == pytest.approx([numeric(lambda x: loss(x, m.cuts), z, i) for i in range(12)], abs=1e-6)
+    assert dc == pytest.approx([numeric(lambda x: loss(z, x), m.cuts, i) for i in range(3)], abs=1e-6)
+
+
+def test_slopes_of_the_noisy_or_are_those_of_finite_differences():
+    rng = np.random.default_rng(2)
+    doc, label = np.array([0, 0, 0, 1, 2, 2, 3, 3]), np.array([True, False, False, True])
+    z = rng.normal(size=8)
+
+    def loss(z):
+        out = 0.0
+        for d in range(4):
+            clear = np.prod([1 - 1 / (1 + np.exp(-x)) for x in z[doc == d]])
+            out -= np.log(1 - clear if label[d] else clear)
+        return out
+
+    value, dz = toxicity.NoisyOr.slopes(z, doc, label)
+    assert value == pytest.approx(loss(z))
+    assert dz == pytest.approx([numeric(loss, z, i) for i in range(8)], abs=1e-6)
+
+
+def slow_words(text):
+    """(sentence, word or beginning) by plain loops over bytes."""
+    sentence, word, out = 0, b"", []
+    for c in [*(text or "").encode(), 32]:
+        letter = 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128
+        if letter:
+            word += bytes([c + 32 if 65 <= c < 91 else c])
+        elif word:
+            out += [(sentence, word, 0)] + [(sentence, word[:k], k) for k in features.PREFIXES if len(word) > k]
+            word = b""
+        sentence += c in b"\n\r!.?"
+    return out, sentence + 1
+
+
+def test_score_equals_the_slow_one(docs):
+    """Noisy-or as a product over sentences, with a weight for each word and beginning that a dictionary holds."""
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    texts = [r.text for r in docs.limit(60).collect()] + [None, "", "!", "One. two?Three", "Äö vileness. x", "vileness" * 30]
+    weight = {}
+    for t in texts:
+        ids, sentence, _ = words_and_sentences(t)
+        listed, _ = slow_words(t)
+        order = [x for x in listed if x[2] == 0] + [x for k in features.PREFIXES for x in listed if x[2] == k]
+        assert [x[0] for x in order] == sentence.tolist()
+        for (_, w, k), i in zip(order, ids.tolist()):
+            assert weight.setdefault((w, k), model.w[i]) == model.w[i]
+    for t in texts:
+        listed, n = slow_words(t)
+        z = np.full(n, model.bias)
+        for s, w, k in listed:
+            z[s] += weight[w, k]
+        clear = np.prod(1 / (1 + np.exp(z)))
+        want = 1 / (1 + np.exp(-(model.slope * (np.log(1 - clear) - np.log(clear)) + model.shift)))
+        assert model.score(t) == pytest.approx(want, abs=1e-6)
+
+
+def test_long_texts_in_parts_score_the_same(docs, monkeypatch):
+    tox, qual = toxicity.train(docs, docs.select("doc_id", "toxic")), quality.train(docs, quality.ratings_of(docs))
+    texts = [r.text for r in docs.limit(20).collect()] + ["word" * 200, "a. b! " * 100, "vileness " * 60, "ä" * 300, "", "\n" * 200]
+    whole = [(tox.judged(t), qual.score(t)) for t in texts]
+    for size in (16, 64, 150):
+        monkeypatch.setattr(features, "CHUNK", size)
+        for t, ((p, spans), q) in zip(texts, whole):
+            p2, spans2 = tox.judged(t)
+            assert p2 == pytest.approx(p) and [s[:2] for s in spans2] == [s[:2] for s in spans] and qual.score(t) == pytest.approx(q)
+
+
+def test_a_toxic_document_names_a_sentence(docs):
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    model.shift += 6
+    rows = toxicity.score(docs, model).collect()
+    assert any(r.predicted for r in rows) and all(r.offending for r in rows if r.predicted)
