@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,3 +61,62 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail me@x.org or +1 (234) 567-8901."), (2, "nothing"), (3, None)], "doc_id long, text string")
     rows = pii.find_pii(df).select("doc_id", pii.redact(F.coalesce("text", F.lit("")), F.col("pii")).alias("t")).collect()
     assert {r.doc_id: r.t for r in rows} == {1: "mail [EMAIL] or [PHONE].", 2: "nothing", 3: ""}
+
+
+def redacted(text, spans):
+    out, at = "", 0
+    for start, _, end, kind in spans:
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def cleaned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_pii(df).select("doc_id", "pii", pii.redact(F.coalesce("text", F.lit("")), F.col("pii")).alias("t")).collect()
+    return {r.doc_id: (r.t, [(s.start, s.rank, s.end, s.kind) for s in r.pii]) for r in rows}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["a@b.co", "1.2.3.4", "+1 234 567 8901", "4111 1111 1111 1111", "4111111111111111@x.org", "word ", "\n", "\U0001f600", "é" * 600, " ", "1", "."]), max_size=12).map("".join), min_size=15, max_size=40))
+def test_redaction_equals_the_plain_one(spark, texts):
+    got = cleaned(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i][0] == redacted(t, got[i][1])
+        assert [s for s in got[i][1] if s[3] in pii.BASE] == base(t)
+
+
+def test_a_hundred_thousand_addresses_in_one_text(spark):
+    text = " ".join(f"a{i}@b.co" for i in range(100_000))
+    began = time.time()
+    got, spans = cleaned(spark, [text])[0]
+    assert len(spans) == 100_000 and got == " ".join(["[EMAIL]"] * 100_000)
+    assert time.time() - began < 60
+
+
+def kinds(spark, *texts):
+    got = found(spark, list(texts))
+    return [[(t[s[0] : s[2]], s[3]) for s in got[i] if s[3] not in pii.BASE] for i, t in enumerate(texts)]
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    want = ("DE89 3704 0044 0532 0130 00", "iban")
+    assert kinds(spark, f"{want[0]} BIC COBADEFF", "DE89370400440532013000 ABC", f"{want[0]}1", "NO9386011117947 AND MORE", "ZZ89370400440532013000", "GB82 WEST 1234 5698 7654 32") == [
+        [want], [("DE89370400440532013000", "iban")], [], [("NO9386011117947", "iban")], [], [("GB82 WEST 1234 5698 7654 32", "iban")],
+    ]
+
+
+def test_context_counts_on_both_sides_and_both_ways(spark):
+    ssn = [("123-45-6789", "ssn")]
+    texts = ["123-45-6789 is my social security number", "ssn 123-45-6789", "123-45-6789", "social part no 123-45-6789", "123-45-6789" + " " * 50 + "social", "ssn 000-12-3456", "ssn 123-00-4567", "ssn 123-45-0000", "ssn 666-12-3456", "ssn 912-34-5678"]
+    assert kinds(spark, *texts) == [ssn, ssn, [], [], [], [], [], [], [], []]
+    df = spark.createDataFrame([(1, "server 10.0.0.1"), (2, "10.0.0.1"), (3, "version 10.0.0.1"), (4, "10.0.0.1 is the host of version 2")], "doc_id long, text string")
+    assert {r.doc_id: r.pii[0].score for r in pii.find_pii(df).collect()} == {1: 0.8, 2: 0.6, 3: 0.4, 4: 0.6}
+
+
+def test_clashing_columns_repeated_rows_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 5)] * 2 + [(None, None, 6)], "doc_id long, text string, score long").withColumn("pii", F.lit("x"))
+    rows = pii.find_pii(df).collect()
+    assert sorted((str(r.doc_id), len(r.pii), r.score) for r in rows) == [("1", 1, 5), ("1", 1, 5), ("None", 0, 6)]
+    assert pii.find_pii(df.limit(0)).count() == 0
