@@ -1,55 +1,130 @@
 """Operator 5, line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-Documents arrive in batches of rising doc_id. The runs hold the 128-bit hash of every line key
-seen so far and the document that held it first. Each batch anti-joins the runs by sort-merge,
-writes its own new keys as a sorted run, and drops the lines whose key an earlier document holds.
-When a level has ``fanout`` runs they are merged into one run of the next level, so a key is
-rewritten only a logarithmic number of times.
+Documents arrive in batches of rising doc_id. The runs hold the 128-bit digest of every line key
+seen so far and the document that held it first; they are bucketed and sorted by digest, so no
+join moves or reorders them. Each batch's distinct keys meet all runs in one left join, bucket by
+bucket. What comes of it is written once, as a run: the keys that no run had are new, and those
+that a run had, or that two documents of the batch share, say which lines go. When a level has
+``fanout`` runs they are merged, again bucket by bucket, into one run of the next level, so a key
+is rewritten only a logarithmic number of times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, UPPER, Scratch, table
+from .common import BLANKS, UPPER, Scratch, delete, table
 
-HASH = ["h1", "h2"]
+#: Columns of a run's table: the digest, the document that first held it, whether that is news of this run, whether lines must go.
+RUN = "key binary, first bigint, new boolean, shared boolean"
 
 
 class SortedRuns:
-    """The levels of runs: (h1, h2, first) each, sorted by hash, no key in two runs."""
-
-    def __init__(self, scratch: Scratch, schema, fanout: int):
-        self.scratch, self.schema, self.fanout = scratch, schema, fanout
-        self.levels: list[list[str]] = []
-
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    """The levels of runs in a folder, no key in two runs. The folder outlives the session, so later batches go on from it.
 
-    def read(self, paths: list[str]) -> DataFrame:
-        spark = self.scratch.spark
-        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+    A manifest with the next number makes a change current once the runs it names are whole; runs
+    that no manifest names any more are deleted after it. ``buckets`` counts when the folder is new.
+    """
 
-    def all(self) -> DataFrame:
-        return self.read(self.paths())
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, fanout: int = 2):
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        self.parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: dict[str, str] = {}
+        self.number, held = self._manifest()
+        self.buckets, self.levels = held.get("buckets", buckets or self.parallel), held.get("levels", [])
+
+    def _fs(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _manifest(self) -> tuple[int, dict]:
+        fs, where = self._fs(self.folder)
+        names = sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+        names = [n for n in names if n.startswith("manifest-")]
+        if not names:
+            return 0, {}
+        stream = fs.open(self._fs(f"{self.folder}/{names[-1]}")[1])
+        try:
+            return int(names[-1].split("-")[1]), json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, gone: list[str]) -> None:
+        self.number += 1
+        fs, draft = self._fs(f"{self.folder}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "levels": self.levels}).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"{self.folder}/manifest-{self.number:010d}")[1]):
+            raise RuntimeError("the manifest of the line runs was changed meanwhile")
+        for run in gone:
+            self._close(run)
+            delete(self.spark, f"{self.folder}/{run}")
+
+    def _open(self, run: str) -> DataFrame:
+        if run not in self.tables:
+            self.tables[run] = f"daybook_{run}"
+            self.spark.sql(f"CREATE TABLE {self.tables[run]} ({RUN}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
+        return self.spark.table(self.tables[run])
+
+    def _close(self, run: str) -> None:
+        if run in self.tables:
+            self.spark.sql(f"DROP TABLE {self.tables.pop(run)}")
+
+    def close(self) -> None:
+        """Forgets the tables' names; the runs stay in their folder."""
+        for run in list(self.tables):
+            self._close(run)
 
     def _write(self, df: DataFrame) -> str:
-        return self.scratch.write(df.sortWithinPartitions(*HASH))[1]
-
-    def add(self, keys: DataFrame) -> None:
-        run, level = self._write(keys), 0
+        run = f"run_{uuid.uuid4().hex}"
+        self.tables[run] = f"daybook_{run}"
+        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/{run}").format("parquet").saveAsTable(self.tables[run])
+        return run
+
+    def all(self) -> DataFrame | None:
+        """key and first of all runs, in their buckets."""
+        out = None
+        for run in (run for level in self.levels for run in level):
+            one = self._open(run).where("new").select("key", "first")
+            out = one if out is None else out.union(one)
+        return out
+
+    def met(self, firsts: DataFrame) -> DataFrame:
+        """(key, mine, last) of a batch's distinct keys -> a run's table."""
+        if self.buckets != self.parallel:
+            firsts = firsts.repartition(self.buckets, "key")
+        runs = self.all()
+        both = firsts.withColumn("first", F.lit(None).cast("bigint")) if runs is None else firsts.join(runs.hint("merge"), "key", "left")
+        known = F.col("first").isNotNull()
+        return both.select("key", F.coalesce("first", "mine").alias("first"), (~known).alias("new"), (known | (F.col("last") > F.col("mine"))).alias("shared"))
+
+    def add(self, firsts: DataFrame) -> DataFrame:
+        """Adds a batch's keys; returns (key, first) of those of its lines that may have to go. It is read as plain Parquet, so that a join with it can split a hot key."""
+        run, gone, level = self._write(self.met(firsts)), [], 0
+        self.spark.read.schema(RUN).parquet(f"{self.folder}/{run}").where("shared").select("key", "first").write.parquet(f"{self.folder}/shared_{run}")
+        shared = self.spark.read.schema("key binary, first bigint").parquet(f"{self.folder}/shared_{run}")
         while True:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
-                return
+                break
             old, self.levels[level] = self.levels[level], []
-            run = self._write(self.read(old).repartition(*HASH))
-            for p in old:
-                self.scratch.drop(p)
+            merged = None
+            for r in old:
+                one = self._open(r).where("new")
+                merged = one if merged is None else merged.union(one)
+            whole = merged.groupBy("key").agg(F.min("first").alias("first"))  # runs share no key: this only keeps each bucket in one task
+            run = self._write(whole.select("key", "first", F.lit(True).alias("new"), F.lit(False).alias("shared")))
+            gone += old
             level += 1
+        self._commit(gone)
+        return shared
 
 
 def line_key(line: Column) -> Column:
@@ -58,39 +133,40 @@ def line_key(line: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, least: int) -> DataFrame:
-    """A row (doc_id, tag, pos, h1, h2) for each line whose key is long enough; tag tells rows of one doc_id apart by text."""
+    """A row (doc_id, tag, pos, key) for each line whose key is long enough: key is half of its SHA-256, tag tells rows of one doc_id apart by text."""
     low = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.translate("text", UPPER, UPPER.lower()).alias("text")).where("doc_id is not null")
     lines = low.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    return lines.where(F.length("key") >= least).select("doc_id", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    return lines.where(F.length("key") >= least).select("doc_id", "tag", "pos", F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("key"))
 
 
-def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, index: str | None = None) -> DataFrame:
     """docs with ``text`` (null: empty) -> the same rows and columns, plus n_lines, n_dropped and kept_text.
 
     Keys of at least ``least`` code points found in two documents or more stay only in the smallest
     doc_id that holds them (all its occurrences there). A null doc_id takes no part: its row comes
     back whole. Repeated rows of one doc_id count as one document. An empty text is one empty line.
     No columns besides doc_id and text are read; columns named like the three new ones are replaced.
+    With ``index``, a folder of runs, keys that earlier calls saw in other documents go as well,
+    and those of docs are added to it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     steps = [i / batches for i in range(1, batches)]
     cuts = (rows.agg(F.percentile_approx("doc_id", steps, 10000)).first()[0] if steps else None) or []
     batch = sum(((F.col("doc_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     staged, _ = scratch.write(hashed_lines(rows, least).withColumn("batch", batch), "batch")
-    kind = staged.select(*HASH, F.col("doc_id").alias("first")).schema
-    runs, drops = SortedRuns(scratch, kind, fanout), []
+    runs, drops = SortedRuns(spark, index or scratch.path(), fanout=fanout), []
     for b in range(len(set(cuts)) + 1):
         own = staged.where(F.col("batch") == b)
-        firsts = own.groupBy(*HASH).agg(F.min("doc_id").alias("first"))
-        runs.add(firsts.join(runs.all(), HASH, "left_anti"))
-        late = own.join(runs.all(), HASH).where("doc_id > first").select("doc_id", "tag", "pos")
+        shared = runs.add(own.groupBy("key").agg(F.min("doc_id").alias("mine"), F.max("doc_id").alias("last")))
+        late = own.join(shared, "key").where("doc_id <> first").select("doc_id", "tag", "pos")
         drops.append(scratch.write(late)[1])
+    runs.close()
     late = spark.read.schema(late.schema).parquet(*drops)
     cut = late.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text", "doc_id")]
-    whole = docs.select(F.col("doc_id"), F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("whole")).withColumn("tag", F.xxhash64("whole"))
+    whole = docs.select(F.col("doc_id").cast("long"), F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("whole")).withColumn("tag", F.xxhash64("whole"))
     met = whole.join(cut, ["doc_id", "tag"], "left").withColumn("lines", F.split("whole", "\n"))
     starts = F.concat(F.array(F.lit(0)), F.transform("cut", lambda p: p + 1))
     ends = F.concat("cut", F.array(F.size("lines")))
@@ -105,6 +181,7 @@ def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int =
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 for each row of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return cut_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

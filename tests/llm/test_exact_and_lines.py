@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.llm.exact_dedup import exact_dedup
-from daybook.llm.line_dedup import cut_lines
+from daybook.llm.line_dedup import SortedRuns, cut_lines
 
 BLANK = " \t\n\x0b\x0c\r"
 DOCS = [
@@ -67,3 +67,42 @@ def test_lines_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = cut_lines(docs)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute_lines([tuple(r) for r in docs.collect()])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("buckets", [4, 6])
+def test_runs_are_never_moved(spark, tmp_path, buckets):
+    """Neither the join of a batch with the runs nor a merge of runs has an exchange above a run."""
+    runs = SortedRuns(spark, f"file://{tmp_path}/runs", buckets=buckets, fanout=3)
+    firsts = lambda lo, hi: spark.range(lo, hi).selectExpr("unhex(md5(cast(id as string))) AS key", "id + 100 AS doc").groupBy("key").agg(F.min("doc").alias("mine"), F.max("doc").alias("last"))
+    runs.add(firsts(0, 50))
+    runs.add(firsts(30, 80))
+    plan = plan_of(runs.met(firsts(60, 90)))
+    top = plan[: plan.index("Exchange")] if "Exchange" in plan else plan
+    assert "SortMergeJoin" in top and plan.count("Bucketed: true") == 2 and "Union" in plan
+    assert plan[plan.index("Union") :].count("Exchange") == 0
+    assert runs.all().count() == 80
+    runs.add(firsts(0, 100))
+    assert len(runs.levels[0]) == 0 and len(runs.levels[1]) == 1 and runs.all().count() == 100
+    (only,) = runs.levels[1]
+    parts = [f for f in (tmp_path / "runs" / only).iterdir() if f.name.startswith("part-")]
+    assert len(parts) <= buckets
+    runs.close()
+
+
+def test_runs_outlive_their_session(spark, tmp_path):
+    """A second call goes on from the folder, whichever of the two holds the smaller doc_ids; repeating a call changes nothing."""
+    folder = f"file://{tmp_path}/index"
+    first = [(5, "this line is old\nanother old line\nown line of five"), (6, "this line is old")]
+    second = [(1, "this line is old\nbrand new line"), (9, "brand new line\nANOTHER OLD LINE  "), (5, first[0][1])]
+    cut = lambda rows: {r.doc_id: r.kept_text for r in cut_lines(spark.createDataFrame(rows, SCHEMA), batches=2, index=folder).collect()}
+    assert cut(first) == {5: first[0][1], 6: ""}
+    for _ in range(2):
+        assert cut(second) == {1: "brand new line", 9: "", 5: first[0][1]}
+    runs = SortedRuns(spark, folder)
+    assert runs.all().count() == 4
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("daybook_run")]
