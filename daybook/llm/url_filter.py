@@ -1,9 +1,14 @@
 """Operator 1, URL filters as a temporal list join.
 
 List entries are dated additions and removals. They become validity intervals per list and
-pattern; an as-of join then evaluates every capture against the entries active when it was
-fetched. A capture is looked up by the suffixes of its host, by host and first path step, and by
-its whole address, so every match is an equality of keys plus the interval.
+pattern; an as-of join then finds, for every capture, the entries active when it was fetched. A
+capture is looked up by the suffixes of its host, by host and first path step, and by its whole
+address.
+
+The as-of join never makes pairs of intervals and captures: starts of intervals and the distinct
+days on which a listed pattern was captured stand in one sorted sequence for each entry, and the
+last start is carried forward along it. A pattern has a row for each day at most, whatever the
+number of its captures, so a host that holds a third of them is no hot key.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import Scratch, table
 
 FOREVER = "9999-12-31"
 
@@ -30,35 +35,62 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    """The host in lower case, without user, port and a dot at its end; '' where there is none."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*?)\.?(?:[/?#:].*)?$", 1))
 
 
-def lookup_keys(url: Column) -> Column:
-    """array<struct<kind, pattern>> under which entries may be found."""
-    host = host_of(url)
+def suffixes(host: Column) -> Column:
+    """The host and its parent domains."""
     steps = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(steps, i, F.size(steps)), ".").alias("pattern")))
-    first = F.regexp_extract(url, r"^[^:]*://[^/?#]*/([^/?#]*)", 1)
-    path = F.array(F.struct(F.lit("path").alias("kind"), F.concat(host, F.lit("/"), first).alias("pattern")))
-    whole = F.array(F.struct(F.lit("url").alias("kind"), url.alias("pattern")))
-    return F.when(host != "", F.concat(domains, path, whole)).otherwise(whole)
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "."))
+
+
+def first_step(url: Column) -> Column:
+    """Host and first step of the path."""
+    return F.concat(host_of(url), F.lit("/"), F.regexp_extract(url, r"^[^:]*://[^/?#]*/([^/?#]*)", 1))
+
+
+def as_of(days: DataFrame, valid: DataFrame) -> DataFrame:
+    """(kind, pattern, day) and intervals -> kind, pattern, day, list of the intervals that hold on that day."""
+    asked = days.join(valid.select("list", "kind", "pattern").distinct(), ["kind", "pattern"])
+    starts = valid.select("list", "kind", "pattern", F.col("start").alias("day"), F.struct("start", "until").alias("held"))
+    both = starts.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("held", F.lit(None).cast("struct<start:date,until:date>")).withColumn("asks", F.lit(1)))
+    along = Window.partitionBy("list", "kind", "pattern").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("held", F.last("held", ignorenulls=True).over(along))
+    return carried.where("asks = 1 and day < held.until").select("kind", "pattern", "day", "list")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched date) and dated entries -> page_id, url, host, fetched, n_entries, lists, blocked.
 
     n_entries counts the active entries that match, lists names their lists, sorted and joined by
-    commas ('' for none). Null addresses and dates match nothing. Repeated captures come back as
-    often. Empty lists block nothing. Other columns are not read.
+    commas ('' for none). Null addresses and dates match nothing; an address without a host is only
+    looked up as a whole. Repeated captures come back as often. Empty lists block nothing. Other
+    columns are not read. Intervals and matches are written on the way, as both are read more than once.
     """
-    rows = captures.select("page_id", "url", "fetched")
-    keyed = rows.where("url is not null and fetched is not null").distinct().select("page_id", "url", "fetched", F.inline(lookup_keys(F.col("url"))))
-    valid = intervals(entries)
-    hits = keyed.join(valid, ["kind", "pattern"]).where("start <= fetched and fetched < until")
-    found = hits.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("names"))
-    met = rows.alias("r").join(found.alias("f"), F.col("r.page_id").eqNullSafe(F.col("f.page_id")) & (F.col("r.url") == F.col("f.url")) & (F.col("r.fetched") == F.col("f.fetched")), "left")
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return met.select("r.page_id", "r.url", host_of(F.col("r.url")).alias("host"), "r.fetched", n.alias("n_entries"), F.coalesce("names", F.lit("")).alias("lists"), (n > 0).alias("blocked"))
+    scratch = Scratch(captures.sparkSession, "urls")
+    rows = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"), first_step(F.col("url")).alias("step"))
+    known = rows.where("url is not null and fetched is not null")
+    named = known.where("host <> ''")
+    hosts = named.select("host", F.col("fetched").alias("day")).distinct().select("host", "day", F.explode(suffixes(F.col("host"))).alias("pattern"))
+
+    def pairs(kind: str, of: DataFrame) -> DataFrame:
+        return of.select(F.lit(kind).alias("kind"), "pattern", "day").distinct()
+
+    steps, urls = named.select(F.col("step").alias("pattern"), F.col("fetched").alias("day")), known.select(F.col("url").alias("pattern"), F.col("fetched").alias("day"))
+    hits = as_of(pairs("domain", hosts).union(pairs("path", steps)).union(pairs("url", urls)), scratch.keep(intervals(entries)))
+    lists = scratch.keep(hits.groupBy("kind", "pattern", "day").agg(F.sort_array(F.collect_list("list")).alias("names")))
+
+    def of_kind(kind: str, column: str) -> DataFrame:
+        return lists.where(F.col("kind") == kind).select(F.col("pattern").alias(column), F.col("day").alias("fetched"), F.col("names").alias(f"in_{kind}"))
+
+    domains = hosts.withColumnRenamed("day", "fetched").join(of_kind("domain", "pattern"), ["pattern", "fetched"])
+    domains = domains.groupBy("host", "fetched").agg(F.flatten(F.collect_list("in_domain")).alias("in_domain"))
+    met = rows.join(domains, ["host", "fetched"], "left").join(of_kind("path", "step"), ["step", "fetched"], "left").join(of_kind("url", "url"), ["url", "fetched"], "left")
+    none = F.array().cast("array<string>")
+    found = F.concat(*(F.coalesce(f"in_{kind}", none) for kind in ("domain", "path", "url")))
+    out = met.select("page_id", "url", "host", "fetched", found.alias("found"))
+    return out.select("page_id", "url", "host", "fetched", F.size("found").cast("long").alias("n_entries"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("lists"), (F.size("found") > 0).alias("blocked"))
 
 
 def captured(pages: DataFrame) -> DataFrame:
@@ -75,9 +107,10 @@ def dated_lists(pages: DataFrame) -> DataFrame:
     m % 100 to m % 100 + 150; example.net is on "domains" for days 50 to 119 and from day 200.
     """
     day = lambda x: F.date_add(F.to_date(F.lit("2024-01-01")), x.cast("int"))
-    key = F.inline(lookup_keys(F.col("url")))
-    first = pages.where("url is not null").select("page_id", host_of(F.col("url")).alias("host"), key)
-    low = first.where("kind <> 'domain' or pattern = host").groupBy("kind", "pattern").agg(F.min("page_id").alias("m"))
+    host, url = host_of(F.col("url")), F.col("url")
+    keys = {"domain": F.when(host != "", host), "path": F.when(host != "", first_step(url)), "url": url}
+    key = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("pattern")) for k, v in keys.items())))
+    low = pages.select("page_id", key).where("pattern is not null").groupBy("kind", "pattern").agg(F.min("page_id").alias("m"))
     m = F.col("m")
 
     def event(names: DataFrame, name: str, action: str, when: Column) -> DataFrame:
@@ -92,13 +125,14 @@ def dated_lists(pages: DataFrame) -> DataFrame:
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Every page, as a capture, with the entries that hold on its day."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(captured(pages), dated_lists(pages)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 SQL = r"""
 WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 360)::INT AS fetched,
-                  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+                  rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)*([^/?#:@]*)', 2)), '.') AS host,
                   regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]*)', 1) AS step FROM pages),
 s AS (SELECT page_id, host, string_split(host, '.') AS p FROM c),
 x AS (SELECT page_id, host, 'domain' AS kind, array_to_string(list_slice(p, i, len(p)), '.') AS pattern FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)),

@@ -86,3 +86,34 @@ def test_urls_as_of(spark):
         assert r.n_entries == len(hits) and r.lists == ",".join(sorted({n for n, _ in hits})) and r.blocked == bool(hits), r
     assert url_filter.filter_urls(df.limit(0), entries).count() == 0
     assert url_filter.filter_urls(df, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_hosts_without_user_port_and_last_dot(spark):
+    urls = {
+        "http://bad.org/": "bad.org", "http://user@bad.org/": "bad.org", "http://u:p@bad.org/x": "bad.org", "http://bad.org./": "bad.org", "HTTPS://U@BAD.org.:80?q": "bad.org", "http://good.org@bad.org/": "bad.org",
+        "http://good.org/@bad.org": "good.org", "http://bad.org": "bad.org", "http://bad.org.": "bad.org", "http://a@b@bad.org/": "bad.org", "http://good.org?u@bad.org": "good.org", "no address": "", "http://": "", "mailto:a@bad.org": "",
+    }
+    df = spark.createDataFrame([(i, u, day(0)) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("l", "domain", "bad.org", "add", day(0))], "`list` string, kind string, pattern string, action string, day date")
+    for r in url_filter.filter_urls(df, entries).collect():
+        assert r.host == urls[r.url] and r.blocked == (r.host == "bad.org"), r
+    pages = df.drop("fetched")
+    pages.createOrReplaceTempView("url_hosts")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [tuple(r) for r in pages.collect()])
+    got = url_filter.filter_urls(url_filter.captured(pages), url_filter.dated_lists(pages)).selectExpr("page_id", "url", "host", "n_entries", "lists")
+    want = con.execute(f"SELECT page_id, url, host, n_entries, lists FROM ({url_filter.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_many_intervals_and_captures_of_one_pattern_do_not_multiply(spark):
+    """10,000 intervals of one entry and 100,000 captures of its host: the largest table on the way is about their sum."""
+    events = spark.range(10_000).selectExpr("'l' AS list", "'domain' AS kind", "'hot.org' AS pattern", "explode(array(struct('add' AS action, date_add(date'1990-01-01', cast(id * 2 AS int)) AS day), struct('remove' AS action, date_add(date'1990-01-01', cast(id * 2 + 1 AS int)) AS day))) AS e").select("list", "kind", "pattern", "e.*")
+    captures = spark.range(100_000).selectExpr("id AS page_id", "concat('http://hot.org/', id) AS url", "date_add(date'1990-01-01', cast(id % 20000 AS int)) AS fetched")
+    got = url_filter.filter_urls(captures, events)
+    assert got.where("blocked").count() == 50_000 and got.where("blocked and datediff(fetched, date'1990-01-01') % 2 = 1").count() == 0
+    days = spark.range(20_000).selectExpr("'domain' AS kind", "'hot.org' AS pattern", "date_add(date'1990-01-01', cast(id AS int)) AS day")
+    assert url_filter.as_of(days, url_filter.intervals(events)).count() == 10_000
