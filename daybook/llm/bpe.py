@@ -229,6 +229,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to."""
     import public_tokenizers
 
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)

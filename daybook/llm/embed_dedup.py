@@ -4,8 +4,10 @@ Unit vectors with cosine >= c lie within epsilon = sqrt(2 - 2c). They are turned
 directions, put in the order of their grid cells (width epsilon) on the leading ones, and cut into
 blocks along that order. Only blocks whose boxes lie within epsilon meet; inside such a pair the
 two intervals are halved again and again, skipping halves that are provably distant, down to
-leaves that are compared in double precision. Directions only steer the pruning: any rotation
-gives the same links. Equal vectors are joined once and counted.
+leaves that are compared in double precision. Besides the leading coordinates, boxes bound the norm
+of what they leave out. Directions only steer the pruning: any rotation gives the same links.
+Blocks travel in groups: a block is sent once to each group of its partners, not to each partner.
+Equal vectors are joined once and counted.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, table
 from .components import components
 
-LEADING, LEAF = 6, 128
+#: Principal directions; vectors of a leaf; blocks of a group.
+LEADING, LEAF, GROUP = 12, 128, 8
+#: Room for the rounding of coordinates to single precision, beside epsilon squared.
+ROOM = 1e-5
 
 
 def directions(reps: DataFrame, bound: int = 5000) -> dict[int, np.ndarray]:
@@ -41,6 +46,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def number_of(vectors: DataFrame) -> type:
+    """The precision in which the vectors come."""
+    return np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+
+
 def star(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a 0/1 matrix of links between rows and columns: the smallest node (rows first) of each row's and each column's component."""
     rows, cols = hit.shape
@@ -59,7 +69,7 @@ class Pair:
 
     def __init__(self, first: dict, second: dict, least: float, same: bool):
         self.a, self.b, self.least, self.same = first, second, least, same
-        self.eps2 = 2 - 2 * least + 1e-9
+        self.eps2 = 2 - 2 * least + ROOM
         self.deg_a, self.deg_b = np.zeros(len(first["ids"]), np.int64), np.zeros(len(second["ids"]), np.int64)
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -122,12 +132,16 @@ class Pair:
 
 def blocks_of(reps: DataFrame, least: float, size: int) -> DataFrame:
     """Reps in grid order -> block, label, dim, lo and hi of the leading coordinates, and the vectors as bytes."""
+    number = number_of(reps)
     turn, eps = reps.sparkSession.sparkContext.broadcast(directions(reps)), float(np.sqrt(2 - 2 * least))
 
     def near(vectors: list) -> np.ndarray:
+        """Coordinates along the leading directions and the norm of the rest: vectors within epsilon are within epsilon here as well."""
         x = unit(np.array(vectors, np.float64))
         d = turn.value.get(x.shape[1])
-        return x @ d if d is not None else x[:, :LEADING]
+        lead = x @ d if d is not None else x[:, :LEADING]
+        rest = np.sqrt(np.maximum(0, 1 - (lead * lead).sum(axis=1, keepdims=True)))
+        return np.concatenate([lead, rest], axis=1)
 
     def cells(batches):
         for b in batches:
@@ -135,7 +149,7 @@ def blocks_of(reps: DataFrame, least: float, size: int) -> DataFrame:
             out = [None] * len(rows)
             for dim in {len(v) for v in rows}:
                 at = [i for i, v in enumerate(rows) if len(v) == dim]
-                for i, c in zip(at, np.floor(near([rows[i] for i in at]) / eps).astype(np.int32)):
+                for i, c in zip(at, np.floor(near([rows[i] for i in at])[:, :-1] / eps).astype(np.int32)):
                     out[i] = c
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
 
@@ -145,10 +159,10 @@ def blocks_of(reps: DataFrame, least: float, size: int) -> DataFrame:
         def block():
             ids, counts, vectors = zip(*held)
             x = near(vectors)
-            return [(task << 32) + k, *at, x.min(axis=0), x.max(axis=0), np.array(ids, np.int64).tobytes(), np.array(counts, np.int64).tobytes(), np.array(vectors, np.float32).tobytes(), x.tobytes()]
+            return [(task << 32) + k, *at, x.min(axis=0), x.max(axis=0), np.array(ids, np.int64).tobytes(), np.array(counts, np.int64).tobytes(), np.array(vectors, number).tobytes(), x.astype(np.float32).tobytes()]
 
         def batch(row):
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 4]
+            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["block", "label", "dim", "lo", "hi", "ids", "counts", "vectors", "near"])
 
         for b in batches:
@@ -162,9 +176,9 @@ def blocks_of(reps: DataFrame, least: float, size: int) -> DataFrame:
             yield batch(block())
 
     order = ["label", "dim", "cells", "rep"]
-    placed = reps.mapInArrow(cells, "label long, dim int, rep long, n long, embedding array<float>, cells array<int>")
+    placed = reps.mapInArrow(cells, f"label string, dim int, rep long, n long, embedding {reps.schema['embedding'].dataType.simpleString()}, cells array<int>")
     dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(cut, "block long, label long, dim int, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary, near binary")
+    return dealt.mapInArrow(cut, "block long, label string, dim int, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary, near binary")
 
 
 def met_pairs(blocks: DataFrame, least: float) -> DataFrame:
@@ -176,36 +190,55 @@ def met_pairs(blocks: DataFrame, least: float) -> DataFrame:
     b = box.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")[0] - eps), cell(F.col("hi")[0] + eps))))
     b = b.select("label", "dim", "cell", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     gap = F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * least + 1e-9
+    near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * least + ROOM
     both = a.join(b, ["label", "dim", "cell"]).where(near)
     return both.select(F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).distinct()
 
 
-def compared(blocks: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, n): with b null, n more links of a; else an edge of the spanning forest."""
-    load = lambda end: blocks.select(F.col("block").alias(end), F.struct("dim", "ids", "counts", "vectors", "near").alias(f"{end}_data"))
+def compared(blocks: DataFrame, pairs: DataFrame, least: float, number: type) -> DataFrame:
+    """(a, b, n): with b null, n more links of a; else an edge of the spanning forest.
+
+    Blocks that follow each other form groups; a row for each block and each two groups that it is
+    needed in, with its partners there, so a block is sent once to each such two.
+    """
+    group = lambda c: F.shiftright(c, GROUP.bit_length() - 1)
+    grouped = pairs.select(F.xxhash64(group("first"), group("second")).alias("cell"), "first", "second")
+    asks = grouped.groupBy("cell", F.col("first").alias("block")).agg(F.collect_set("second").alias("partners"))
+    asked = grouped.select("cell", F.col("second").alias("block"), F.array().cast("array<bigint>").alias("partners")).distinct()
+    needed = asks.union(asked).groupBy("cell", "block").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    rows = needed.join(blocks.select("block", "dim", "ids", "counts", "vectors", "near"), "block").select("cell", "block", "partners", "dim", "ids", "counts", "vectors", "near")
 
     def read(d: dict) -> dict:
-        vectors = np.frombuffer(d["vectors"], np.float32).reshape(-1, d["dim"]).astype(np.float64)
-        near = np.frombuffer(d["near"], np.float64).reshape(len(vectors), -1)
+        vectors = np.frombuffer(d["vectors"], number).reshape(-1, d["dim"]).astype(np.float64)
+        near = np.frombuffer(d["near"], np.float32).reshape(len(vectors), -1)
         return {"ids": np.frombuffer(d["ids"], np.int64), "counts": np.frombuffer(d["counts"], np.int64), "vectors": vectors, "near": near, "norms": np.linalg.norm(vectors, axis=1)}
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                a, b = read(one["first_data"]), read(one["second_data"])
-                pair = Pair(a, b, least, one["first"] == one["second"]).run()
+    def found(held: dict):
+        data = {block: read(d) for block, d in held.items()}
+        for first, d in held.items():
+            for second in d["partners"]:
+                a, b = data[first], data[second]
+                pair = Pair(a, b, least, first == second).run()
                 ids, deg = np.concatenate([a["ids"], b["ids"]]), np.concatenate([pair.deg_a, pair.deg_b])
                 ok = deg > 0
                 edges = pair.forest()
-                x = [*ids[ok].tolist(), *(e[0] for e in edges)]
-                y = [None] * int(ok.sum()) + [e[1] for e in edges]
-                n = [*deg[ok].tolist(), *[None] * len(edges)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, n)], ["a", "b", "n"])
+                if ok.any():
+                    x = [*ids[ok].tolist(), *(e[0] for e in edges)]
+                    y = [None] * int(ok.sum()) + [e[1] for e in edges]
+                    n = [*deg[ok].tolist(), *[None] * len(edges)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, n)], ["a", "b", "n"])
 
-    both = pairs.join(load("first"), "first").join(load("second"), "second")
-    return both.mapInArrow(run, "a long, b long, n long")
+    def run(batches):
+        held, now = {}, None
+        for batch in batches:
+            for d in batch.to_pylist():
+                if d["cell"] != now:
+                    yield from found(held)
+                    held, now = {}, d["cell"]
+                held[d["block"]] = d
+        yield from found(held)
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, size: int = 512) -> DataFrame:
@@ -213,7 +246,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, size: int = 512) -> Da
 
     Vectors link when labels and lengths are equal and the cosine, in double precision, is ``least``
     or more. Null ids, labels and vectors, zero vectors and those with null or non-finite parts
-    link with nothing: they are their own component and kept. Repeated rows count as vectors of
+    link with nothing: they are their own component and kept. Labels may be of any type that has a
+    text form, and are equal when that is; numbers of double precision are kept as they are. Repeated rows count as vectors of
     their own. component_id is the smallest vec_id reachable. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -221,16 +255,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, size: int = 512) -> Da
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     fine = fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<float>"))
-    rows = rows.withColumn("embedding", F.when(fine, v))
+    kind = "array<float>" if number_of(vectors) is np.float32 else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.when(fine, v).cast(kind).alias("embedding"))
     bounded_batches(spark)
     reps = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     reps = scratch.keep(reps.select("label", F.size("embedding").alias("dim"), "rep", "n", "embedding"))
     blocks = scratch.keep(blocks_of(reps, least, size))
     pairs = scratch.keep(met_pairs(blocks, least))
-    bounded_batches(spark)
-    found = scratch.keep(compared(blocks, pairs, least))
-    bounded_batches(spark)
+    found = scratch.keep(compared(blocks, pairs, least, number_of(rows)))
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     linked = components(found.where("b is not null").select("a", "b"), scratch)
     info = reps.join(degree, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")
@@ -241,6 +273,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, size: int = 512) -> Da
 
 
 def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

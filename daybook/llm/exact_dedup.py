@@ -25,10 +25,10 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 32) -> DataFrame:
     Null doc_ids lose to all others; a group of nulls only has keep_id null and keeps them. Rows
     repeated with the winning doc_id all say kept, for they are one document. An empty table gives
     an empty result; other columns of docs, whatever their names, are not read.
-    ``digest`` may be any function of the text: it steers the shuffle, equality is by content.
+    ``digest`` may be any function of the text, null too: it steers the shuffle, equality is by content.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.coalesce(digest(F.col("text")).cast("string"), F.lit("")))
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     winners = salted.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     groups = winners.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -45,6 +45,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 32) -> DataFrame:
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -363,4 +363,5 @@ def production() -> tuple[str, str]:
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The place of each piece of every document."""
     return packed(table(spark, sf_dir, "documents"), *production()).drop("tag")

@@ -27,6 +27,8 @@ from .components import components
 #: The generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, and the bits (first, width) of the segments.
 GENERATOR, SEGMENTS = 0xC75, ((0, 22), (22, 21), (43, 21))
 SEED = 42
+#: Fingerprints of a bucket that are searched in one task.
+BLOCK = 4096
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -136,8 +138,50 @@ def forest(fps: np.ndarray, most: int) -> tuple[list, list]:
     return a, b
 
 
-def links(uniq: DataFrame, most: int = 4) -> DataFrame:
-    """Distinct fp -> edges (a, b) whose components are those of all links within ``most`` (at most 4) differing bits."""
+def crowds(members: DataFrame, most: int, block: int, scratch: Scratch) -> DataFrame:
+    """(key, fp) members of large buckets -> edges (a, b) that connect what links there; blocks of a bucket meet two by two, each two in a group of their own."""
+
+    def met(batches):
+        for cell, fps in whole_groups(batches):
+            fps = fps.view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            for s, e in zip(first, np.append(first[1:], len(cell))):
+                a, b = forest(np.unique(fps[s:e]), most)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"])
+
+    sizes = scratch.keep(members.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / block).cast("int")).alias("blocks")))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    rows = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(met, "a long, b long")
+
+
+def whole_groups(batches):
+    """The columns of batches sorted by the first one, cut where it changes."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = [np.asarray(c) for c in b.columns]
+        k = part[0]
+        if k[0] == k[-1] and (not held or held[-1][0][-1] == k[0]):
+            held.append(part)
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, part)]
+        cut = np.searchsorted(whole[0], k[-1])
+        held = [[c[cut:] for c in whole]]
+        if cut:
+            yield [c[:cut] for c in whole]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def links(uniq: DataFrame, scratch: Scratch, most: int = 4, block: int = BLOCK) -> DataFrame:
+    """Distinct fp -> edges (a, b) whose components are those of all links within ``most`` (at most 4) differing bits.
+
+    A bucket of more than ``block`` fingerprints is not searched in one task but by ``crowds``.
+    """
     if most > 4:
         raise ValueError("the keys meet all pairs up to 4 differing bits only")
 
@@ -151,40 +195,27 @@ def links(uniq: DataFrame, most: int = 4) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[j : j + 50000]), pa.array(fps[i + at[j : j + 50000]].view(np.int64))], ["key", "fp"])
 
     def met(batches):
-        def found(keys, fps):
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = np.nonzero(new)[0]
+        for keys, fps in whole_groups(batches):
+            fps = fps.view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             count = np.diff(np.append(first, len(keys)))
             two = first[count == 2]
             ok = np.bitwise_count(fps[two] ^ fps[two + 1]) <= most
             a, b = [fps[two][ok]], [fps[two + 1][ok]]
-            for s, n in zip(first[count > 2], count[count > 2]):
+            for s, n in zip(first[(count > 2) & (count <= block)], count[(count > 2) & (count <= block)]):
                 x, y = forest(fps[s : s + n], most)
                 a += x
                 b += y
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"])
-
-        held_k, held_f = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, f = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
-            if k[0] == k[-1] and (not len(held_k[-1]) or held_k[-1][-1] == k[0]):
-                held_k.append(k)
-                held_f.append(f)
-                continue
-            k, f = np.concatenate([*held_k, k]), np.concatenate([*held_f, f])
-            cut = np.searchsorted(k, k[-1])
-            held_k, held_f = [k[cut:]], [f[cut:]]
-            if cut:
-                yield found(k[:cut], f[:cut])
-        k, f = np.concatenate(held_k), np.concatenate(held_f)
-        if len(k):
-            yield found(k, f)
+            a, b, many = np.concatenate(a), np.concatenate(b), np.repeat(count > block, count)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["key", "a", "b"])
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(fps[many].view(np.int64)), pa.nulls(int(many.sum()), pa.int64())], ["key", "a", "b"])
 
     bounded_batches(uniq.sparkSession)
     keyed = uniq.select("fp").mapInArrow(spread, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long")
+    found = scratch.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(met, "key long, a long, b long"))
+    crowded = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    return found.where("key is null").select("a", "b").union(crowds(crowded, most, block, scratch))
 
 
 def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
@@ -199,7 +230,7 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, size))
     uniq = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = scratch.keep(components(scratch.keep(links(uniq, most)), scratch))
+    linked = scratch.keep(components(links(uniq, scratch, most), scratch))
     member = scratch.keep(linked.join(uniq, linked["node"] == uniq["fp"]).select("fp", "root", "first"))
     least = scratch.keep(member.groupBy("root").agg(F.min("first").alias("least")))
     joined = scratch.keep(member.join(least, "root").select("fp", "least"))
@@ -208,5 +239,6 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row of documents."""
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

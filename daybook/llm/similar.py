@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches
 from .components import components
-from .simhash import SEED, SEGMENTS, Golay
+from .simhash import SEED, SEGMENTS, Golay, whole_groups
 
 #: Fingerprints of a text; orders of the shingles for each segment.
 WORDS, ORDERS = 3, 2
@@ -105,26 +105,6 @@ def nearest(nodes: np.ndarray, fps: np.ndarray, far: int = FAR, chunk: int = CHU
     return np.concatenate(a), np.concatenate(b)
 
 
-def whole_groups(batches):
-    """The columns of batches sorted by the first one, cut where it changes."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        part = [np.asarray(c) for c in b.columns]
-        k = part[0]
-        if k[0] == k[-1] and (not held or held[-1][0][-1] == k[0]):
-            held.append(part)
-            continue
-        whole = [np.concatenate(c) for c in zip(*held, part)]
-        cut = np.searchsorted(whole[0], k[-1])
-        held = [[c[cut:] for c in whole]]
-        if cut:
-            yield [c[:cut] for c in whole]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
 def met_in_buckets(uniq: DataFrame) -> DataFrame:
     """node, sketch binary -> key, a, b: pairs (a, b) of near nodes where key is null; else the members (node, fp) of a bucket that has more than two."""
 

@@ -20,7 +20,7 @@ def frame(spark, rows=DOCS):
     return spark.createDataFrame(rows, SCHEMA).withColumn("digest", F.lit(1)).withColumn("n_lines", F.lit("x")).withColumn("keep_id", F.lit(0)).repartition(3)
 
 
-@pytest.mark.parametrize("digest", [lambda t: F.sha2(t, 256), lambda t: F.lit("all collide"), lambda t: F.length(t)])
+@pytest.mark.parametrize("digest", [lambda t: F.sha2(t, 256), lambda t: F.lit("all collide"), lambda t: F.length(t), lambda t: F.when(t != "other", t), lambda t: F.lit(None).cast("string")])
 def test_exact(spark, digest):
     got = sorted(((r.doc_id, r.text_sha256, r.keep_id, r.group_size, r.kept) for r in exact_dedup(frame(spark), digest).collect()), key=str)
     want = []

@@ -89,3 +89,28 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(200, 240)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
     assert got == {i: 10 for i in range(10, 61)} | {i: 100 for i in [100, *range(200, 240)]}
+
+
+def test_crowded_buckets_are_searched_in_blocks(spark):
+    """With blocks of eight, most buckets of this crowd are split; the components stay those of brute force."""
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 5, 7, 9]))) for _ in range(260)} | {centre ^ sum(1 << b for b in rng.sample(range(30), 12)) for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    up = {f: f for f in signed}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 4:
+                x, y = sorted((root(signed[i]), root(signed[j])))
+                up[y] = x
+    uniq = spark.createDataFrame([(f,) for f in signed], "fp long")
+    scratch = Scratch(spark, "crowd")
+    for block in (8, 4096):
+        got = {r.node: r.root for r in components(simhash.links(uniq, scratch, 4, block), scratch).collect()}
+        assert {f: got.get(f, f) for f in signed} == {f: root(f) for f in signed}

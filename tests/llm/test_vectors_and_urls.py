@@ -117,3 +117,22 @@ def test_many_intervals_and_captures_of_one_pattern_do_not_multiply(spark):
     assert got.where("blocked").count() == 50_000 and got.where("blocked and datediff(fetched, date'1990-01-01') % 2 = 1").count() == 0
     days = spark.range(20_000).selectExpr("'domain' AS kind", "'hot.org' AS pattern", "date_add(date'1990-01-01', cast(id AS int)) AS day")
     assert url_filter.as_of(days, url_filter.intervals(events)).count() == 10_000
+
+
+def test_double_vectors_and_text_labels_keep_their_types(spark):
+    """A pair just at the limit in double precision, which single precision would lose, and labels that are no numbers."""
+    base, other = np.zeros(16), np.zeros(16)
+    base[0], other[0], other[1] = 1.0, 0.93 + 1e-12, np.sqrt(1 - 0.93**2)
+    under = other.copy()
+    under[0] = 0.93 - 1e-9
+    rows = [(1, base.tolist(), "a"), (2, other.tolist(), "a"), (3, (-base).tolist(), "a"), (4, base.tolist(), "b"), (5, under.tolist(), "b"), (6, base.tolist(), None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6)]
+
+
+def test_many_small_blocks_in_groups(spark):
+    rows = vectors(900, seed=9)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = [tuple(r) for r in embed_dedup.near_vectors(df, size=7).collect()]
+    want = [(v, n, c, k) if v is not None else (None, 0, None, True) for v, n, c, k in slow(rows)]
+    assert sorted(got, key=str) == sorted(want, key=str)
