@@ -6,10 +6,12 @@ SimHash, so the few bits of ``simhash.near_groups`` miss most of them. Here thre
 two bits or fewer (or in three that decode alike), and then shares a codeword of the Golay code
 with its counterpart. A codeword alone has 12 bits, too few for a large corpus, so each key joins
 it with the smallest of the shingles' hashes under one of several orders, which similar texts share
-as often as they are similar. Members of a bucket are first paired with their nearest earlier one,
-and every such pair is verified by the whole sets of shingles. Then every pair of a bucket within
-``FAR`` bits that these links have not connected is verified too; large buckets are compared block
-by block in tasks of their own.
+as often as they are similar.
+
+Members of a bucket within ``FAR`` bits of each other belong to one family; families that share a
+member are one. All pairs of a family are then verified by their whole sets of shingles, inside the
+tasks that hold the sets: no table of pairs is ever made. A large family is dealt into blocks, and
+each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -22,17 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches
 from .components import components
-from .simhash import SEED, SEGMENTS, Golay, whole_groups
+from .embed_dedup import star
+from .simhash import SEED, SEGMENTS, Golay, forest, whole_groups
 
 #: Fingerprints of a text; orders of the shingles for each segment.
 WORDS, ORDERS = 3, 2
 ROLES = WORDS * len(SEGMENTS)
 #: Candidates differ in at most this many of 64 bits: three standard deviations above the mean at similarity 0.8.
 FAR = 18
-#: Members of a bucket that are compared at once.
-CHUNK = 2048
-#: Buckets with more members than this are compared block by block; about the members of a block.
-BLOCK = 1024
+#: Members of a bucket or a family that are compared in one task, and half of what two blocks have; columns that are multiplied at once.
+BLOCK, CHUNK = 512, 4096
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -83,30 +84,18 @@ def spread_keys(sketches: np.ndarray, codes: list[Golay]) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(at), np.concatenate(fps)
 
 
-def nearest(nodes: np.ndarray, fps: np.ndarray, far: int = FAR, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """(earlier, later): each member's nearest earlier one in its chunk or among the leaders, the members that were far from all before them."""
-    a, b = [], []
-    lead_n, lead_f = np.zeros(0, nodes.dtype), np.zeros(0, np.uint64)
-    for i in range(0, len(nodes), chunk):
-        n, f = nodes[i : i + chunk], fps[i : i + chunk]
-        own = np.bitwise_count(f[:, None] ^ f[None, :]).astype(np.uint8)
-        own[np.triu_indices(len(f))] = 255
-        best = own.argmin(axis=1)
-        least, other = own[np.arange(len(f)), best], n[best]
-        for j in range(0, len(lead_f), chunk):
-            d = np.bitwise_count(f[:, None] ^ lead_f[None, j : j + chunk]).astype(np.uint8)
-            k = d.argmin(axis=1)
-            closer = d[np.arange(len(f)), k] < least
-            least, other = np.where(closer, d[np.arange(len(f)), k], least), np.where(closer, lead_n[j + k], other)
-        ok = (least <= far) & (other != n)
-        a.append(other[ok])
-        b.append(n[ok])
-        lead_n, lead_f = np.concatenate([lead_n, n[least > far]]), np.concatenate([lead_f, f[least > far]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def met_in_buckets(uniq: DataFrame) -> DataFrame:
-    """node, sketch binary -> key, a, b: pairs (a, b) of near nodes where key is null; else the members (node, fp) of a bucket that has more than two."""
+def near_forest(nodes: np.ndarray, fps: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the members of a bucket which links within ``far`` bits connect."""
+    known, first, which = np.unique(fps, return_index=True, return_inverse=True)
+    a, b = forest(known, far)
+    reps = nodes[first]
+    same = np.flatnonzero(reps[which] != nodes)
+    ends = [np.concatenate([*(reps[np.searchsorted(known, x)] for x in side), tied]) for side, tied in ((a, reps[which[same]]), (b, nodes[same]))]
+    return ends[0], ends[1]
+
+
+def families(uniq: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """node, sketch binary -> distinct edges (a, b) that connect the nodes which some bucket holds within FAR bits of each other."""
 
     def spread(batches):
         codes = [Golay(width) for _, width in SEGMENTS]
@@ -117,7 +106,7 @@ def met_in_buckets(uniq: DataFrame) -> DataFrame:
                 keys, at, fps = spread_keys(rows[i : i + 500], codes)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[i + at]), pa.array(fps.view(np.int64))], ["key", "node", "fp"])
 
-    def met(batches):
+    def met(batches, most: int = block):
         for keys, nodes, fps in whole_groups(batches):
             fps = fps.view(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -125,58 +114,93 @@ def met_in_buckets(uniq: DataFrame) -> DataFrame:
             two = first[count == 2]
             two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= FAR) & (nodes[two] != nodes[two + 1])]
             a, b = [nodes[two]], [nodes[two + 1]]
-            for s, n in zip(first[count > 2], count[count > 2]):
-                x, y = nearest(nodes[s : s + n], fps[s : s + n])
+            some = (count > 2) & (count <= most)
+            for s, n in zip(first[some], count[some]):
+                x, y = near_forest(nodes[s : s + n], fps[s : s + n])
                 a.append(x)
                 b.append(y)
-            a, b, many = np.concatenate(a), np.concatenate(b), np.repeat(count > 2, count)
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["key", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(nodes[many]), pa.array(fps[many].view(np.int64))], ["key", "a", "b"])
+            a, b, many = np.concatenate(a), np.concatenate(b), np.repeat(count > most, count)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(nodes[many]), pa.array(fps[many].view(np.int64))], ["key", "a", "b"])
 
     bounded_batches(uniq.sparkSession)
     keyed = uniq.select("node", "sketch").mapInArrow(spread, "key long, node long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "key long, a long, b long")
-
-
-def apart(crowded: DataFrame, known: DataFrame, least: float, scratch: Scratch, far: int = FAR, block: int = BLOCK) -> DataFrame:
-    """(key, node, fp) members of buckets, (node, root, least and most size of its sets) -> distinct pairs (a, b): all of a bucket within ``far`` bits, of different roots, and of sizes that a similarity of ``least`` allows.
-
-    A bucket of more than ``block`` members is dealt into blocks, and each two blocks meet in a group of their own.
+    found = scratch.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(met, "key long, a long, b long"))
+    crowded = found.where("key is not null").toDF("key", "node", "fp")
+    sizes = crowded.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / block).cast("int")).alias("blocks"))
+    rows = in_twos(crowded.join(scratch.keep(sizes), "key"), "key").select("cell", "node", "fp")
+    more = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: met(batches, 1 << 62), "key long, a long, b long")
+    return scratch.keep(found.where("key is null").union(more).select("a", "b").distinct())
+
+
+def in_twos(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with node and blocks (one or more for each key) -> a row, with its cell, for each two blocks of the key that it is in; a single block is a cell."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other or blocks = 1")
+    return dealt.withColumn("cell", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
+
+
+def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For some sets the smallest place that links of a similarity of ``least`` or more reach from each."""
+    n = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if both and both >= least * (n.sum() - both) else 1])
+    column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row, shared = np.repeat(np.arange(len(sets)), n), count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+        lo, hi = np.searchsorted(column, [start, start + CHUNK])
+        part = np.zeros((len(sets), CHUNK), np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1
+        both += part @ part.T
+    hit = (both > 0) & (both >= least * (n[:, None] + n[None, :] - both.astype(np.float64)))
+    np.fill_diagonal(hit, True)
+    return star(hit)[0]
+
+
+def verified(held: DataFrame, least: float, scratch: Scratch, block: int = BLOCK, volume: int = 1 << 20) -> DataFrame:
+    """(family, node, set) -> edges (a, b) that connect what sets of a similarity of ``least`` or more connect in each family.
+
+    A family of more than ``block`` sets, or of more than ``volume`` shingles in all, is dealt into blocks.
     """
 
-    def compared(batches):
-        for cell, own, other, nodes, fps, roots, low, high in whole_groups(batches):
-            fps = fps.view(np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            mixed_ = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
-            a, b, held = [], [], 0
-            for s, e in zip(first[mixed_], np.append(first[1:], len(cell))[mixed_]):
-                for i in range(s, e, 256):
-                    x, y = slice(i, min(e, i + 256)), slice(s, e)
-                    near = np.bitwise_count(fps[x, None] ^ fps[None, y]) <= far
-                    near &= (nodes[x, None] < nodes[None, y]) & (roots[x, None] != roots[None, y])
-                    near &= (high[x, None] >= least * low[None, y]) & (high[None, y] >= least * low[x, None])
-                    near &= (own[x, None] != own[None, y]) | (own[x] == other[x])[:, None]
-                    p, q = np.nonzero(near)
-                    a.append(nodes[i + p])
-                    b.append(nodes[s + q])
-                    held += len(p)
-                    if held > 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
-                        a, b, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
-
-    bounded_batches(crowded.sparkSession)
-    large = crowded.groupBy("key").count().where(F.col("count") > block)
-    blocks = scratch.keep(large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    dealt = crowded.join(F.broadcast(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.join(known, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = dealt.select(cell.alias("cell"), "own", "other", "node", "fp", "root", "low", "high")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long").distinct()
+    def met(batches):
+        for a, b in cells(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def cells(batches):
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            values, lengths = batch.column(2).flatten().to_numpy(), np.asarray(batch.column(2).value_lengths())
+            ends = np.cumsum(lengths)
+            for cell, node, end, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, lengths):
+                if cell != now and nodes:
+                    yield edges(nodes, sets)
+                    nodes, sets = [], []
+                now = cell
+                nodes.append(node)
+                sets.append(values[end - n : end])
+        if nodes:
+            yield edges(nodes, sets)
+
+    def edges(nodes, sets):
+        if len(nodes) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(nodes)
+        nodes, roots = np.array(nodes)[order], alike([sets[i] for i in order], least)
+        child = np.flatnonzero(roots != np.arange(len(nodes)))
+        return nodes[roots[child]], nodes[child]
+
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("set")) / volume)).cast("int").alias("blocks")
+    sizes = scratch.keep(held.groupBy("family").agg(blocks).where("blocks > 1"))
+    dealt = held.join(sizes, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = in_twos(dealt, "family").select("cell", "node", "set")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(met, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -184,8 +208,9 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
 
     Texts link when the sets of their ``size``-word shingles have a Jaccard similarity of ``least``
     or more, or when their words are the same; words are runs without blanks, A-Z lower-cased. Links
-    are exact, but a candidate must share a bucket and be within FAR bits there: that is probabilistic, and none of
-    3,000 made pairs at 0.8 was missed. All such pairs are verified but those that verified links connect. Null counts as empty; texts without words are alike, shorter texts link only when equal.
+    are exact; that two similar texts come into one family is probabilistic, and none of 3,000 made
+    pairs at 0.8 was missed. Null counts as empty; texts without words are alike, texts of fewer
+    words than ``size`` link only when equal.
     Rows of one doc_id count as one document; rows without one take no part. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -198,35 +223,19 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
             digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
             shingles = [shingle_set(w, size) for w in words]
             sketches = [sketch(x).tobytes() for x in shingles]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array([len(x) for x in shingles], pa.int32())], ["doc_id", "digest", "sketch", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "digest", "sketch"])
 
     def sets(batches):
         for b in batches:
-            out = [shingle_set((t or "").encode().lower().split(), size).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "set"])
-
-    def verified(pairs):
-        bounded_batches(spark)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held, held_path = scratch.write(rows.join(ends, "doc_id", "left_semi").mapInArrow(sets, "node long, set array<long>"))
-        left, right = held.toDF("a", "set_a"), held.toDF("b", "set_b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        alike = F.least(F.size("set_a"), F.size("set_b")) >= least * F.greatest(F.size("set_a"), F.size("set_b"))
-        met = pairs.join(right, "b").join(left, "a").where(alike).select("a", "b", F.size("set_a").alias("m"), F.size("set_b").alias("n"), both.alias("c"))
-        links = scratch.keep(met.where(F.col("c") >= least * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b"))
-        scratch.drop(held_path)
-        return links
+            out = [shingle_set((t or "").encode().lower().split(), size).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["family", "node", "set"])
 
     bounded_batches(spark)
-    drawn_ = scratch.keep(rows.mapInArrow(drawn, "doc_id long, digest binary, sketch binary, size int"))
-    uniq, uniq_path = scratch.write(drawn_.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size")))
-    found, found_path = scratch.write(met_in_buckets(uniq))
-    linked = scratch.keep(components(verified(scratch.keep(found.where("key is null").select("a", "b").distinct())), scratch))
-    sizes = uniq.groupBy("node").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    known = scratch.keep(sizes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "high"))
-    crowded = found.where("key is not null").toDF("key", "node", "fp")
-    more = verified(scratch.keep(apart(crowded, known, least, scratch)))
-    scratch.drop(found_path)
-    linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
+    drawn_ = scratch.keep(rows.mapInArrow(drawn, "doc_id long, digest binary, sketch binary"))
+    uniq, uniq_path = scratch.write(drawn_.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
+    family = scratch.keep(components(families(uniq, scratch), scratch).select(F.col("root").alias("family"), F.col("node").alias("doc_id")))
+    held, held_path = scratch.write(rows.join(family, "doc_id").select("family", "doc_id", "text").mapInArrow(sets, "family long, node long, set array<long>"))
+    linked = components(scratch.keep(verified(held, least, scratch)), scratch)
+    scratch.drop(held_path)
     ids = uniq.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return drawn_.select("doc_id", "digest").join(scratch.keep(ids), "digest").select("doc_id", "component_id")

@@ -78,12 +78,39 @@ def test_empty_table_and_clashing_columns(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in similar.similar_groups(odd).collect()) == [(1, 1), (2, 1)]
 
 
-def test_members_pair_with_their_nearest_over_chunks():
-    r = np.random.default_rng(3)
+def reached(n, edges):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_members_of_a_bucket_are_connected_as_by_all_pairs(seed):
+    r = np.random.default_rng(seed)
     centre = r.integers(0, 1 << 63, 5).astype(np.uint64)
-    fps = np.array([centre[i % 5] ^ np.uint64(1 << int(r.integers(64))) for i in range(100)])
-    a, b = similar.nearest(np.arange(100), fps, chunk=16)
-    assert len(b) == 95 and (a % 5 == b % 5).all() and (a < b).all()
+    fps = np.array([centre[i % 5] ^ sum((np.uint64(1 << int(b)) for b in r.choice(64, r.integers(0, 12), replace=False)), np.uint64(0)) for i in range(100)] + [centre[0]] * 3, np.uint64)
+    a, b = similar.near_forest(np.arange(103), fps)
+    pairs = [(i, j) for j in range(103) for i in range(j) if int(fps[i] ^ fps[j]).bit_count() <= similar.FAR]
+    assert len(a) < 103 and reached(103, zip(a.tolist(), b.tolist())) == reached(103, pairs)
+
+
+@pytest.mark.parametrize("seed, n", [(1, 2), (2, 3), (3, 40), (4, 90)])
+def test_sets_are_connected_as_by_all_pairs(seed, n, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 7)
+    r = random.Random(seed)
+    base = [r.sample(range(10_000), 40) for _ in range(max(1, n // 6))]
+    sets = [set(r.choice(base)[r.randrange(4) :]) | set(r.sample(range(10_000), r.randint(0, 6))) for _ in range(n)] + [set()]
+    got = similar.alike([np.array(sorted(x), np.int64) for x in sets], LEAST).tolist()
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] & sets[j] and len(sets[i] & sets[j]) >= LEAST * len(sets[i] | sets[j])]
+    assert got == reached(len(sets), pairs)
 
 
 def crowd(seed, n, twins, words=300, share=0.02):
@@ -108,13 +135,11 @@ def test_near_copies_inside_a_crowded_family(spark):
     assert run(spark, rows)[0] == want
 
 
-def test_blocks_of_a_bucket_meet_in_all_pairs(spark, tmp_path):
-    r = np.random.default_rng(4)
-    n, centre = 300, int(r.integers(0, 1 << 62))
-    fps = [centre ^ sum(1 << int(b) for b in r.choice(62, 9, replace=False)) for _ in range(n)]
-    roots, sizes = [i // 2 * 2 for i in range(n)], [int(r.integers(100, 160)) for _ in range(n)]
-    crowded = spark.createDataFrame([(k, i, fps[i]) for k in (7, -7) for i in range(n if k == 7 else 9)], "key long, node long, fp long")
-    known = spark.createDataFrame([(i, roots[i], sizes[i], sizes[i]) for i in range(n)], "node long, root long, low int, high int")
-    got = [tuple(x) for x in similar.apart(crowded, known, LEAST, similar.Scratch(spark, "apart"), block=32).collect()]
-    want = {(i, j) for j in range(n) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= similar.FAR and roots[i] != roots[j] and min(sizes[i], sizes[j]) >= LEAST * max(sizes[i], sizes[j])}
-    assert len(got) == len(set(got)) and set(got) == want
+def test_large_families_and_buckets_in_blocks(spark, monkeypatch):
+    """With blocks of a few members every family and bucket is split, and the groups stay the same."""
+    rows = list(enumerate(crowd(6, 90, 40, words=120)))
+    want = brute(rows)
+    families, verified = similar.families, similar.verified
+    monkeypatch.setattr(similar, "families", lambda uniq, scratch: families(uniq, scratch, 8))
+    monkeypatch.setattr(similar, "verified", lambda held, least, scratch: verified(held, least, scratch, 10, 900))
+    assert run(spark, rows)[0] == want
