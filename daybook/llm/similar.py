@@ -33,7 +33,7 @@ ROLES = WORDS * len(SEGMENTS)
 #: Candidates differ in at most this many of 64 bits: three standard deviations above the mean at similarity 0.8.
 FAR = 18
 #: Members of a bucket or a family that are compared in one task, and half of what two blocks have; columns that are multiplied at once.
-BLOCK, CHUNK = 512, 4096
+BLOCK, CHUNK = 1024, 4096
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
