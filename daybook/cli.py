@@ -1,8 +1,9 @@
-"""Command line: build, images, status. Exit codes: 2 something is missing, 3 the server banned us, 1 anything else."""
+"""Command line: fetch, images, userpics, video-posters, build, status. Exit codes: 2 something is missing, 3 the server banned us, 1 anything else."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from daybook.sources.paging import Banned
@@ -62,27 +63,93 @@ def build(spark, store, root: str) -> int:
     return 0
 
 
-def main(argv: list[str] | None = None, spark=None) -> int:
+def send_to(server: str, cookie: str = ""):
+    """body -> (status, text) of a request to the server."""
+
+    def send(body: str) -> tuple[int, str]:
+        from urllib.error import HTTPError
+        from urllib.request import Request, urlopen
+
+        try:
+            with urlopen(Request(server, body.encode(), {"Content-Type": "text/xml"} | ({"Cookie": cookie} if cookie else {})), timeout=60) as r:
+                return r.status, r.read().decode("utf-8", "replace")
+        except HTTPError as e:
+            return e.code, ""
+
+    return send
+
+
+def get(url: str) -> tuple[int, bytes]:
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=20) as r:
+            return r.status, r.read()
+    except HTTPError as e:
+        return e.code, b""
+    except ValueError as e:
+        raise OSError(str(e)) from e
+
+
+COMMANDS = ["fetch", "images", "userpics", "video-posters", "classify", "build", "status"]
+
+
+def run(a, spark, send=None, get=get) -> int:
+    """One command; ``send`` and ``get`` stand for the network."""
+    from datetime import datetime, timezone
+
+    from daybook.operators import localize
+    from daybook.operators.store import Store
+    from daybook.progress import to_stderr
+    from daybook.sources.paging import Client
+    from daybook.sources.sync import sync
+
+    store, now = Store(spark, a.store), datetime.now(timezone.utc).isoformat()
+    if a.command == "fetch":
+        digest = Secret(os.environ.get("DAYBOOK_MD5", ""))
+        if not a.user or not digest.reveal() or not (a.server or send):
+            print("needs --server, --user and the password's MD5 in DAYBOOK_MD5", file=sys.stderr)
+            return 2
+        told = sync(store, Client(send or send_to(a.server), spacing=a.delay), a.user, digest.reveal(), report=to_stderr)
+    elif a.command == "status":
+        told = status(store)
+    elif a.command == "build":
+        return build(spark, store, a.out)
+    elif not store.read("entries").take(1):
+        print("nothing fetched yet", file=sys.stderr)
+        return 2
+    elif a.command == "images":
+        base = a.base or (f"https://{user.replace('_', '-')}.livejournal.com" if (user := a.user or store.get_state("username")) else None)
+        if not base:
+            print("needs --base or --user to resolve relative addresses", file=sys.stderr)
+            return 2
+        told = localize.images(store, base, get, a.out, now, to_stderr)
+    else:
+        told = (localize.userpics if a.command == "userpics" else localize.video_posters)(store, get, a.out, now, to_stderr)
+    for name, n in told.items():
+        print(f"{name}\t{n}")
+    return 0
+
+
+def main(argv: list[str] | None = None, spark=None, send=None, get=get) -> int:
     p = argparse.ArgumentParser("daybook")
-    p.add_argument("command", choices=["build", "status", "classify"])
+    p.add_argument("command", choices=COMMANDS)
     p.add_argument("--store", required=True)
     p.add_argument("--out", default="site")
+    p.add_argument("--server")
+    p.add_argument("--user")
+    p.add_argument("--base", help="address against which relative ones resolve")
+    p.add_argument("--delay", type=float, default=2.0, help="seconds between requests")
     a = p.parse_args(argv)
     if a.command == "classify":
         print("not implemented", file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
 
-    from daybook.operators.store import Store
-
     spark = spark or SparkSession.builder.appName("daybook").getOrCreate()
     try:
-        store = Store(spark, a.store)
-        if a.command == "status":
-            for name, n in status(store).items():
-                print(f"{name}\t{n}")
-            return 0
-        return build(spark, store, a.out)
+        return run(a, spark, send, get)
     except Banned:
         return 3
     except Exception as e:  # noqa: BLE001 - the exit code is the contract

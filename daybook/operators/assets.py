@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybook.shared import checkpointed
+
 
 def host_collapse(refs: DataFrame, min_urls: int = 5, min_share: float = 0.5) -> DataFrame:
     """(hash, host, url) -> blobs that a host serves for many of its addresses: hash, host, distinct_urls, share.
@@ -50,13 +52,16 @@ def lost_reasons(refs: DataFrame) -> DataFrame:
 
 
 def set_cover(pairs: DataFrame, budget: int = 16) -> list:
-    """Greedy cover: up to ``budget`` items (item, element), each covering most elements not yet covered; smallest item at a tie."""
-    chosen, left = [], pairs.select("item", "element").distinct()
+    """Greedy cover: up to ``budget`` items (item, element), each covering most elements not yet covered; smallest item at a tie.
+
+    What is left is written after each step, so a plan holds one step alone; the driver sees one item a step.
+    """
+    chosen, left = [], checkpointed(pairs.select("item", "element").distinct())
+    whole = left
     for _ in range(budget):
         best = left.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").first()
         if best is None:
             break
         chosen.append(best["item"])
-        covered = pairs.where(F.col("item").isin(chosen)).select("element").distinct()
-        left = pairs.select("item", "element").distinct().join(covered, "element", "left_anti")
+        left = checkpointed(left.join(whole.where(F.col("item").eqNullSafe(best["item"])).select("element"), "element", "left_anti").select("item", "element"))
     return chosen

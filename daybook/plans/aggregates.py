@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from daybook.functions import text
-from daybook.operators import assets
+from daybook.operators import assets, audit, localize, pictures
 from daybook.plans.joins import REFS_SQL, assets_of, refs_of
 from daybook.plans.registry import query
 
@@ -248,7 +248,81 @@ def userpic_stats(t):
     return t.labels.agg(F.count("*").alias("known"), F.count_if(F.col("quality") == 1).alias("stored"), F.count_if(F.col("quality") == 0).alias("failed"), F.count_distinct("doc_id").alias("people"))
 
 
-@query("set_cover_hosts")
+def _greedy(steps: int) -> str:
+    """SQL of a greedy cover: each step takes the item with most elements left, the smallest at a tie."""
+    ctes = ["p AS (SELECT DISTINCT user_id AS item, event_id % 97 AS element FROM events)", "l1 AS (SELECT * FROM p)"]
+    for i in range(1, steps + 1):
+        ctes.append(f"b{i} AS (SELECT item FROM l{i} GROUP BY item ORDER BY count(*) DESC, item LIMIT 1)")
+        ctes.append(f"l{i + 1} AS (SELECT * FROM l{i} WHERE element NOT IN (SELECT element FROM p WHERE item IN (SELECT item FROM b{i})))")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {i}::INT AS step, item FROM b{i}" for i in range(1, steps + 1))
+
+
+@query("set_cover_hosts", _greedy(4))
 def set_cover_hosts(t):
     pairs = t.events.select(F.col("user_id").alias("item"), (F.col("event_id") % 97).alias("element"))
     return t.spark.createDataFrame([(i + 1, x) for i, x in enumerate(assets.set_cover(pairs, 4))], "step int, item bigint")
+
+
+#: Bodies with images of a few hosts, one for each order.
+BODIES = """SELECT l_orderkey, string_agg('<img src="http://S' || (l_suppkey % 5) || '.invalid/' || l_partkey || '.png">', '') AS html FROM lineitem GROUP BY 1"""
+
+
+def _bodies(t):
+    image = F.concat(F.lit('<img src="http://S'), (F.col("l_suppkey") % 5).cast("string"), F.lit(".invalid/"), F.col("l_partkey").cast("string"), F.lit('.png">'))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(image)), "").alias("html"))
+
+
+HOSTS = r"""list_transform(regexp_extract_all(html, '(?:src|href)\s*=\s*["'']?(?:https?:)?//([^/"''\s>]+)', 1), lambda h: lower(h))"""
+
+
+@query("concentrated_bodies", f"SELECT * FROM (SELECT l_orderkey, len({HOSTS}) AS refs, len(list_distinct({HOSTS})) AS hosts FROM ({BODIES})) WHERE refs >= 3 AND hosts <= 2 ORDER BY refs DESC, l_orderkey LIMIT 8")
+def concentrated_bodies(t):
+    return localize.concentrated(_bodies(t), "l_orderkey")
+
+
+@query("refs_per_host", f"SELECT host, count(*) AS refs FROM (SELECT unnest({HOSTS}) AS host FROM ({BODIES})) GROUP BY 1")
+def refs_per_host(t):
+    return _bodies(t).select(F.explode(localize.hosts_in(F.col("html"))).alias("host")).groupBy("host").agg(F.count("*").alias("refs"))
+
+
+@query(
+    "extraction_totals",
+    """SELECT count(DISTINCT l_orderkey) AS bodies, count(*) AS occurrences, count(DISTINCT (l_orderkey, l_suppkey % 5, l_partkey)) AS refs, 0::BIGINT AS users, 0::BIGINT AS embeds, 0::BIGINT AS cuts FROM lineitem""",
+)
+def extraction_totals(t):
+    return localize.totals(_bodies(t).select("html", F.lit(None).cast("string").alias("base")))
+
+
+@query("embed_stats", "SELECT count(*) AS known, count(quality) FILTER (WHERE quality = 1) AS stored, count(*) FILTER (WHERE quality IS DISTINCT FROM 1 AND toxic IS NOT NULL) AS failed FROM labels")
+def embed_stats(t):
+    rows = t.labels.select(F.when(F.col("quality") == 1, F.col("quality")).alias("thumb_hash"), F.col("toxic").alias("fetched_at"))
+    return pictures.stats(rows, "thumb_hash")
+
+
+@query("linked_userpics", "SELECT o_orderkey AS picid, CASE WHEN o_custkey % 3 = 0 THEN 'h' || o_custkey END AS hash, CASE WHEN o_custkey % 3 < 2 THEN 'now' END AS fetched_at FROM orders")
+def linked_userpics(t):
+    url = F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("url")
+    pics = t.orders.select(F.col("o_orderkey").alias("picid"), url, F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("fetched_at"))
+    tried = t.orders.where("o_custkey % 3 < 2").select(url, F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("h"), F.col("o_custkey").cast("string"))).alias("hash"))
+    return pictures.link_userpics(pics, tried, "now").select("picid", "hash", "fetched_at")
+
+
+@query(
+    "audit_rollup",
+    """WITH s AS (SELECT l_linenumber % 4 - 1 AS gap, CASE WHEN l_suppkey % 7 > 0 THEN l_suppkey % 2 END AS br_diff FROM lineitem)
+SELECT count(*) AS audited, count(*) FILTER (WHERE gap = 0 AND coalesce(br_diff, 0) = 0) AS parity, count(*) FILTER (WHERE NOT (gap = 0 AND coalesce(br_diff, 0) = 0)) AS diverging,
+count(*) FILTER (WHERE gap > 0) AS gaps, count(*) FILTER (WHERE br_diff <> 0) AS broken_lines, count(*) FILTER (WHERE gap = -1) AS not_located FROM s""",
+)
+def audit_rollup(t):
+    s = t.lineitem.select((F.col("l_linenumber") % 4 - 1).alias("gap"), F.when(F.col("l_suppkey") % 7 > 0, F.col("l_suppkey") % 2).alias("br_diff"))
+    return audit.rollup(s)
+
+
+@query(
+    "entries_to_audit",
+    """SELECT o_orderkey AS ditemid FROM orders WHERE NOT (o_custkey % 2 = 0 AND o_orderkey % 3 > 0 AND o_orderkey % 5 > 0)""",
+)
+def entries_to_audit(t):
+    o = t.orders.select(F.col("o_orderkey").alias("ditemid"), "o_custkey")
+    state = o.where("ditemid % 3 > 0").select("ditemid", F.when(F.col("ditemid") % 5 > 0, 0).otherwise(-1).alias("gap"), F.lit(0).alias("br_diff"))
+    return audit.to_audit(o.select("ditemid"), state, o.where("o_custkey % 2 = 0"))

@@ -57,18 +57,30 @@ def html_render_stats(t):
     )
 
 
-@query("html_sanitize", "SELECT page_id, false AS active, true AS text_kept FROM pages")
+#: Paragraphs without marks, which neither rendering nor redaction may take apart.
+PARAGRAPH = "<p>([^<>&]*)</p>"
+
+
+def _paragraphs(html):
+    return F.array_join(F.regexp_extract_all(html, F.lit(PARAGRAPH), F.lit(1)), "|")
+
+
+@query("html_sanitize", f"SELECT page_id, false AS active, md5(array_to_string(regexp_extract_all(html, '{PARAGRAPH}', 1), '|')) AS paragraphs FROM pages")
 def html_sanitize(t):
     none, held = F.create_map().cast(EMPTY), F.array().cast("array<bigint>")
     out = t.pages.select("page_id", html.render_column(F.col("html"), none, none, held, F.lit(""), F.lit(True)).alias("h"))
-    return out.select("page_id", F.col("h").rlike(r"(?i)<script|<style|\son[a-z]+=|javascript:").alias("active"), (F.length("h") > 0).alias("text_kept"))
+    return out.select("page_id", F.col("h").rlike(r"(?i)<script|<style|\son[a-z]+=|javascript:").alias("active"), F.md5(_paragraphs(F.col("h"))).alias("paragraphs"))
 
 
-@query("redact_html", "SELECT page_id, length(html) > 0 AS same_tags FROM pages")
+@query(
+    "redact_html",
+    rf"SELECT page_id, length(html) > 0 AS same_tags, md5(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(html, '{PARAGRAPH}', 1), '|'), '\p{{L}}', 'x', 'g'), '[0-9]', '0', 'g')) AS paragraphs FROM pages",
+)
 def redact_html(t):
     r = html.redact_udf(F.col("html"))
     tags = lambda c: F.regexp_count(c, F.lit("<[a-zA-Z/!]"))
-    return t.pages.select("page_id", "html", r["html"].alias("out")).select("page_id", (tags(F.col("html")) == tags(F.col("out"))).alias("same_tags"))
+    out = t.pages.select("page_id", "html", r["html"].alias("out"))
+    return out.select("page_id", (tags(F.col("html")) == tags(F.col("out"))).alias("same_tags"), F.md5(_paragraphs(F.col("out"))).alias("paragraphs"))
 
 
 @query("missing_runs", "SELECT * FROM (VALUES ('abc', 'abc', 0), ('abxyc', 'abc', 2), ('abc', '', 3), ('', 'x', 0)) v(a, b, run)")
