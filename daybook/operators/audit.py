@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.harvest import stream
 from daybook.functions.html import missing_run_udf
 from daybook.functions.text import decode_entities, strip_tags
+from daybook.sources.files import VERDICTS
 
 
 def verdicts(rendered: DataFrame, shown: DataFrame) -> DataFrame:
@@ -53,12 +54,11 @@ def still_open(state: DataFrame) -> DataFrame:
 
 
 def save(state: DataFrame, folder: str) -> None:
-    """Adds verdicts to a folder of JSON lines; a killed run keeps all that were saved before."""
-    state.write.mode("append").json(folder)
+    """Adds verdicts, with the time, to a folder of JSON lines; a killed run keeps all that were saved before."""
+    state.withColumn("at", F.current_timestamp()).write.mode("append").json(folder)
 
 
-def load(spark, folder: str) -> DataFrame:
-    """The saved verdicts. Of an entry audited more than once the best one counts: located, then the smallest gap."""
-    kept = spark.read.schema("ditemid bigint, shape string, gap int, br_diff int").json(folder)
-    rank = F.struct((F.col("gap") == -1).alias("a"), "gap", F.abs("br_diff").alias("b"), "shape")
-    return kept.groupBy("ditemid").agg(F.min_by(F.struct("shape", "gap", "br_diff"), rank).alias("v")).select("ditemid", "v.*")
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The saved verdicts, the last one of each entry."""
+    kept = spark.read.schema(f"{VERDICTS}, at timestamp").json(folder)
+    return kept.groupBy("ditemid").agg(F.max_by(F.struct("shape", "gap", "br_diff"), F.struct("at", "gap")).alias("v")).select("ditemid", "v.*")

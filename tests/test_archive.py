@@ -134,6 +134,8 @@ def test_audit(spark, tmp_path):
     audit.save(state, f"file://{tmp_path}/v")
     audit.save(state.where("ditemid = 3").withColumn("gap", F.lit(0)), f"file://{tmp_path}/v")
     assert sorted((r["ditemid"], r["gap"]) for r in audit.load(spark, f"file://{tmp_path}/v").collect()) == [(1, 0), (2, 4), (3, 0)]
+    audit.save(state.where("ditemid = 1").withColumn("gap", F.lit(9)), f"file://{tmp_path}/v")
+    assert audit.load(spark, f"file://{tmp_path}/v").where("ditemid = 1").first()["gap"] == 9
     assert [r["ditemid"] for r in audit.still_open(state).collect()] == [2]
 
 
