@@ -57,8 +57,8 @@ def html_render_stats(t):
     )
 
 
-#: Paragraphs without marks, which neither rendering nor redaction may take apart.
-PARAGRAPH = "<p>([^<>&]*)</p>"
+#: Paragraphs without marks and quotes (rendering reads a quote written as a reference), which neither rendering nor redaction may take apart.
+PARAGRAPH = r"<p>([^<>&\x22\x27]*)</p>"
 
 
 def _paragraphs(html):
