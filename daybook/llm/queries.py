@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, exact_dedup, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
+from . import align, bpe, conversation, embed_dedup, exact_dedup, line_dedup, packing, pii, quality, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_conversation_repair": conversation.op11_conversation_repair,
+        "op12_align": align.op12_align,
+        "op13_topk": topk.op13_topk,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": embed_dedup.SQL,
         "op5_line_dedup": line_dedup.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
+        "op13_topk": topk.SQL,
     }
