@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import html, media, text
 from daybook.operators import assets, pictures
-from daybook.operators.store import Store, flag_poison, record_fetches, update_some
+from daybook.operators.store import Store, Transaction, fetched_blobs, fetched_refs, flag_poison, update_some
 from daybook.progress import Event, Reporter, silent
 from daybook.sources.fetch import fetch_all
 
@@ -76,18 +76,22 @@ def fetched(store: Store, urls: DataFrame, get: Callable[[str], tuple[int, bytes
     return rows.drop("content")
 
 
+def record(tx: Transaction, results: DataFrame) -> None:
+    """Outcomes of fetches, for the references of their addresses and as blobs, in one transaction."""
+    tx.merge("asset_refs", results, fetched_refs)
+    tx.merge("assets", results.where("hash is not null"), fetched_blobs)
+
+
 def images(store: Store, base: str, get, out: str, now: str, report: Reporter = silent, **pace) -> dict:
     """References of all bodies, downloads of what was not tried yet, placeholders by host collapse; returns the statistics."""
     report(Event("start", "images"))
     found = references(bodies(store, base)).dropDuplicates(["source_url", "context", "context_id"])
     found = found.withColumn("id", F.xxhash64("source_url", "context", "context_id"))
-    store.write("asset_refs", update_some(store.read("asset_refs"), found, ["source_url", "context", "context_id"], ["id", "host", "alt_text"]))
+    store.merge("asset_refs", found, lambda old, new: update_some(old, new, ["source_url", "context", "context_id"], ["id", "host", "alt_text"]))
     results = fetched(store, assets.pending(store.read("asset_refs")).withColumnRenamed("source_url", "url"), get, out, now, **pace)
-    refs, blobs = record_fetches(store.read("asset_refs"), store.read("assets"), results)
-    store.write("asset_refs", refs)
-    store.write("assets", blobs)
+    store.transact(lambda tx: record(tx, results))
     collapsed = assets.host_collapse(store.read("asset_refs").withColumnRenamed("source_url", "url"))
-    store.write("assets", flag_poison(store.read("assets"), collapsed))
+    store.merge("assets", collapsed, flag_poison)
     stats = assets.image_stats(store.read("asset_refs"), store.read("assets")).first().asDict()
     report(Event("done", "images", stats["ok"], "images stored"))
     return stats
@@ -107,15 +111,19 @@ def video_posters(store: Store, get, out: str, now: str, report: Reporter = sile
 def _linked(store: Store, name: str, urls: DataFrame, column: str, get, out: str, now: str, report: Reporter, pace: dict) -> dict:
     report(Event("start", name))
     results = fetched(store, urls, get, out, now, **pace)
-    _, blobs = record_fetches(store.read("asset_refs").limit(0), store.read("assets"), results)
-    store.write("assets", blobs)
-    tried, rows = results.select(F.col("source_url").alias("url"), "hash"), store.read(name)
-    if name == "userpics":
-        new = pictures.link_userpics(rows, tried, now)
-    else:
-        asked = pictures.untried(rows).select("ditemid", "idx", text.video_thumb(F.col("url")).alias("url"))
-        new = pictures.link_posters(rows, asked.join(tried, "url").select("ditemid", "idx", "hash"), now)
-    store.write(name, new)
+    tried = results.select(F.col("source_url").alias("url"), "hash")
+
+    def change(tx: Transaction) -> None:
+        tx.merge("assets", results.where("hash is not null"), fetched_blobs)
+        rows = pictures.untried(tx.read(name))
+        if name == "userpics":
+            new = pictures.link_userpics(rows, tried, now)
+        else:
+            asked = rows.select("ditemid", "idx", text.video_thumb(F.col("url")).alias("url"))
+            new = pictures.link_posters(rows, asked.join(tried, "url").select("ditemid", "idx", "hash"), now)
+        tx.upsert(name, new.where("fetched_at is not null"))
+
+    store.transact(change)
     stats = pictures.stats(store.read(name), column).first().asDict()
     report(Event("done", name, stats["stored"], "stored"))
     return stats

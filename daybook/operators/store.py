@@ -1,35 +1,47 @@
-"""The archive's store: a folder of Parquet snapshots, changed by upserts that swap a pointer.
+"""The archive's store: tables in buckets of their keys, changed by transactions over one commit log.
 
-Parquet has no MERGE. A new version of a table is written beside the old one and becomes current
-when an empty pointer file with the next number appears, which names it. Nothing is replaced or
-deleted on the way: at any moment, and after a crash at any point, the highest pointer leads to a
-whole version.
+Parquet has no MERGE. A batch is merged with the buckets that its keys fall into and with no other:
+those are written anew, beside the old ones, and an entry of the log makes the new ones current, for
+all tables of a transaction at once. Nothing is replaced or deleted on the way: at any moment, and
+after a crash at any point, the last entry leads to whole tables.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
+from daybook.operators.log import CommitLog, applied
 from daybook.schemas import TABLES
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of new replace those of old with the same key; columns that one side lacks become null."""
-    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def settled(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key: the last by ``order`` (by default the time of fetching, where there is one), then by the row's JSON, so that any order of arrival gives the same row."""
+    by = [c for c in (order if order is not None else ["fetched_at"]) if c in rows.columns]
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    last = F.max_by(whole, F.struct(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(by)), F.to_json(whole).alias("text")))
+    return rows.groupBy(*key).agg(last.alias("_row")).select("_row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace those of old with the same key; of a key that is twice in new, the ``settled`` row. Columns that one side lacks become null."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(settled(new, key, order), allowMissingColumns=True)
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of new with keys that old lacks are added; nothing is changed."""
-    return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
+    """Rows of new with keys that old lacks are added, of a key that is twice in new the ``settled`` one; nothing is changed."""
+    return old.unionByName(settled(new, key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def update_some(old: DataFrame, new: DataFrame, key: list[str], columns: list[str], on_insert: dict[str, Column] | None = None) -> DataFrame:
-    """Only ``columns`` are taken from new (a null there counts); new keys are inserted with ``on_insert`` for the rest."""
-    both = old.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full")
+    """Only ``columns`` are taken from new (a null there counts); new keys are inserted with ``on_insert`` for the rest. Of a key that is twice in new, the ``settled`` row counts."""
+    both = old.alias("o").join(settled(new, key).withColumn("_new", F.lit(True)).alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full")
     there, fresh = F.col("n._new").isNotNull(), F.col(f"o.{key[0]}").isNull()
     extra = on_insert or {}
 
@@ -55,19 +67,25 @@ def replace_tags(old: DataFrame, entries: DataFrame) -> DataFrame:
     return old.join(entries.select("itemid").distinct(), "itemid", "left_anti").unionByName(new)
 
 
-def record_fetches(refs: DataFrame, assets: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """results (source_url, hash, mime, byte_len, width, height, status, local_path, http_status, error, fetched_at) -> new refs and assets.
-
-    All references to an address get its outcome. The status of a known blob stays: a placeholder once found remains one.
-    """
+def fetched_refs(refs: DataFrame, results: DataFrame) -> DataFrame:
+    """All references to an address get the outcome of its fetch, in results (source_url, hash, http_status, error, fetched_at)."""
     own = ["hash", "http_status", "error", "fetched_at"]
-    r = results.select("source_url", *(F.col(c).alias(f"_{c}") for c in own), F.lit(True).alias("_met"))
+    r = settled(results.select("source_url", *own), ["source_url"]).select("source_url", *(F.col(c).alias(f"_{c}") for c in own), F.lit(True).alias("_met"))
     met = refs.join(r, "source_url", "left")
-    refs2 = met.select(*(F.when(F.col("_met"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in refs.columns))
-    blobs = results.where("hash is not null").select(*assets.columns).dropDuplicates(["hash"])
+    return met.select(*(F.when(F.col("_met"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in refs.columns))
+
+
+def fetched_blobs(assets: DataFrame, results: DataFrame) -> DataFrame:
+    """Blobs of results are added or refreshed. The status of a known blob stays: a placeholder once found remains one."""
+    blobs = settled(results.where("hash is not null").select(*assets.columns), ["hash"])
     status = assets.select("hash", F.col("status").alias("_status"))
     fresh = blobs.join(status, "hash", "left").withColumn("status", F.coalesce("_status", "status")).select(*assets.columns)
-    return refs2, upsert(assets, fresh, ["hash"])
+    return upsert(assets, fresh, ["hash"])
+
+
+def record_fetches(refs: DataFrame, assets: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """results (source_url, hash, mime, byte_len, width, height, status, local_path, http_status, error, fetched_at) -> new refs and assets."""
+    return fetched_refs(refs, results), fetched_blobs(assets, results)
 
 
 def flag_poison(assets: DataFrame, found: DataFrame) -> DataFrame:
@@ -81,59 +99,180 @@ def orphans(child: DataFrame, parent: DataFrame, column: str, key: str) -> DataF
     return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
 
 
-class Store:
-    """Versioned tables in a folder of any file system that Spark reads."""
+#: Adjacent whole-numbered keys that stay together, so that a page of a source falls into few buckets.
+TOGETHER = 1024
+
+
+class Conflict(RuntimeError):
+    """Somebody else changed what a transaction read or wrote."""
+
+
+class Transaction:
+    """Changes of any number of tables that become current together, seen from the state at its beginning and its own changes."""
+
+    def __init__(self, store: Store):
+        self.store, self.spark = store, store.spark
+        self.number, self.base = store.log.head()
+        self.delta: dict = {"tables": {}, "values": {}}
+        self.seen: dict[str, set[str] | None] = {}
+        self.seen_values: set[str] = set()
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _table(self, name: str) -> dict:
+        return applied(self.base, self.delta)["tables"].get(name, {"buckets": 1, "parts": {}})
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+    def _see(self, name: str, buckets: set[str] | None) -> None:
+        before = self.seen.get(name, set())
+        self.seen[name] = None if buckets is None or before is None else before | buckets
 
-    def _pointers(self, name: str) -> list[tuple[int, str]]:
-        """(number, version), the current one last."""
-        fs, where = self._fs(f"{self.root}/{name}")
-        if not fs.exists(where):
-            return []
-        names = (f.getPath().getName() for f in fs.listStatus(where))
-        return sorted((int(n.split("-")[1]), n.split("-")[2]) for n in names if n.startswith("current-"))
+    def _rows(self, name: str, parts: dict) -> DataFrame:
+        schema = self.store.tables[name][0]
+        paths = sorted(f"{self.store.root}/{name}/{folder}/bucket={b}" for b, (folder, _) in parts.items())
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
-        """The current version; columns added since it was written are null."""
-        schema = TABLES[name][0]
-        pointers = self._pointers(name)
-        if not pointers:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{pointers[-1][1]}")
+        """A table as it is; columns added since it was written are null."""
+        self._see(name, None)
+        return self._rows(name, self._table(name)["parts"])
+
+    def bucket(self, name: str, buckets: int) -> Column:
+        """The bucket of a row: by the first column of the key."""
+        first = self.store.tables[name][1][0]
+        whole = isinstance(self.store.tables[name][0][first].dataType, (IntegerType, LongType))
+        return F.pmod(F.xxhash64(F.floor(F.col(first) / TOGETHER) if whole else F.col(first)), F.lit(buckets)).cast("int")
+
+    def _write(self, name: str, rows: DataFrame, buckets: int) -> dict:
+        """Rows in their buckets, in a folder of their own; returns {bucket: [folder, rows]}."""
+        schema, folder = self.store.tables[name][0], uuid.uuid4().hex
+        path = f"{self.store.root}/{name}/{folder}"
+        cast = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).withColumn("bucket", self.bucket(name, buckets))
+        cast.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        held = self.spark.read.schema(StructType([*schema, *StructType().add("bucket", "integer")])).parquet(path).groupBy("bucket").count().collect()
+        return {str(b): [folder, n] for b, n in held}
+
+    def merge(self, name: str, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """``how(old, new)`` of the buckets that new falls into gives their rows; new needs the first column of the key. Where buckets outgrow the store's bound, the table gets more of them."""
+        table = self._table(name)
+        touched = {str(r[0]) for r in new.select(self.bucket(name, table["buckets"]).alias("b")).distinct().collect()}
+        self._see(name, touched)
+        if not touched:
+            return
+        parts = self._write(name, how(self._rows(name, {b: p for b, p in table["parts"].items() if b in touched}), new), table["buckets"])
+        change = self.delta["tables"].setdefault(name, {"buckets": table["buckets"], "parts": {}})
+        change["parts"] |= {b: parts.get(b) for b in touched} | parts
+        self._fit(name)
+
+    def _fit(self, name: str) -> None:
+        table, most = self._table(name), self.store.most
+        if max((n for _, n in table["parts"].values()), default=0) <= most:
+            return
+        rows, buckets = sum(n for _, n in table["parts"].values()), table["buckets"]
+        while rows > buckets * most // 2:
+            buckets *= 2
+        if buckets > table["buckets"]:
+            self._see(name, None)
+            self.delta["tables"][name] = {"buckets": buckets, "whole": True, "parts": self._write(name, self._rows(name, table["parts"]), buckets)}
+
+    def upsert(self, name: str, new: DataFrame, order: list[str] | None = None) -> None:
+        self.merge(name, new, lambda old, rows: upsert(old, rows, self.store.tables[name][1], order))
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version, current once it is whole. Raises if another writer made a version current meanwhile."""
-        version, before = uuid.uuid4().hex, self._pointers(name)
-        df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name][0])).write.parquet(f"{self.root}/{name}/{version}")
-        if self._pointers(name) != before:
-            raise RuntimeError(f"{name} was changed while a new version was written")
-        n = before[-1][0] + 1 if before else 0
-        fs, pointer = self._fs(f"{self.root}/{name}/current-{n:010d}-{version}")
-        fs.create(pointer, False).close()
-
-    def vacuum(self, name: str, keep: int = 2) -> None:
-        """Deletes all but the last ``keep`` versions, the pointers first."""
-        for n, version in self._pointers(name)[:-keep]:
-            for path in (f"{self.root}/{name}/current-{n:010d}-{version}", f"{self.root}/{name}/{version}"):
-                fs, where = self._fs(path)
-                fs.delete(where, True)
-
-    def upsert(self, name: str, new: DataFrame) -> None:
-        self.write(name, upsert(self.read(name), new, TABLES[name][1]))
+        """Replaces the whole table."""
+        self._see(name, None)
+        buckets = self._table(name)["buckets"]
+        self.delta["tables"][name] = {"buckets": buckets, "whole": True, "parts": self._write(name, df, buckets)}
+        self._fit(name)
+
+    def get_state(self, key: str) -> str | None:
+        self.seen_values.add(key)
+        return applied(self.base, self.delta)["values"].get(key)
+
+    def set_state(self, key: str, value: str) -> None:
+        self.seen_values.add(key)
+        self.delta["values"][key] = value
+
+    def _disturbed(self, other: dict) -> bool:
+        for name, change in other.get("tables", {}).items():
+            own = self.seen.get(name, set())
+            if own is None or own and (change.get("whole") or own & change["parts"].keys()):
+                return True
+        return bool(self.seen_values & other.get("values", {}).keys())
+
+    def commit(self) -> None:
+        """Makes the changes current. Behind entries that others made meanwhile, if those left alone what this transaction saw; else raises Conflict."""
+        if not self.delta["tables"] and not self.delta["values"]:
+            return
+        number = self.number + 1
+        while not self.store.log.claim(number, self.delta):
+            if self._disturbed(self.store.log.entry(number)):
+                raise Conflict(f"{', '.join(self.seen) or 'a value'} changed meanwhile")
+            number += 1
+
+
+class Store:
+    """Tables in a folder of any file system that Spark reads and that ``CommitLog`` can use.
+
+    ``tables`` gives each table's type and key, ``most`` the rows of a bucket before the table gets more buckets.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[StructType, list[str]]] = TABLES, most: int = 500_000):
+        self.spark, self.root, self.tables, self.most = spark, root.rstrip("/"), tables, most
+        self.log = CommitLog(spark, f"{self.root}/log")
+
+    def transact(self, change: Callable[[Transaction], object], tries: int = 5):
+        """Runs ``change`` with a transaction and commits it; after a conflict all of it again, on the new state. An exception of its own undoes all."""
+        for left in range(tries - 1, -1, -1):
+            tx = Transaction(self)
+            out = change(tx)
+            try:
+                tx.commit()
+                return out
+            except Conflict:
+                if not left:
+                    raise
+
+    def read(self, name: str) -> DataFrame:
+        if name == "sync_state":
+            return self.spark.createDataFrame(sorted(self.log.head()[1]["values"].items()), self.tables[name][0])
+        return Transaction(self).read(name)
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replaces a table. Raises Conflict if it was changed while df was written, since df may come of it."""
+        self.transact(lambda tx: tx.write(name, df), tries=1)
+
+    def upsert(self, name: str, new: DataFrame, order: list[str] | None = None) -> None:
+        self.transact(lambda tx: tx.upsert(name, new, order))
+
+    def merge(self, name: str, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        self.transact(lambda tx: tx.merge(name, new, how))
 
     def get_state(self, key: str) -> str | None:
-        row = self.read("sync_state").where(F.col("key") == key).select("value").first()
-        return row[0] if row else None
+        return self.log.head()[1]["values"].get(key)
 
     def set_state(self, key: str, value: str) -> None:
-        self.upsert("sync_state", self.spark.createDataFrame([(key, value)], TABLES["sync_state"][0]))
+        self.transact(lambda tx: tx.set_state(key, value))
+
+    def vacuum(self, keep: int = 2, age: float = 86_400.0) -> None:
+        """Deletes what none of the last ``keep`` entries leads to, and the entries before them. Folders younger than ``age`` seconds stay: a transaction may be about to commit them."""
+        last, _ = self.log.head()
+        first = max(1, last - keep + 1)
+        if not last:
+            return
+        used = {(name, b, folder) for n in range(first, last + 1) for name, t in self.log.at(n)["tables"].items() for b, (folder, _) in t["parts"].items()}
+        self.log.forget_before(first)
+        before = (time.time() - age) * 1000
+        for name in self.tables:
+            fs, where = self.log.fs(f"{self.root}/{name}")
+            for version in fs.listStatus(where) if fs.exists(where) else []:
+                if version.getModificationTime() > before:
+                    continue
+                folder = version.getPath().getName()
+                if not any(u[0] == name and u[2] == folder for u in used):
+                    fs.delete(version.getPath(), True)
+                    continue
+                for part in fs.listStatus(version.getPath()):
+                    b = part.getPath().getName().removeprefix("bucket=")
+                    if b.isdigit() and (name, b, folder) not in used:
+                        fs.delete(part.getPath(), True)
 
     def check(self) -> None:
         """Raises if a comment names a poster that isn't known."""

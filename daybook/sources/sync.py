@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.text import split_tags
-from daybook.operators.store import Store, replace_tags, upsert
+from daybook.operators.store import Store, Transaction, replace_tags, settled, upsert
 from daybook.progress import Event, Reporter, silent
 from daybook.schemas import TABLES
 from daybook.sources import comments, files, paging, xmlrpc
@@ -54,12 +54,22 @@ def _now() -> str:
 
 
 def put_entries(store: Store, page: DataFrame) -> int:
-    """Entries with taglist -> entries and their tags; returns how many were new."""
-    new = page.join(store.read("entries").select("itemid"), "itemid", "left_anti").count()
-    store.upsert("entries", page.drop("taglist").withColumn("fetched_at", F.lit(_now())))
+    """Entries with taglist -> entries and their tags, both in one transaction; returns how many were new. Only buckets of the page's ids are written."""
+    page = settled(page.withColumn("fetched_at", F.lit(_now())), ["itemid"])
     tags = page.select("itemid", F.coalesce(split_tags(F.col("taglist")), F.array().cast("array<string>")).alias("tags"))
-    store.write("entry_tags", replace_tags(store.read("entry_tags"), tags))
-    return new
+
+    def change(tx: Transaction) -> int:
+        fresh = []
+
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            fresh.append(new.join(old.select("itemid"), "itemid", "left_anti").count())
+            return upsert(old, new, ["itemid"])
+
+        tx.merge("entries", page.drop("taglist"), merged)
+        tx.merge("entry_tags", tags, replace_tags)
+        return sum(fresh)
+
+    return store.transact(change)
 
 
 def sync_entries(store: Store, ask: Callable[[str, dict], str], report: Reporter = silent) -> int:
@@ -102,11 +112,11 @@ def sync_comments(store: Store, fetch: Callable[[str, int], str], report: Report
     report(Event("start", "comments"))
 
     def index(path: str) -> int:
-        store.upsert("users", comments.posters(spark, path).where("posterid is not null and username is not null").dropDuplicates(["posterid"]))
+        store.upsert("users", comments.posters(spark, path).where("posterid is not null and username is not null"))
         return comments.comment_index(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
     def bodies(path: str) -> int:
-        rows = comments.comment_bodies(spark, path).where("id is not null and jitemid is not null").dropDuplicates(["id"])
+        rows = comments.comment_bodies(spark, path).where("id is not null and jitemid is not null")
         store.upsert("comments", rows.withColumn("fetched_at", F.lit(_now())))
         return rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
@@ -122,7 +132,7 @@ def sync(store: Store, client: paging.Client, user: str, digest: str, export: Ca
     who = xmlrpc.login_of(ask("login", {"getmoods": 0}))
     if who["moods"]:
         moods = store.spark.createDataFrame(who["moods"], TABLES["moods"][0])
-        store.write("moods", upsert(store.read("moods"), moods.dropDuplicates(["moodid"]), ["moodid"]))
+        store.upsert("moods", moods)
     store.set_state("username", who["username"] or user)
     report(Event("done", "login", len(who["moods"]), "moods"))
     if who["usejournals"]:

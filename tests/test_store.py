@@ -96,31 +96,3 @@ def test_long_chains_have_their_depth(spark):
     got = threads.thread_depths(rows)
     assert got.where("id >= 0 and depth = id + 1 and root = 0").count() == n
     assert got.where("id < 0 and depth is null and root is null").count() == 3
-
-
-def test_a_crash_between_write_and_pointer_keeps_the_old_version(spark, tmp_path, monkeypatch):
-    s = store.Store(spark, f"file://{tmp_path}/store")
-    s.upsert("users", users(spark, (1, "a")))
-    seen = []
-    real = s._fs
-    monkeypatch.setattr(s, "_fs", lambda path: (seen.append(path), real(path))[1] if "/current-" not in path else (_ for _ in ()).throw(OSError("crash")))
-    with pytest.raises(OSError):
-        s.upsert("users", users(spark, (2, "b")))
-    monkeypatch.undo()
-    assert [tuple(r) for r in s.read("users").collect()] == [(1, "a")]
-    s.upsert("users", users(spark, (2, "b")))
-    assert s.read("users").count() == 2
-
-
-def test_a_second_writer_is_refused_and_old_versions_go(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/store")
-    for i in range(4):
-        s.upsert("users", users(spark, (i, "a")))
-    before = s._pointers("users")
-    seen = iter([before[:-1], before])
-    other = store.Store(spark, s.root)
-    other._pointers = lambda name: next(seen)
-    with pytest.raises(RuntimeError):
-        other.write("users", users(spark, (9, "z")))
-    s.vacuum("users")
-    assert s.read("users").count() == 4 and len(s._pointers("users")) == 2
