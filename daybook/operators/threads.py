@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybook.operators.order import neighbours
 from daybook.shared import checkpointed
 
 
@@ -30,3 +31,38 @@ def thread_depths(comments: DataFrame) -> DataFrame:
         now = checkpointed(now)
         open_, before = now.where("up is not null").count(), open_
     return now.select("tree", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.when(F.col("up").isNull(), F.col("root")).alias("root"))
+
+
+def reading_order(comments: DataFrame) -> DataFrame:
+    """(tree, id, parent) -> tree, id, place, size, depth: where a comment stands when a thread is read from top to bottom.
+
+    ``place`` counts from 0 within a tree, replies below their parent and by id; ``size`` counts a comment and all below it, so
+    its last reply stands at place + size - 1. Roots and replies whose parent isn't there come at the top, by id; the latter
+    have depth 2. Comments on or above a cycle have nulls; of rows with one id, the one with the smallest parent counts.
+
+    The tour that enters and leaves every comment is a list: each step knows the next from the first reply, the next sibling or
+    the parent. Pointer doubling sums what is left of the list behind each step, in as many joins as the list's length has
+    binary digits. A round that ends no list leaves only cycles. No join or order has a key that many rows share.
+    """
+    rows = comments.groupBy("tree", "id").agg(F.min("parent").alias("parent"))
+    known = rows.select("tree", F.col("id").alias("parent"), F.lit(True).alias("_known"))
+    nodes = rows.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("_known"), F.col("parent")).alias("up"), (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("lost"))
+    near = neighbours(nodes, ["tree", "up", "id"], ["tree", "up", "id"])
+    same = F.col("tree").eqNullSafe(F.col("next_tree")) & F.col("up").eqNullSafe(F.col("next_up"))
+    first = nodes.where("up is not null").groupBy("tree", "up").agg(F.min("id").alias("child")).withColumnRenamed("up", "id")
+    linked = near.select("tree", "id", "up", "lost", F.when(same, F.col("next_id")).alias("sibling")).join(first, ["tree", "id"], "left")
+    deep = F.when(F.col("lost"), 2).otherwise(1).cast("long")
+    enter = linked.select("tree", "id", F.lit(0).alias("leaves"), F.coalesce("child", "id").alias("to"), F.col("child").isNull().cast("int").alias("to_leaves"), F.lit(1).cast("long").alias("n"), deep.alias("d"), deep.alias("own"))
+    leave = linked.select("tree", "id", F.lit(1), F.coalesce("sibling", "up"), F.col("sibling").isNull().cast("int"), F.lit(0).cast("long"), -deep, deep)
+    now = checkpointed(enter.union(leave))
+    open_, before = now.where(F.col("to").isNotNull()).count(), -1
+    while open_ and open_ != before:
+        behind = now.select("tree", F.col("id").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("_to"), F.col("to_leaves").alias("_leaves"), F.col("n").alias("_n"), F.col("d").alias("_d"))
+        going = now.where(F.col("to").isNotNull()).join(behind, ["tree", "to", "to_leaves"])
+        going = going.select("tree", "id", "leaves", F.col("_to").alias("to"), F.col("_leaves").alias("to_leaves"), (F.col("n") + F.col("_n")).alias("n"), (F.col("d") + F.col("_d")).alias("d"), "own")
+        now = checkpointed(now.where(F.col("to").isNull()).union(going))
+        open_, before = now.where(F.col("to").isNotNull()).count(), open_
+    done = F.col("to").isNull()
+    both = now.groupBy("tree", "id").agg(F.max(F.when(done & (F.col("leaves") == 0), F.struct("n", "d", "own"))).alias("in"), F.max(F.when(done & (F.col("leaves") == 1), F.col("n"))).alias("out"))
+    total = both.groupBy("tree").agg(F.max("in.n").alias("total"))
+    return both.join(total, "tree").select("tree", "id", (F.col("total") - F.col("in.n")).alias("place"), (F.col("in.n") - F.col("out")).alias("size"), (F.col("in.own") - F.col("in.d")).alias("depth"))

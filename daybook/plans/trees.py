@@ -40,15 +40,26 @@ def thread_roots(t):
     return threads.thread_depths(chains(t)).groupBy("tree").agg(F.max("depth").alias("deepest"), F.count("*").alias("comments"))
 
 
-@query("thread_paths", f"WITH {CHAINS} SELECT tree, id, (SELECT string_agg(lpad(p.id::VARCHAR, 4, '0'), '/' ORDER BY p.id) FROM ch p WHERE p.tree = ch.tree AND p.id <= ch.id) AS path FROM ch")
+def order_sql(nodes: str) -> str:
+    """Reading order by lists of ids from the root down, over ch(tree, id, parent)."""
+    return f"""WITH RECURSIVE {nodes}, r(tree, id, path, depth) AS (
+SELECT tree, id, [id], CASE WHEN parent IS NULL THEN 1 ELSE 2 END FROM ch WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM ch p WHERE p.tree = ch.tree AND p.id = ch.parent)
+UNION ALL SELECT ch.tree, ch.id, list_append(r.path, ch.id), r.depth + 1 FROM ch JOIN r ON ch.tree = r.tree AND ch.parent = r.id),
+up AS (SELECT tree, id, count(*) AS size FROM (SELECT tree, unnest(path) AS id FROM r) GROUP BY ALL)
+SELECT r.tree, r.id, row_number() OVER (PARTITION BY r.tree ORDER BY path) - 1 AS place, up.size, r.depth FROM r JOIN up USING (tree, id)"""
+
+
+@query("thread_paths", order_sql(CHAINS))
 def thread_paths(t):
-    """Reading order by a recursive query: roots and dangling replies first, children by id below their parent."""
-    chains(t).createOrReplaceTempView("daybook_chains")
-    return t.spark.sql("""
-        WITH RECURSIVE r(tree, id, path) MAX RECURSION LEVEL 1000 AS (
-          SELECT c.tree, c.id, lpad(cast(c.id AS string), 4, '0') FROM daybook_chains c LEFT JOIN daybook_chains p ON c.tree = p.tree AND c.parent = p.id WHERE p.id IS NULL
-          UNION ALL SELECT c.tree, c.id, concat(r.path, '/', lpad(cast(c.id AS string), 4, '0')) FROM daybook_chains c JOIN r ON c.tree = r.tree AND c.parent = r.id)
-        SELECT tree, id, path FROM r""")
+    """Reading order of chains of replies: roots and dangling replies first, children by id below their parent."""
+    return threads.reading_order(chains(t))
+
+
+@query("reading_order", order_sql("ch AS (SELECT user_id % 7 AS tree, event_id AS id, CASE WHEN event_id % 101 > 0 THEN event_id // 7 * 2 END AS parent FROM events WHERE event_id > 0)"))
+def reading_order(t):
+    """Branching threads: every event replies to an earlier one, whose thread may be another, so that many replies dangle."""
+    parent = F.when(F.col("event_id") % 101 > 0, F.floor(F.col("event_id") / 7) * 2)
+    return threads.reading_order(t.events.where("event_id > 0").select((F.col("user_id") % 7).alias("tree"), F.col("event_id").alias("id"), parent.alias("parent")))
 
 
 @query("upsert_entries", "SELECT o_orderkey AS itemid, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS security FROM orders UNION ALL SELECT max(o_orderkey) + 1, 'new' FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from daybook.functions import text
+from daybook.operators.order import neighbours
 from daybook.plans.registry import query
 
 
@@ -15,6 +16,26 @@ def prev_next(t):
     return t.orders.select("o_orderkey", F.lag("o_orderkey").over(w).alias("prev"), F.lead("o_orderkey").over(w).alias("next"))
 
 
+@query(
+    "archive_neighbours",
+    "SELECT o_orderkey, lag(o_orderkey) OVER w AS prev, lag(o_orderstatus) OVER w AS prev_status, lead(o_orderkey) OVER w AS next, lead(o_orderstatus) OVER w AS next_status FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)",
+)
+def archive_neighbours(t):
+    """The entries before and behind in the order of the whole archive."""
+    rows = t.orders.select("o_orderdate", "o_orderkey", "o_orderstatus")
+    near = neighbours(rows, ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    return near.select("o_orderkey", F.col("prev_o_orderkey").alias("prev"), F.col("prev_o_orderstatus").alias("prev_status"), F.col("next_o_orderkey").alias("next"), F.col("next_o_orderstatus").alias("next_status"))
+
+
+@query(
+    "circular_neighbours",
+    "SELECT event_id, coalesce(lag(event_id) OVER w, (SELECT arg_max(event_id, (ts, event_id)) FROM events)) AS prev, coalesce(lead(event_id) OVER w, (SELECT arg_min(event_id, (ts, event_id)) FROM events)) AS next FROM events WINDOW w AS (ORDER BY ts, event_id)",
+)
+def circular_neighbours(t):
+    near = neighbours(t.events.select("ts", "event_id"), ["ts", "event_id"], ["event_id"], circular=True)
+    return near.select("event_id", F.col("prev_event_id").alias("prev"), F.col("next_event_id").alias("next"))
+
+
 @query("month_prev_next", "SELECT month, lag(month) OVER (ORDER BY month) AS prev, lead(month) OVER (ORDER BY month) AS next FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders)")
 def month_prev_next(t):
     months, w = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct(), Window.partitionBy().orderBy("month")  # a row for each month
