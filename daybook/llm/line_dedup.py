@@ -27,15 +27,16 @@ class SortedRuns:
     """The levels of runs in a folder, no key in two runs. The folder outlives the session, so later batches go on from it.
 
     A manifest with the next number makes a change current once the runs it names are whole; runs
-    that no manifest names any more are deleted after it. ``buckets`` counts when the folder is new.
+    that no manifest names any more are deleted after it. ``buckets`` counts when the folder is new;
+    ``most`` bounds the keys of a bucket, and runs that hold more in all get more buckets.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, fanout: int = 2, most: int = 500_000):
+        self.spark, self.folder, self.fanout, self.most = spark, folder.rstrip("/"), fanout, most
         self.parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: dict[str, str] = {}
         self.number, held = self._manifest()
-        self.buckets, self.levels = held.get("buckets", buckets or self.parallel), held.get("levels", [])
+        self.buckets, self.levels, self.rows = held.get("buckets", buckets or self.parallel), held.get("levels", []), held.get("rows", {})
 
     def _fs(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +58,7 @@ class SortedRuns:
         self.number += 1
         fs, draft = self._fs(f"{self.folder}/draft-{uuid.uuid4().hex}")
         out = fs.create(draft, False)
-        out.write(bytearray(json.dumps({"buckets": self.buckets, "levels": self.levels}).encode()))
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "levels": self.levels, "rows": self.rows}).encode()))
         out.close()
         if not fs.rename(draft, self._fs(f"{self.folder}/manifest-{self.number:010d}")[1]):
             raise RuntimeError("the manifest of the line runs was changed meanwhile")
@@ -65,6 +66,25 @@ class SortedRuns:
             self._close(run)
             delete(self.spark, f"{self.folder}/{run}")
 
+    def _plain(self, run: str) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{run}")
+
+    def _grown(self, gone: list[str]) -> None:
+        """Where the runs hold more than ``most`` keys a bucket, one run with enough buckets for twice as many takes their place."""
+        held = [run for level in self.levels for run in level]
+        keys = sum(self.rows.get(run, 0) for run in held)
+        if keys <= self.buckets * self.most:
+            return
+        while keys > self.buckets * self.most // 2:
+            self.buckets *= 2
+        whole = None
+        for run in held:
+            one = self._plain(run).where("new").select("key", "first", F.lit(True).alias("new"), F.lit(False).alias("shared"))
+            whole = one if whole is None else whole.union(one)
+        self.levels = [[] for _ in self.levels[:-1]] + [[self._write(whole.repartition(self.buckets, "key"))]]
+        self.rows = {self.levels[-1][0]: keys}
+        gone += held
+
     def _open(self, run: str) -> DataFrame:
         if run not in self.tables:
             self.tables[run] = f"daybook_{run}"
@@ -106,7 +126,8 @@ class SortedRuns:
     def add(self, firsts: DataFrame) -> DataFrame:
         """Adds a batch's keys; returns (key, first) of those of its lines that may have to go. It is read as plain Parquet, so that a join with it can split a hot key."""
         run, gone, level = self._write(self.met(firsts)), [], 0
-        self.spark.read.schema(RUN).parquet(f"{self.folder}/{run}").where("shared").select("key", "first").write.parquet(f"{self.folder}/shared_{run}")
+        self.rows[run] = self._plain(run).where("new").count()
+        self._plain(run).where("shared").select("key", "first").write.parquet(f"{self.folder}/shared_{run}")
         shared = self.spark.read.schema("key binary, first bigint").parquet(f"{self.folder}/shared_{run}")
         while True:
             if level == len(self.levels):
@@ -121,8 +142,10 @@ class SortedRuns:
                 merged = one if merged is None else merged.union(one)
             whole = merged.groupBy("key").agg(F.min("first").alias("first"))  # runs share no key: this only keeps each bucket in one task
             run = self._write(whole.select("key", "first", F.lit(True).alias("new"), F.lit(False).alias("shared")))
+            self.rows[run] = sum(self.rows.pop(r) for r in old)
             gone += old
             level += 1
+        self._grown(gone)
         self._commit(gone)
         return shared
 
@@ -139,15 +162,15 @@ def hashed_lines(docs: DataFrame, least: int) -> DataFrame:
     return lines.where(F.length("key") >= least).select("doc_id", "tag", "pos", F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("key"))
 
 
-def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, index: str | None = None) -> DataFrame:
+def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, index: str | None = None, most: int = 500_000) -> DataFrame:
     """docs with ``text`` (null: empty) -> the same rows and columns, plus n_lines, n_dropped and kept_text.
 
     Keys of at least ``least`` code points found in two documents or more stay only in the smallest
     doc_id that holds them (all its occurrences there). A null doc_id takes no part: its row comes
     back whole. Repeated rows of one doc_id count as one document. An empty text is one empty line.
-    No columns besides doc_id and text are read; columns named like the three new ones are replaced.
-    With ``index``, a folder of runs, keys that earlier calls saw in other documents go as well,
-    and those of docs are added to it.
+    Besides doc_id and text, columns are handed through, whatever their names; those named like the
+    three new ones are replaced. With ``index``, a folder of runs, keys that earlier calls saw in
+    other documents go as well, and those of docs are added to it. ``most`` bounds the keys of a bucket.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -156,7 +179,8 @@ def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int =
     cuts = (rows.agg(F.percentile_approx("doc_id", steps, 10000)).first()[0] if steps else None) or []
     batch = sum(((F.col("doc_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     staged, _ = scratch.write(hashed_lines(rows, least).withColumn("batch", batch), "batch")
-    runs, drops = SortedRuns(spark, index or scratch.path(), fanout=fanout), []
+    few = staged.count() // most + 1  # no more buckets than the lines can need, for small inputs
+    runs, drops = SortedRuns(spark, index or scratch.path(), min(few, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout, most), []
     for b in range(len(set(cuts)) + 1):
         own = staged.where(F.col("batch") == b)
         shared = runs.add(own.groupBy("key").agg(F.min("doc_id").alias("mine"), F.max("doc_id").alias("last")))
@@ -165,19 +189,21 @@ def cut_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int =
     runs.close()
     late = spark.read.schema(late.schema).parquet(*drops)
     cut = late.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text", "doc_id")]
-    whole = docs.select(F.col("doc_id").cast("long"), F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("whole")).withColumn("tag", F.xxhash64("whole"))
+    # the columns of docs travel in one struct under numbers, so that none meets a name used here
+    given = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(given)))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.coalesce("text", F.lit("")).alias("whole")).withColumn("tag", F.xxhash64("whole"))
     met = whole.join(cut, ["doc_id", "tag"], "left").withColumn("lines", F.split("whole", "\n"))
     starts = F.concat(F.array(F.lit(0)), F.transform("cut", lambda p: p + 1))
     ends = F.concat("cut", F.array(F.size("lines")))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.slice("lines", x["s"] + 1, x["e"] - x["s"])))
-    out = [F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns if c == "doc_id" or c in names]
-    return met.select(
-        *out,
+    counted = met.select(
+        "row",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("cut").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
+    return counted.select(*((F.col("row")[f"c{i}"].cast("long") if c == "doc_id" else F.col("row")[f"c{i}"]).alias(c) for i, c in enumerate(given)), "n_lines", "n_dropped", "kept_text")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

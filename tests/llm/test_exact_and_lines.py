@@ -69,6 +69,51 @@ def test_lines_of_a_table(spark):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute_lines([tuple(r) for r in docs.collect()])
 
 
+def test_lines_hand_any_column_through(spark):
+    """Columns with the names used inside, dots and back-quotes among them."""
+    names = ["lines", "cut", "row", "whole", "tag", "key", "pos", "batch", "a.b", "c0", "odd`name", "first"]
+    df = frame(spark)
+    for k, n in enumerate(names):
+        df = df.withColumn(n, F.lit(k))
+    got = cut_lines(df)
+    assert got.columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_dropped", "kept_text"]
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute_lines(DOCS)
+    assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(range(len(names)))}
+
+
+def test_lines_of_long_texts(spark):
+    """Two texts of some megabytes, one of 100,000 lines, one of a single line."""
+    docs = [(1, "\n".join(f"line number {i % 90_000}" for i in range(100_000))), (2, "x" * 3_000_000), (3, "\n".join(f"line number {i}" for i in range(89_990, 90_010))), (4, "x" * 3_000_000)]
+    got = cut_lines(spark.createDataFrame(docs, SCHEMA))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(docs)
+
+
+def test_exact_of_long_texts(spark):
+    docs = [(1, "x" * 3_000_000), (2, "x" * 3_000_000), (3, "x" * 3_000_000 + "y"), (4, "z" * 2_000_000)]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True)}
+
+
+def test_buckets_grow_with_the_keys(spark, tmp_path):
+    """Runs that outgrow their buckets are written with more of them; no key is lost and later batches join without an exchange above a run."""
+    runs = SortedRuns(spark, f"file://{tmp_path}/runs", buckets=1, most=100)
+    firsts = lambda lo, hi: spark.range(lo, hi).selectExpr("unhex(md5(cast(id as string))) AS key", "id + 100 AS doc").groupBy("key").agg(F.min("doc").alias("mine"), F.max("doc").alias("last"))
+    seen = []
+    for lo in range(0, 1000, 200):
+        shared = runs.add(firsts(max(0, lo - 10), lo + 200))
+        assert shared.count() == (10 if lo else 0)
+        seen.append(runs.buckets)
+        assert sum(runs.rows.values()) == lo + 200 <= runs.buckets * 100
+    assert seen == sorted(seen) and seen[-1] >= 16
+    assert runs.all().groupBy("key").count().where("count > 1").count() == 0 and runs.all().count() == 1000
+    plan = plan_of(runs.met(firsts(0, 20)))
+    assert plan[plan.index("Bucketed: true") - 2000 : plan.index("Bucketed: true")].count("ENSURE_REQUIREMENTS") <= 1
+    runs.close()
+    again = SortedRuns(spark, f"file://{tmp_path}/runs", buckets=1)
+    assert again.buckets == seen[-1] and again.all().count() == 1000
+    again.close()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
