@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from daybook.functions.lazy import arrow_udf
+from daybook.functions.redact import redact, redact_udf  # noqa: F401
 
 EMBEDS = ("iframe", "object", "embed", "video", "lj-embed")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -223,57 +224,6 @@ def render_column(html: Column, live: Column, dead: Column, held: Column, host:
     return run(html, live, dead, held, host, preformatted)
 
 
-SAFE_ATTRIBUTES = {"class", "id", "width", "height", "border", "align", "valign", "colspan", "rowspan", "type", "rel", "target"}
-
-
-class _Redactor(HTMLParser):
-    """Finds what to hide by its offsets, so that the rest of the source stays byte for byte."""
-
-    def __init__(self, source: str):
-        super().__init__(convert_charrefs=False)
-        self.source, self.cuts, self.raw = source, [], 0
-        #: Starts of lines; the parser counts line feeds only.
-        self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
-
-    def at(self) -> int:
-        line, col = self.getpos()
-        return self.lines[line - 1] + col
-
-    def handle_starttag(self, tag, attrs):
-        start, text = self.at(), self.get_starttag_text() or ""
-        for k, v in attrs:
-            if v and k not in SAFE_ATTRIBUTES:
-                m = re.search(rf"\b{re.escape(k)}\s*=\s*([\"']?)", text, re.I)
-                if m:
-                    end = text.find(m[1], m.end()) if m[1] else m.end() + re.match(r"[^\s>]*", text[m.end() :]).end()
-                    self.cuts.append((start + m.end(), start + (end if end >= 0 else len(text)), "x"))
-
-    def handle_data(self, data):
-        start = self.at()
-        for m in re.finditer(r"[^\W\d_]+|\d+", data):
-            self.cuts.append((start + m.start(), start + m.end(), ("0" if m[0][0].isdigit() else "x") * len(m[0])))
-
-
-def redact(html: str | None) -> tuple[str, list[str]]:
-    """(the source with words, numbers and unlisted attribute values replaced, what was removed)."""
-    source = html or ""
-    p = _Redactor(source)
-    p.feed(source)
-    p.close()
-    removed, out, at = [], [], 0
-    for start, end, put in sorted(set(p.cuts)):
-        if start >= at:
-            removed.append(source[start:end])
-            out += [source[at:start], put]
-            at = end
-    return "".join([*out, source[at:]]), removed
-
-
-@arrow_udf("html string, removed array<string>")
-def redact_udf(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([redact(h) for h in html], columns=["html", "removed"])
-
-
 def not_in_order(a: str, b: str) -> Iterator[bool]:
     """For each character of a, whether b lacks it behind those matched so far."""
     places: dict[str, list[int]] = {}

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from daybook.functions.text import decode_entities
+from daybook.shared import checkpointed, shared_dir, swept
+
 
 def pseudonyms(names: DataFrame, prefix: str = "user") -> DataFrame:
     """(name, at) -> name, pseudonym: numbered by first appearance, ties by name.
@@ -31,15 +37,78 @@ def redact_prose(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\p{L}", "x"), r"\p{N}", "0")
 
 
-def leaks(removed: DataFrame, outputs: DataFrame, least: int = 5) -> DataFrame:
-    """Words removed somewhere (value) that are still a word of some output (text): must be empty before publishing."""
-    words = outputs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("value")).distinct()
-    gone = removed.select(F.lower("value").alias("value")).where(F.length("value") >= least).distinct()
-    return gone.where(~F.col("value").rlike("^[x0]+$")).join(words, "value", "left_semi")
+#: Signs of a piece of text in which places are looked up one by one, so that a long text costs no more a sign than a short one.
+PIECE = 256
+
+
+def readings(text: Column) -> Column:
+    """What a text says, as an array: itself, with references decoded, with percent signs decoded, and what its base64 elements hold; in lower case, blanks as one space."""
+    coded = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<base64>\s*([A-Za-z0-9+/=\s]*?)\s*</base64>"), F.lit(1)), lambda b: F.make_valid_utf8(F.try_to_binary(F.regexp_replace(b, r"\s", ""), F.lit("base64")).cast("string")))
+    decoded = decode_entities(text)
+    percent = F.coalesce(F.try_url_decode(F.replace(decoded, F.lit("+"), F.lit("%2B"))), decoded)
+    every = F.concat(F.array(text, decoded, percent), coded, F.transform(coded, decode_entities))
+    return F.array_distinct(F.transform(F.filter(every, lambda t: t.isNotNull()), lambda t: F.lower(F.regexp_replace(t, r"\s+", " "))))
+
+
+def patterns(removed: DataFrame, least: int, allowed: list[str] | None = None) -> DataFrame:
+    """removed (value) -> value, pattern: what may not be found, the value as it reads and the words in it; none shorter than ``least``, of filler (x and 0) alone, or ``allowed``."""
+    reads = removed.where("value is not null").select("value", F.explode(readings(F.col("value"))).alias("read")).distinct()
+    words = F.filter(F.split("read", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least)
+    every = reads.select("value", F.explode(F.array_distinct(F.concat(F.array(F.btrim("read")), words))).alias("pattern"))
+    kept = every.where((F.length("pattern") >= least) & ~F.col("pattern").rlike(r"^(?:x|0|[^\p{L}\p{N}])*$"))
+    if allowed:
+        kept = kept.where(~F.col("pattern").isin([w.lower() for w in allowed]))
+    return kept.distinct()
+
+
+def grams(text: Column, n: int) -> Column:
+    """All different runs of n signs in a text, as an array. The text is cut into overlapping pieces first."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PIECE + n - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    of = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substr(p, i, F.lit(n)))
+    return F.filter(F.array_distinct(F.flatten(F.transform(pieces, of))), lambda g: F.length(g) == n)
+
+
+def found_in(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(pattern), (id, text) -> pattern, id wherever the text holds the pattern, of n signs at least, anywhere.
+
+    An index from runs of n signs to the texts that hold them is asked for the rarest run of each pattern; a pattern with a run
+    that no text holds is out. What is left is looked up in the texts themselves. Every pattern that stands in a text is found.
+    """
+    indexed = texts.select("id", F.explode(grams(F.col("text"), n)).alias("gram"))
+    asked = wanted.select("pattern").distinct().select("pattern", F.explode(grams(F.col("pattern"), n)).alias("gram"))
+    indexed = checkpointed(indexed.join(asked.select("gram").distinct(), "gram", "left_semi"))
+    held = indexed.groupBy("gram").agg(F.count("*").alias("held"))
+    counted = asked.join(held, "gram", "left").groupBy("pattern").agg(F.min(F.coalesce("held", F.lit(0))).alias("least"), F.min_by("gram", F.struct("held", "gram")).alias("gram"))
+    maybe = indexed.join(counted.where("least > 0").select("pattern", "gram"), "gram").select("pattern", "id").distinct()
+    return maybe.join(texts, "id").where(F.contains("text", "pattern")).select("pattern", "id")
+
+
+def names_of_markup() -> list[str]:
+    """Names that redaction leaves: words like them, removed from a text, stand in every output."""
+    from daybook.functions import redact
+
+    return sorted({part for name in redact.ELEMENTS | redact.STRUCTURE | redact.ADDRESSES | redact.USERS | redact.OTHERS for part in (name, *re.split("[^a-z0-9]+", name))})
+
+
+def leaks(removed: DataFrame, outputs: DataFrame, least: int = 5, allowed: list[str] | None = None) -> DataFrame:
+    """Values removed somewhere (value) of which something is still in some output (text): value, pattern; must be empty before publishing.
+
+    A value is looked for as a whole and by its words, inside longer words too, in the outputs as they stand and as they read
+    (``readings``). Null values and texts are nothing. Words of fewer than ``least`` signs are not looked for: they are everywhere.
+    ``allowed`` are words that may stand, say names of elements.
+    """
+    spark = outputs.sparkSession
+    kept = f"{shared_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    swept(spark, kept)
+    wanted = patterns(removed, least, allowed)
+    wanted.write.parquet(f"{kept}/wanted")
+    outputs.where("text is not null").select(F.explode(readings(F.col("text"))).alias("text")).distinct().withColumn("id", F.xxhash64("text")).write.parquet(f"{kept}/texts")
+    wanted, texts = spark.read.parquet(f"{kept}/wanted"), spark.read.parquet(f"{kept}/texts")
+    return wanted.join(found_in(wanted, texts, min(least, 6)).select("pattern").distinct(), "pattern").select("value", "pattern").distinct()
 
 
-def publish(outputs: DataFrame, removed: DataFrame, path: str) -> None:
+def publish(outputs: DataFrame, removed: DataFrame, path: str, allowed: list[str] | None = None) -> None:
     """All or nothing: writes only if nothing leaks."""
-    if leaks(removed, outputs).take(1):
+    if leaks(removed, outputs, allowed=allowed).take(1):
         raise ValueError("removed values are still in the output")
     outputs.write.mode("overwrite").json(path)

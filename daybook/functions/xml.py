@@ -1,19 +1,11 @@
-"""Redaction of captured XML: chosen elements, members and attributes change, every other byte stays."""
+"""XML's named references as column expressions; redaction of documents is in ``redact``."""
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import hmac
-import re
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from daybook.functions.html import redact
-from daybook.functions.lazy import arrow_udf
+from daybook.functions.redact import COMMENTS, EVENTS, Rules, pseudonym, redact_xml  # noqa: F401
 
 #: The five named references of XML; the ampersand comes last when reading, first when writing.
 NAMED = [("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")]
@@ -23,85 +15,3 @@ def unescape(text: Column) -> Column:
     for sign, name in NAMED:
         text = F.replace(text, F.lit(name), F.lit(sign))
     return text
-
-
-def _read(text: str) -> str:
-    for sign, name in NAMED:
-        text = text.replace(name, sign)
-    return text
-
-
-def _write(text: str) -> str:
-    for sign, name in reversed(NAMED):
-        text = text.replace(sign, name)
-    return text
-
-
-def pseudonym(name: str, salt: str) -> str:
-    """The same for a name wherever it is met, without a table of names; not to be guessed without the salt."""
-    return "u" + hmac.new(salt.encode(), name.encode(), hashlib.sha256).hexdigest()[:12]
-
-
-class Rules:
-    """What to change: ``elements`` and ``members`` by name, each to a fixed text, or to its redaction where that is None; ``names`` are attributes."""
-
-    def __init__(self, elements: dict[str, str | None] | None = None, members: dict[str, str | None] | None = None, names: tuple[str, ...] = (), salt: str = ""):
-        self.elements, self.members, self.names, self.salt = elements or {}, members or {}, names, salt
-
-    def _any(self, names) -> str:
-        return "|".join(map(re.escape, names)) or r"(?!)"
-
-    def apply(self, xml: str) -> tuple[str, list[str]]:
-        """(the document, what was removed, decoded)."""
-        removed: list[str] = []
-
-        def hide(plain: str, put: str | None) -> str:
-            if put is not None:
-                removed.append(plain)
-                return put
-            out, gone = redact(plain)
-            removed.extend(gone)
-            return out
-
-        def member(m: re.Match) -> str:
-            put = self.members[m["key"]]
-            if m["kind"] == "base64":
-                plain = base64.b64decode(m["value"]).decode("utf-8", "replace")
-                return m["head"] + base64.b64encode(hide(plain, put).encode()).decode() + m["tail"]
-            return m["head"] + _write(hide(_read(m["value"]), put)) + m["tail"]
-
-        def element(m: re.Match) -> str:
-            return m["head"] + _write(hide(_read(m["value"]), self.elements[m["key"]])) + m["tail"]
-
-        def attribute(m: re.Match) -> str:
-            name = _read(m["value"])
-            removed.append(name)
-            return m["head"] + pseudonym(name, self.salt) + m["quote"]
-
-        steps: list[tuple[str, Callable[[re.Match], str]]] = [
-            (rf"(?s)(?P<head><name>(?P<key>{self._any(self.members)})</name>\s*<value>\s*<(?P<kind>string|base64)>)(?P<value>.*?)(?P<tail></(?P=kind)>)", member),
-            (rf"(?s)(?P<head><(?P<key>{self._any(self.elements)})(?:\s[^>]*)?(?<!/)>)(?P<value>.*?)(?P<tail></(?P=key)>)", element),
-            (rf"(?P<head>\s(?:{self._any(self.names)})\s*=\s*(?P<quote>[\"']))(?P<value>[^\"'<>]*)(?P=quote)", attribute),
-        ]
-        for pattern, step in steps:
-            xml = re.sub(pattern, step, xml)
-        return xml, removed
-
-
-#: The personal parts of the comment export and of event responses.
-COMMENTS = Rules(elements={"body": None, "subject": None}, names=("user",))
-EVENTS = Rules(
-    members={"event": None, "subject": "Redacted subject", "url": "https://example.invalid/0.html"}
-    | {k: f"redacted {k}" for k in ("current_mood", "current_music", "current_location", "taglist")}
-)
-
-
-def redact_xml(xml: Column, rules: Rules, salt: str = "") -> Column:
-    """xml, removed of each document; null stays null. ``scrub.leaks`` over both tells whether anything removed is left anywhere."""
-    own = Rules(rules.elements, rules.members, rules.names, salt or rules.salt)
-
-    @arrow_udf("xml string, removed array<string>")
-    def run(docs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if d is None else own.apply(d) for d in docs], columns=["xml", "removed"])
-
-    return run(xml)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daybook.functions import html, text
+from daybook.functions import html, scrub, text
 from daybook.plans.registry import query
 from daybook.shared import shared_dir
 from daybook.sources import comments, fetch, xmlrpc
@@ -72,15 +72,54 @@ def html_sanitize(t):
     return out.select("page_id", F.col("h").rlike(r"(?i)<script|<style|\son[a-z]+=|javascript:").alias("active"), F.md5(_paragraphs(F.col("h"))).alias("paragraphs"))
 
 
+def _mask_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '\p{{L}}', 'x', 'g'), '\p{{N}}', '0', 'g')"
+
+
+def _text_sql(x: str) -> str:
+    """References that stay as they are, and all else masked."""
+    kept = "&(?:amp|middot|copy|quot);?"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{kept}|[^&]+|&'), lambda p: CASE WHEN regexp_full_match(p, '{kept}') THEN p ELSE {_mask_sql('p')} END), '')"
+
+
 @query(
     "redact_html",
-    rf"SELECT page_id, length(html) > 0 AS same_tags, md5(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(html, '{PARAGRAPH}', 1), '|'), '\p{{L}}', 'x', 'g'), '[0-9]', '0', 'g')) AS paragraphs FROM pages",
+    rf"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<(?:script|style)>[^<]*(?:<[^s][^<]*|</[^s][^<]*)*</(?:script|style)>|<!--.*?-->|<[^>]*>|<[^>]*$|[^<]+', 0, 's') AS parts FROM pages)
+SELECT page_id, md5(array_to_string(list_transform(parts, lambda x: CASE
+WHEN x LIKE '<script>%' THEN '<script>' || {_mask_sql("x[9:-10]")} || '</script>'
+WHEN x LIKE '<style>%' THEN '<style>' || {_mask_sql("x[8:-9]")} || '</style>'
+WHEN x LIKE '<!--%' THEN '<!--' || {_mask_sql("x[5:-4]")} || '-->'
+WHEN x LIKE '<a href="%' THEN '<a href="' || {_mask_sql("regexp_extract(x, '<a href=.([^\x22]*)', 1)")} || substr(x, length(regexp_extract(x, '<a href=.[^\x22]*', 0)) + 1)
+WHEN x LIKE '<%' THEN x ELSE {_text_sql("x")} END), '')) AS redacted FROM t""",
 )
 def redact_html(t):
-    r = html.redact_udf(F.col("html"))
-    tags = lambda c: F.regexp_count(c, F.lit("<[a-zA-Z/!]"))
-    out = t.pages.select("page_id", "html", r["html"].alias("out"))
-    return out.select("page_id", (tags(F.col("html")) == tags(F.col("out"))).alias("same_tags"), F.md5(_paragraphs(F.col("out"))).alias("paragraphs"))
+    """The digest of every redacted page, whole."""
+    return t.pages.select("page_id", F.md5(html.redact_udf(F.col("html"))["html"]).alias("redacted"))
+
+
+@query(
+    "leaked_values",
+    r"""WITH b AS (SELECT lower(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM benchmark), p AS (SELECT DISTINCT unnest(list_concat([trim(t)], string_split_regex(t, '[^\p{L}\p{N}]+'))) AS pattern FROM b)
+SELECT pattern FROM p WHERE length(pattern) >= 9 AND EXISTS (SELECT 1 FROM pages WHERE contains(lower(html), pattern))""",
+)
+def leaked_values(t):
+    """What of the benchmark's texts, whole or by their words, stands anywhere in a page, inside longer words too."""
+    return scrub.leaks(t.benchmark.select(F.col("text").alias("value")), t.pages.select(F.col("html").alias("text")), least=9).select("pattern").distinct()
+
+
+@query("leaked_after_redaction", "SELECT count(*) AS pages, 0 AS leaks FROM pages")
+def leaked_after_redaction(t):
+    """Words removed from pages that still stand in what redaction leaves of any page: there is none."""
+    kept = t.pages.select(html.redact_udf(F.col("html")).alias("r"))
+    found = scrub.leaks(kept.select(F.explode("r.removed").alias("value")), kept.select(F.col("r.html").alias("text")), allowed=scrub.names_of_markup())
+    return t.pages.agg(F.count("*").alias("pages")).select("pages", F.lit(found.count()).cast("long").alias("leaks"))
+
+
+@query("passages_found", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def passages_found(t):
+    """Which documents hold a benchmark text as it stands: many patterns looked for in many texts at once."""
+    hits = scrub.found_in(t.benchmark.select(F.col("text").alias("pattern")), t.documents.where("text is not null").select(F.col("doc_id").alias("id"), "text"), 6)
+    return hits.join(t.benchmark.select("item_id", F.col("text").alias("pattern")), "pattern").select("item_id", F.col("id").alias("doc_id"))
 
 
 @query("missing_runs", "SELECT * FROM (VALUES ('abc', 'abc', 0), ('abxyc', 'abc', 2), ('abc', '', 3), ('', 'x', 0)) v(a, b, run)")
