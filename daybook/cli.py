@@ -80,16 +80,17 @@ def send_to(server: str, cookie: str = ""):
 
 
 def get(url: str) -> tuple[int, bytes]:
+    """(status, content) of an address of the web; anything else, say a file, is refused."""
     from urllib.error import HTTPError
     from urllib.request import urlopen
 
+    if not url.lower().startswith(("http://", "https://")):
+        raise OSError("not an address of the web")
     try:
         with urlopen(url, timeout=20) as r:
             return r.status, r.read()
     except HTTPError as e:
         return e.code, b""
-    except ValueError as e:
-        raise OSError(str(e)) from e
 
 
 COMMANDS = ["fetch", "images", "userpics", "video-posters", "classify", "build", "status"]

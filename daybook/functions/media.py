@@ -25,23 +25,31 @@ def sniff_mime(content: Column) -> Column:
 
 
 def _le(content: Column, at: int, n: int) -> Column:
-    return F.conv(F.concat(*(F.hex(F.substring(content, at + i, 1)) for i in reversed(range(n)))), 16, 10).cast("int")
+    return F.conv(F.concat(*(F.hex(F.substring(content, at + i, 1)) for i in reversed(range(n)))), 16, 10).cast("long")
 
 
 def _be(content: Column, at: int, n: int) -> Column:
-    return F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+    return F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("long")
+
+
+def _signed(value: Column) -> Column:
+    """The size that a 32-bit number in two's complement means: rows stored from the top down have a negative height."""
+    return F.when(value >= 1 << 31, (1 << 32) - value).otherwise(value)
 
 
 def jpeg_size(content: bytes | None) -> tuple[int, int] | None:
-    """Width and height from the first start-of-frame segment."""
+    """Width and height from the first start-of-frame segment; stray bytes between segments are passed over."""
     at, b = 2, content or b""
-    while at + 9 <= len(b):
-        if b[at] != 0xFF:
-            return None
+    while (at := b.find(b"\xff", at)) >= 0 and at + 9 <= len(b):
         kind, n = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+        if kind in (0x00, 0x01, 0xFF) or 0xD0 <= kind <= 0xD8:  # fill bytes and marks without a segment
+            at += 1 if kind == 0xFF else 2
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
-        at += 2 + n
+        elif kind in (0xD9, 0xDA) or n < 2:
+            return None
+        else:
+            at += 2 + n
     return None
 
 
@@ -51,14 +59,14 @@ def jpeg_size_udf(content: pd.Series) -> pd.DataFrame:
 
 
 def read_size(content: Column) -> Column:
-    """struct<width, height>, null where the header is cut off; only JPEG needs Python."""
-    mime, n = sniff_mime(content), F.octet_length(content)
-    of = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    """struct<width, height>, null where the header is cut off or names a size of 2^31 or more; only JPEG needs Python."""
+    mime, n, most = sniff_mime(content), F.octet_length(content), (1 << 31) - 1
+    of = lambda w, h: F.when((w <= most) & (h <= most), F.struct(w.cast("int").alias("width"), h.cast("int").alias("height")))
     jpeg = jpeg_size_udf(F.when(mime == "image/jpeg", content))
     return (
         F.when((mime == "image/png") & (n >= 24), of(_be(content, 17, 4), _be(content, 21, 4)))
         .when((mime == "image/gif") & (n >= 10), of(_le(content, 7, 2), _le(content, 9, 2)))
-        .when((mime == "image/bmp") & (n >= 26), of(_le(content, 19, 4), F.abs(_le(content, 23, 4))))
+        .when((mime == "image/bmp") & (n >= 26), of(_signed(_le(content, 19, 4)), _signed(_le(content, 23, 4))))
         .when((mime == "image/jpeg") & jpeg["width"].isNotNull(), of(jpeg["width"], jpeg["height"]))
     )
 

@@ -18,10 +18,20 @@ def layout(title: str, body: str, path: str) -> str:
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{escape(title)}</title><link rel="stylesheet" href="{root}style.css"><body><nav><a href="{root}index.html">Home</a></nav><main>{body}</main></body></html>\n'
 
 
+#: A file by which tasks see that the folder they write to is the one that was started.
+SHARED = ".daybook-site"
+
+
+def _seen(root: str) -> None:
+    if not os.path.exists(os.path.join(root, SHARED)):
+        raise RuntimeError(f"{root} is not the folder that the driver started: name one that all executors share")
+
+
 def write_files(pages: DataFrame, root: str) -> int:
-    """(path, title, body) -> files below ``root``, a folder that all executors share; returns how many. Writing twice gives the same files."""
+    """(path, title, body) -> files below ``root``, a folder that ``start`` made and all executors share; returns how many. Writing twice gives the same files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seen(root)
         for b in batches:
             for path, title, body in zip(b["path"], b["title"], b["body"]):
                 target = os.path.join(root, path)
@@ -36,9 +46,11 @@ def write_files(pages: DataFrame, root: str) -> int:
 
 
 def write_blobs(blobs: DataFrame, root: str) -> int:
-    """(path, content) -> content-addressed files; those that exist are left alone."""
+    """(path, content) -> content-addressed files in a folder that all executors share; those that exist are left alone."""
+    start(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seen(root)
         for b in batches:
             new = 0
             for path, content in zip(b["path"], b["content"]):
@@ -71,6 +83,6 @@ def list_pages(rows: DataFrame, kind: str) -> DataFrame:
 def start(root: str) -> None:
     """The folder with its styles and a guard that keeps it out of version control."""
     os.makedirs(root, exist_ok=True)
-    for name, text in (("style.css", STYLE), (".gitignore", "*\n")):
+    for name, text in (("style.css", STYLE), (".gitignore", "*\n"), (SHARED, "")):
         with open(os.path.join(root, name), "w", encoding="utf-8") as f:
             f.write(text)

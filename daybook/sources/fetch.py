@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -16,35 +17,44 @@ OUTCOME = "url string, http_status int, error string, content binary, hash strin
 
 
 def fetch_one(url: str, get: Callable[[str], tuple[int, bytes]], sleep: Callable[[float], None], retries: int = 2) -> tuple:
-    """Never raises: (status, error, content). Network errors and 5xx are tried again after 0.5, 1, ... seconds."""
+    """Never raises: (status, error, content). Network errors and 5xx are tried again after 0.5, 1, ... seconds; addresses that are not http or https are not asked for."""
+    if not re.match(r"https?://", url, re.I):
+        return None, "not an address of the web", None
     status, error, content = None, None, None
     for attempt in range(retries + 1):
         try:
             status, content = get(url)
-            error = None
-        except OSError as e:
-            status, error, content = None, str(e), None
+            error = None if status is not None else "no status"
+        except Exception as e:  # noqa: BLE001 - one address must not end the stage, whatever its server sends
+            status, error, content = None, str(e) or type(e).__name__, None
         if error is None and status < 500 or attempt == retries:
             break
         sleep(0.5 * 2**attempt)
     return status, error, content
 
 
-def fetch_all(urls: DataFrame, get: Callable[[str], tuple[int, bytes]], delay: float = 0.25, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """url -> outcomes. Distinct addresses only; hosts run beside each other in ``concurrency`` tasks."""
+def fetch_all(urls: DataFrame, get: Callable[[str], tuple[int, bytes]], delay: float = 0.25, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep, held: int = 4 << 20) -> DataFrame:
+    """url -> outcomes. Distinct addresses only; hosts run beside each other in ``concurrency`` tasks, which hold about ``held`` bytes at a time."""
     work = urls.select("url").where("url is not null").distinct().withColumn("host", host_of(F.col("url")))
 
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["url", "http_status", "error", "content", "hash"]).astype({"http_status": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        last, rows, size = None, [], 0
         for b in batches:
-            rows = []
             for url, host in zip(b["url"], b["host"]):
                 if host == last:
                     sleep(delay)
                 last = host
                 status, error, content = fetch_one(url, get, sleep)
                 rows.append((url, status, error, content, hashlib.sha256(content).hexdigest() if content else None))
-            yield pd.DataFrame(rows, columns=["url", "http_status", "error", "content", "hash"]).astype({"http_status": "Int32"})
+                size += len(content or b"")
+                if size >= held:
+                    yield frame(rows)
+                    rows, size = [], 0
+        if rows:
+            yield frame(rows)
 
     return work.repartition(concurrency, "host").sortWithinPartitions("host", "url").mapInPandas(run, OUTCOME)
 

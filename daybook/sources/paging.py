@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybook.shared import shared_dir, swept
+
 
 def moment_before(time: str) -> str:
     """One second earlier, or one day for a bare date."""
@@ -33,9 +36,11 @@ def backwards(fetch: Callable[..., list[dict]], commit: Callable[[list[dict]], i
         while not new and len(page) >= asked and oldest == state.get("entries.before"):
             asked *= 2
             page = fetch(oldest, asked)
-            new, oldest = commit(page), min(p["eventtime"] for p in page)
-            if not new and len(page) == usual:
+            if page:
+                new, oldest = commit(page), min(p["eventtime"] for p in page)
+            if not new and len(page) <= usual:  # no larger page is to be had, none at all included
                 state["entries.partial"] = [*state.get("entries.partial", []), oldest]
+                break
         total += new
         stuck = not new and oldest == state.get("entries.before")
         state |= {"entries.before": moment_before(oldest) if stuck else oldest, "entries.page": usual}
@@ -56,19 +61,26 @@ def forwards(fetch: Callable[[int], tuple[list[dict], int]], commit: Callable[[l
 
 
 def by_key(rows: DataFrame, commit: Callable[[DataFrame, int], None], state: dict, key: str, size: int) -> int:
-    """A table by ranges of its whole-numbered ``id``, about ``size`` rows a page; the driver holds the cursor alone.
+    """A table by ranges of its whole-numbered ``id``, about ``size`` rows a page; the driver holds the ranges' ends alone.
 
-    Each page is committed, as a DataFrame with its number, before the cursor moves. Rows of one id share a page;
-    rows without an id are on none. A page costs a read of what is left. Returns the number of pages in all.
+    What is left is written once in the order of ids, so a page reads its own range and not the rest. Each page is committed, as
+    a DataFrame with its number, before the cursor moves. Rows of one id share a page; rows without an id are on none. Returns the
+    number of pages in all.
     """
-    while True:
-        start, n = state.get(key), state.get(f"{key}.pages", 0)
-        left = rows.where("id is not null") if start is None else rows.where(F.col("id") >= start)
-        end = left.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
-        if end is None:
-            return n
-        commit(left.where(F.col("id") <= end), n)
+    spark, start = rows.sparkSession, state.get(key)
+    left = rows.where("id is not null") if start is None else rows.where(F.col("id") >= start)
+    path = f"{shared_dir(spark)}/by-key-{uuid.uuid4().hex}"
+    swept(spark, path)
+    left.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+    kept = spark.read.schema(left.schema).parquet(path)
+    pages = -(-kept.count() // size)
+    steps = [i / pages for i in range(1, pages)]
+    ends = kept.agg(F.max("id").alias("last"), *([F.percentile_approx("id", steps, 20 * max(pages, 500)).alias("cuts")] if steps else [])).first()
+    for end in sorted({*(ends["cuts"] if steps else []), ends["last"]} - {None}):
+        begin, n = state.get(key), state.get(f"{key}.pages", 0)
+        commit(kept.where(F.col("id") <= end) if begin is None else kept.where(F.col("id").between(begin, end)), n)
         state |= {key: end + 1, f"{key}.pages": n + 1}
+    return state.get(f"{key}.pages", 0)
 
 
 class Banned(Exception):

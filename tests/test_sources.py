@@ -1,5 +1,11 @@
+import http.client
+import struct
+
 import pytest
+from pyspark.sql import functions as F
 
+from daybook import cli
+from daybook.functions import media
 from daybook.sources import fetch, paging, xmlrpc
 
 
@@ -42,13 +48,13 @@ def test_client_policy():
 
 def test_fetch_one_retries_and_never_raises():
     slept, replies = [], [(503, b""), (200, b"ok")]
-    assert fetch.fetch_one("u", lambda _: replies.pop(0), slept.append) == (200, None, b"ok")
+    assert fetch.fetch_one("http://u", lambda _: replies.pop(0), slept.append) == (200, None, b"ok")
     assert slept == [0.5]
 
     def down(_):
         raise OSError("dns")
 
-    assert fetch.fetch_one("u", down, slept.append) == (None, "dns", None)
+    assert fetch.fetch_one("http://u", down, slept.append) == (None, "dns", None)
 
 
 def test_fetch_all_paces_hosts(spark):
@@ -98,3 +104,57 @@ def test_backwards_goes_on_where_the_server_gives_no_larger_pages():
 def test_what_is_no_response_raises(xml):
     with pytest.raises(xmlrpc.NoResponse):
         xmlrpc.events_of(xml)
+
+
+@pytest.mark.parametrize("error", [http.client.IncompleteRead(b"x"), http.client.InvalidURL("bad"), ValueError("odd"), UnicodeError("label"), TimeoutError(), RuntimeError("any")])
+def test_no_server_ends_the_stage(error):
+    def bad(_):
+        raise error
+
+    status, told, content = fetch.fetch_one("http://a.invalid/", bad, lambda s: None)
+    assert (status, content) == (None, None) and told
+
+
+@pytest.mark.parametrize("url", ["file:///etc/hostname", "/etc/hostname", "ftp://a.invalid/x", "javascript:x()", ""])
+def test_only_the_web_is_asked(url):
+    assert fetch.fetch_one(url, lambda u: 1 / 0, lambda s: None)[1] == "not an address of the web"
+    with pytest.raises(OSError):
+        cli.get(url)
+
+
+def test_a_task_holds_a_few_contents_at_a_time(spark):
+    urls = spark.createDataFrame([(f"http://h.invalid/{i}",) for i in range(40)], "url string")
+    got = fetch.fetch_all(urls, lambda u: (200, u.encode() * 1000), delay=0.0, concurrency=1, held=50_000)
+    assert got.count() == 40 and got.select("hash").distinct().count() == 40
+
+
+def test_backwards_takes_an_empty_larger_page_for_none():
+    """The server gives a page of three of one second, and nothing where more are asked for."""
+    rows = [{"eventtime": "2004-01-01 00:00:00", "itemid": 100 + i} for i in range(5)] + [{"eventtime": "2003-01-02 03:04:05", "itemid": 1}]
+    known, state = {}, {}
+    page, commit = served(rows, known)
+    assert paging.backwards(lambda before, n=3: page(before, n) if n == 3 else [], commit, state) == 4
+    assert state["entries.partial"] == ["2004-01-01 00:00:00"] and 1 in known
+
+
+def test_ranges_of_a_table(spark):
+    """Pages of about the size asked for, each id on one page, a cursor to go on from; nulls on none."""
+    rows = spark.range(5000).selectExpr("id * 3 AS id").union(spark.range(50).selectExpr("7 AS id")).union(spark.createDataFrame([(None,)], "id long")).repartition(5)
+    pages, state = [], {}
+    n = paging.by_key(rows, lambda page, k: pages.append((k, [r[0] for r in page.collect()])), state, "t", 400)
+    assert n == len(pages) == 13 and [k for k, _ in pages] == list(range(13)) and max(len(p) for _, p in pages) < 600
+    assert sorted(i for _, p in pages for i in p) == sorted([*range(0, 15_000, 3), *[7] * 50])
+    assert all(max(a) < min(b) for (_, a), (_, b) in zip(pages, pages[1:]))
+    assert paging.by_key(rows, lambda *_: 1 / 0, state, "t", 400) == n
+    assert paging.by_key(rows.union(spark.range(20_000, 20_003)), lambda page, k: pages.append((k, [r[0] for r in page.collect()])), state, "t", 400) == n + 1
+    assert sorted(pages[-1][1]) == [20_000, 20_001, 20_002]
+    assert paging.by_key(rows.limit(0), lambda *_: 1 / 0, {}, "t", 10) == 0
+
+
+def test_sizes_of_odd_files(spark):
+    bmp = b"BM" + bytes(16) + struct.pack("<ii", 640, -480) + bytes(10)
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 1 << 31, 5)
+    jpeg = bytes.fromhex("FFD8FFE000040000") + b"\x17\x00" + bytes.fromhex("FFFFC0000B080258032003012200")
+    df = spark.createDataFrame([(1, bmp), (2, png), (3, jpeg), (4, bmp[:20]), (5, None)], "id int, content binary")
+    got = {r.id: r.s and tuple(r.s) for r in df.select("id", media.read_size(F.col("content")).alias("s")).collect()}
+    assert got == {1: (640, 480), 2: None, 3: (800, 600), 4: None, 5: None}
