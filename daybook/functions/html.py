@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from daybook.functions import redact as redact_lists
 from daybook.functions.lazy import arrow_udf
 from daybook.functions.redact import redact, redact_udf  # noqa: F401
+from daybook.functions.tree import VOID, tree, walk
 
 EMBEDS = ("iframe", "object", "embed", "video", "lj-embed")
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements inside which a line break in the source is no break on the page.
 NO_BREAKS = {"table", "pre", "select", "textarea", "script", "style"}
 IMAGE = re.compile(r"\.(?:jpe?g|png|gif|bmp|webp|tiff?)(?:[?#]|$)", re.I)
@@ -98,33 +99,50 @@ def resolve_udf(raw: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else resolve(r, b) for r, b in zip(raw, base)])
 
 
-class _Renderer(HTMLParser):
-    """Writes safe HTML: scripts and handlers go, images become local files or marks, journal tags become plain HTML."""
+#: What a page of the archive may hold; other elements go, what they hold stays. Beside ``class`` and ``id``, attributes of these only.
+KEPT_ELEMENTS = set(
+    "a abbr acronym address article aside b bdi bdo big blockquote br button caption center cite code col colgroup dd del details dfn dir div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 header hr i img input ins "
+    "kbd label legend li main mark marquee nav nobr ol optgroup option p pre q rp rt ruby s samp section select small span strike strong sub summary sup table tbody td textarea tfoot th thead time tr tt u ul var wbr xmp".split()
+)
+KEPT_ATTRIBUTES = redact_lists.STRUCTURE - {"charset"} | {"href", "src", "action", "cite", "background", "alt", "title", "value", "name", "label", "summary", "for", "open", "style"}
+SCHEMES = {"http", "https", "ftp", "mailto"}
 
-    def __init__(self, live: dict, dead: dict, held: dict, host: str, root: str, preformatted: bool, posters: list):
-        super().__init__(convert_charrefs=True)
-        self.live, self.dead, self.held, self.host, self.root = live, dead, held, host, root
-        self.pre, self.posters, self.embed_no = preformatted, posters, 0
-        self.out, self.open, self.muted, self.quiet, self.swallow = [], [], 0, 0, 0
 
-    def text(self) -> str:
-        return "".join(self.out) + "".join(f"</{t}>" for t in reversed(self.open) if t)
+def safe_address(value: str) -> bool:
+    """A relative address or one of ``SCHEMES``; signs that browsers pass over don't hide another."""
+    bare = re.sub(r"[\x00-\x20\x7f-\xa0\xad\u200b-\u200f\u2028-\u202f\ufeff]+", "", value).lower()
+    m = re.match(r"([^/?#]*?):", bare)
+    return m is None or m[1] in SCHEMES or bool(re.fullmatch(r"[a-z0-9-]+(\.[a-z0-9-]+)+", m[1])) and bool(re.match(r"\d*([/?#]|$)", bare[m.end() :]))
+
+
+class _Renderer:
+    """Writes safe HTML of a tree: scripts and handlers go, images become local files or marks, journal tags become plain HTML."""
+
+    def __init__(self, live: dict, dead: dict, held: dict, host: str, root: str, preformatted: bool, posters: list, users: str):
+        self.live, self.dead, self.held, self.host, self.root, self.users = live, dead, held, host, root, users
+        self.pre, self.posters, self.embed_no = preformatted, posters, 0
+        self.out, self.muted, self.quiet, self.swallow = [], 0, 0, 0
+
+    def of(self, source: str) -> str:
+        for kind, x in walk(tree(source)):
+            if kind == "text":
+                self.text(x)
+            elif kind == "start":
+                self.start(x.name, x.attributes)
+            else:
+                self.end(x.name)
+        return "".join(self.out)
 
     def mark(self, kind: str, label: str, title: str = "") -> None:
         extra = f' title="{escape(title)}"' if title else ""
         self.out.append(f'<span class="lost lost-{kind}"{extra}>{escape(label)}</span>')
 
     def clean(self, attrs) -> list[tuple[str, str]]:
-        kept = []
-        for k, v in attrs:
-            v = v or ""
-            bare = re.sub(r"[\x00-\x20]+", "", v).lower()
-            if not k.startswith("on") and not (k in ("href", "src", "action", "formaction", "data") and bare.startswith(("javascript:", "vbscript:", "data:text"))):
-                kept.append((k, v))
-        return kept
+        kept = [(k, v) for k, v in attrs if k in KEPT_ATTRIBUTES and (k not in redact_lists.ADDRESSES or safe_address(v))]
+        return [(k, v) for k, v in kept if k != "style" or not re.search(r"(?i)url\s*\(|expression|@import|behavior|\\\\|/\*|position\s*:", v)]
 
     def tag(self, name: str, attrs) -> None:
-        self.out.append("<" + name + "".join(f' {k}="{escape(v)}"' for k, v in attrs if re.fullmatch(r"[A-Za-z_:][\w:.-]*", k)) + ">")
+        self.out.append("<" + name + "".join(f' {k}="{escape(v)}"' for k, v in attrs) + ">")
 
     def image(self, a: dict) -> None:
         url = resolve(a.get("src", ""))
@@ -145,83 +163,77 @@ class _Renderer(HTMLParser):
             href = self.root + self.live[resolve(href)]
         rel = [("rel", "noopener noreferrer")] if a.get("target") == "_blank" else []
         self.tag("a", ([("href", href)] if href else []) + rest + rel)
-        self.open.append("a")
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.muted += 1
-            return
+    def embed(self, tag: str, a: dict) -> None:
+        """Posters are those of the journal's own embeds, by their number among themselves."""
+        poster = None
+        if tag == "lj-embed":
+            poster = self.posters[self.embed_no] if self.embed_no < len(self.posters) else None
+            self.embed_no += 1
+        if poster and safe_address(poster):
+            self.out.append(f'<a class="video" href="{escape(poster)}">Watch</a>')
+        else:
+            self.mark("embed", "embedded media", a.get("src") or a.get("data") or a.get("id") or "")
+
+    def start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
+        self.muted += tag in ("script", "style")
         if self.muted or self.swallow and tag not in ("object", "iframe"):
             return
-        attrs = self.clean(attrs)
-        a = dict(attrs)
+        attrs, a = self.clean(attributes), dict(attributes)
         if tag == "img":
             self.image(a)
         elif tag == "a":
             self.link(attrs)
         elif tag in ("lj", "lj-user"):
             name = a.get("user") or a.get("comm") or a.get("title", "")
-            self.tag("a", [("class", "user"), ("href", f"https://{name.lower().replace('_', '-')}.invalid/")])
+            where = self.users.replace("{}", quote(name.lower().replace("_", "-"), safe="-"))
+            self.tag("a", [("class", "user"), ("href", where)])
             self.out.append(escape(name) + "</a>")
         elif tag == "lj-cut":
             self.out.append(f"<details open><summary>{escape(a.get('text') or 'Read more')}</summary>")
-            self.open.append("details")
         elif tag in EMBEDS:
-            poster = self.posters[self.embed_no] if self.embed_no < len(self.posters) else None
-            self.embed_no += 1
-            if poster:
-                self.out.append(f'<a class="video" href="{escape(poster)}">Watch</a>')
-            else:
-                self.mark("embed", "embedded media", a.get("src") or a.get("data") or a.get("id") or "")
+            if not self.swallow:
+                self.embed(tag, a)
             self.swallow += tag in ("object", "iframe")
         elif tag.startswith("lj-"):
             if tag != "lj-raw":
                 poll = re.fullmatch(r"lj-poll-(\d+)", tag)
                 self.mark("tag", f"poll {poll[1]}" if poll else tag[3:])
-        else:
+        elif tag in KEPT_ELEMENTS:
             self.tag(tag, attrs)
-            if tag not in VOID:
-                self.open.append(tag)
-                self.quiet += tag in NO_BREAKS
+        self.quiet += tag in NO_BREAKS
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in ("script", "style"):
-            self.muted = max(0, self.muted - 1)
-            return
-        if tag in ("object", "iframe"):
-            self.swallow = max(0, self.swallow - 1)
-            return
-        tag = "details" if tag == "lj-cut" else tag
-        if self.muted or self.swallow or tag not in self.open:
-            return
-        while True:
-            last = self.open.pop()
-            self.quiet -= last in NO_BREAKS
-            self.out.append(f"</{last}>")
-            if last == tag:
-                return
-
-    def handle_data(self, data):
+            self.muted -= 1
+        elif not self.muted and tag in ("object", "iframe"):
+            self.swallow -= 1
+        elif not self.muted and not self.swallow:
+            self.quiet -= tag in NO_BREAKS
+            if tag == "lj-cut":
+                self.out.append("</details>")
+            elif tag in KEPT_ELEMENTS and tag not in VOID and tag != "img":
+                self.out.append(f"</{tag}>")
+
+    def text(self, data: str) -> None:
         if not self.muted and not self.swallow:
             text = escape(data, quote=False)
             self.out.append(text if self.pre or self.quiet else re.sub(r"\r?\n", "<br>\n", text))
 
 
-def render(html, live=None, dead=None, held=(), host="", root="", preformatted=False, posters=()) -> str:
-    r = _Renderer(dict(live or {}), dict(dead or {}), set(held), host.lower(), root, preformatted, list(posters))
-    r.feed(whole(html))
-    r.close()
-    return r.text()
+def render(html, live=None, dead=None, held=(), host="", root="", preformatted=False, posters=(), users="https://{}.livejournal.com/") -> str:
+    """Safe HTML of a body. ``users`` is where a mentioned user's journal is, with {} for the name; posters belong to the journal's embeds in their order."""
+    return _Renderer(dict(live or {}), dict(dead or {}), set(held), host.lower(), root, preformatted, list(posters), users).of(html or "")
 
 
-def render_column(html: Column, live: Column, dead: Column, held: Column, host: Column, preformatted: Column) -> Column:
-    """The rendered body; what it needs comes as data columns: maps of addresses, an array of held items."""
+def render_column(html: Column, live: Column, dead: Column, held: Column, host: Column, preformatted: Column, posters: Column | None = None, users: str = "https://{}.livejournal.com/", root: str = "../") -> Column:
+    """The rendered body; what it needs comes as data columns: maps of addresses, an array of held items, an array of posters (null where there is none)."""
 
     @arrow_udf("string")
-    def run(h: pd.Series, a: pd.Series, d: pd.Series, k: pd.Series, o: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([render(x, b, c, e if e is not None else (), f or "", "../", bool(g)) for x, b, c, e, f, g in zip(h, a, d, k, o, p)])
+    def run(h: pd.Series, a: pd.Series, d: pd.Series, k: pd.Series, o: pd.Series, p: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([render(x, b, c, e if e is not None else (), f or "", root, bool(g), w if w is not None else (), users) for x, b, c, e, f, g, w in zip(h, a, d, k, o, p, v)])
 
-    return run(html, live, dead, held, host, preformatted)
+    return run(html, live, dead, held, host, preformatted, posters if posters is not None else F.array().cast("array<string>"))
 
 
 def not_in_order(a: str, b: str) -> Iterator[bool]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from daybook.functions.lazy import arrow_udf
 from daybook.shared import checkpointed
 
 
@@ -51,17 +55,50 @@ def lost_reasons(refs: DataFrame) -> DataFrame:
     return lost.groupBy("source_url").agg(F.max(reason).alias("reason"))
 
 
+#: Elements of a bucket of bits: 4 KB.
+BITS = 32_768
+
+
 def set_cover(pairs: DataFrame, budget: int = 16) -> list:
     """Greedy cover: up to ``budget`` items (item, element), each covering most elements not yet covered; smallest item at a tie.
 
-    What is left is written after each step, so a plan holds one step alone; the driver sees one item a step.
+    Elements get whole numbers, and an item becomes a few bitmaps, one for each bucket of numbers it has: the only shuffles of
+    pairs. A step counts what bitmaps have beside those covered so far and takes the covered bits away by and-not, bucket by
+    bucket, so it moves one row a bucket instead of the pairs; the driver sees one item a step. Null items and elements count as
+    items and elements.
     """
-    chosen, left = [], checkpointed(pairs.select("item", "element").distinct())
-    whole = left
-    for _ in range(budget):
-        best = left.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").first()
+    distinct = pairs.select("item", "element").distinct()
+    elements = distinct.select("element").distinct()
+    order = F.struct(F.xxhash64("element").alias("hash"), "element")
+    numbered = numbers(elements.withColumn("order", order), "order").select("element", "number")
+    placed = distinct.join(numbered, distinct["element"].eqNullSafe(numbered["element"])).select("item", "number")
+    bits = placed.groupBy("item", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    left, chosen = checkpointed(bits), []
+    while len(chosen) < budget:
+        best = left.groupBy("item").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0").orderBy(F.desc("n"), "item").first()
         if best is None:
             break
         chosen.append(best["item"])
-        left = checkpointed(left.join(whole.where(F.col("item").eqNullSafe(best["item"])).select("element"), "element", "left_anti").select("item", "element"))
+        taken = left.where(F.col("item").eqNullSafe(best["item"])).select("bucket", F.col("bits").alias("_taken"))
+        met = left.join(F.broadcast(taken) if taken.count() < 1000 else taken, "bucket", "left")
+        left = checkpointed(met.select("item", "bucket", F.when(F.col("_taken").isNull(), F.col("bits")).otherwise(_and_not("bits", "_taken")).alias("bits")).where(F.bitmap_count("bits") > 0))
     return chosen
+
+
+def numbers(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with ``number``, 1, 2, ... in ascending order of a column, without one task that sees them all: counted by ranges."""
+    dealt = checkpointed(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r[0]: r[1] for r in dealt.groupBy("_range").count().collect()}  # a row for each partition
+    before, starts = 0, []
+    for k in sorted(sizes):
+        starts.append((k, before))
+        before += sizes[k]
+    first = rows.sparkSession.createDataFrame(starts, "_range int, _first long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.withColumn("number", own).join(F.broadcast(first), "_range").withColumn("number", F.col("number") + F.col("_first")).drop("_range", "_first")
+
+
+@arrow_udf("binary")
+def _and_not(bits: pd.Series, taken: pd.Series) -> pd.Series:
+    """The bits of one bitmap that another lacks."""
+    return pd.Series([(np.frombuffer(a, np.uint8) & ~np.frombuffer(b, np.uint8)).tobytes() for a, b in zip(bits, taken)])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,7 @@ from daybook.functions import html, media, text
 from daybook.operators import assets, pictures
 from daybook.operators.store import Store, Transaction, fetched_blobs, fetched_refs, flag_poison, update_some
 from daybook.progress import Event, Reporter, silent
-from daybook.sources.fetch import fetch_all
+from daybook.streaming.work import drain
 
 
 def bodies(store: Store, base: str) -> DataFrame:
@@ -51,16 +50,8 @@ def concentrated(bodies: DataFrame, key: str, least: int = 3, most_hosts: int =
     return n.where((F.col("refs") >= least) & (F.col("hosts") <= most_hosts)).orderBy(F.desc("refs"), key).limit(top)
 
 
-def fetched(store: Store, urls: DataFrame, get: Callable[[str], tuple[int, bytes]], out: str, now: str, delay: float = 0.25, concurrency: int = 8) -> DataFrame:
-    """Downloads each address once, keeps the outcomes as a table of the store's landing folder and the images below ``out``.
-
-    The outcomes are written before anything reads them, so nothing is asked for twice.
-    """
-    path = f"{store.root}/landing/fetched-{uuid.uuid4().hex}"
-    raw = fetch_all(urls, get, delay, concurrency)
-    schema = raw.schema
-    raw.write.parquet(path)
-    kept = store.spark.read.schema(schema).parquet(path)
+def outcomes(kept: DataFrame, out: str, now: str) -> DataFrame:
+    """Fetches as they landed -> what they are (source_url, hash, mime, sizes, status, local_path, ...), with the images written below ``out``."""
     size, mime = media.read_size(F.col("content")), media.sniff_mime(F.col("content"))
     told = kept.withColumn("size", size).withColumn("v", media.classify(F.col("http_status"), F.col("error"), F.col("content"), F.col("size"))).withColumn("mime", mime)
     ok = F.col("v.status") == "ok"
@@ -88,8 +79,7 @@ def images(store: Store, base: str, get, out: str, now: str, report: Reporter =
     found = references(bodies(store, base)).dropDuplicates(["source_url", "context", "context_id"])
     found = found.withColumn("id", F.xxhash64("source_url", "context", "context_id"))
     store.merge("asset_refs", found, lambda old, new: update_some(old, new, ["source_url", "context", "context_id"], ["id", "host", "alt_text"]))
-    results = fetched(store, assets.pending(store.read("asset_refs")).withColumnRenamed("source_url", "url"), get, out, now, **pace)
-    store.transact(lambda tx: record(tx, results))
+    drain(store, "images", lambda: assets.pending(store.read("asset_refs")).select(F.col("source_url").alias("url")), get, out, now, record, **pace)
     collapsed = assets.host_collapse(store.read("asset_refs").withColumnRenamed("source_url", "url"))
     store.merge("assets", collapsed, flag_poison)
     stats = assets.image_stats(store.read("asset_refs"), store.read("assets")).first().asDict()
@@ -99,21 +89,20 @@ def images(store: Store, base: str, get, out: str, now: str, report: Reporter =
 
 def userpics(store: Store, get, out: str, now: str, report: Reporter = silent, **pace) -> dict:
     """Downloads untried userpics; all pictures of an address are linked."""
-    return _linked(store, "userpics", pictures.untried(store.read("userpics")).select("url"), "hash", get, out, now, report, pace)
+    return _linked(store, "userpics", lambda: pictures.untried(store.read("userpics")).select("url"), "hash", get, out, now, report, pace)
 
 
 def video_posters(store: Store, get, out: str, now: str, report: Reporter = silent, **pace) -> dict:
     """Downloads the posters of untried embeds whose address names a video; the others stay untried."""
-    urls = pictures.untried(store.read("entry_embeds")).select(text.video_thumb(F.col("url")).alias("url")).where("url is not null")
+    urls = lambda: pictures.untried(store.read("entry_embeds")).select(text.video_thumb(F.col("url")).alias("url")).where("url is not null")
     return _linked(store, "entry_embeds", urls, "thumb_hash", get, out, now, report, pace)
 
 
-def _linked(store: Store, name: str, urls: DataFrame, column: str, get, out: str, now: str, report: Reporter, pace: dict) -> dict:
+def _linked(store: Store, name: str, urls: Callable[[], DataFrame], column: str, get, out: str, now: str, report: Reporter, pace: dict) -> dict:
     report(Event("start", name))
-    results = fetched(store, urls, get, out, now, **pace)
-    tried = results.select(F.col("source_url").alias("url"), "hash")
 
-    def change(tx: Transaction) -> None:
+    def change(tx: Transaction, results: DataFrame) -> None:
+        tried = results.select(F.col("source_url").alias("url"), "hash")
         tx.merge("assets", results.where("hash is not null"), fetched_blobs)
         rows = pictures.untried(tx.read(name))
         if name == "userpics":
@@ -123,7 +112,7 @@ def _linked(store: Store, name: str, urls: DataFrame, column: str, get, out: str
             new = pictures.link_posters(rows, asked.join(tried, "url").select("ditemid", "idx", "hash"), now)
         tx.upsert(name, new.where("fetched_at is not null"))
 
-    store.transact(change)
+    drain(store, name, urls, get, out, now, change, **pace)
     stats = pictures.stats(store.read(name), column).first().asDict()
     report(Event("done", name, stats["stored"], "stored"))
     return stats

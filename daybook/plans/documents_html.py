@@ -57,19 +57,16 @@ def html_render_stats(t):
     )
 
 
-#: Paragraphs without marks and quotes (rendering reads a quote written as a reference), which neither rendering nor redaction may take apart.
-PARAGRAPH = r"<p>([^<>&\x22\x27]*)</p>"
-
-
-def _paragraphs(html):
-    return F.array_join(F.regexp_extract_all(html, F.lit(PARAGRAPH), F.lit(1)), "|")
-
-
-@query("html_sanitize", f"SELECT page_id, false AS active, md5(array_to_string(regexp_extract_all(html, '{PARAGRAPH}', 1), '|')) AS paragraphs FROM pages")
+@query(
+    "html_sanitize",
+    r"""WITH t AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>|<[^>]*$', '', 'gs') AS x FROM pages)
+SELECT page_id, false AS active, md5(regexp_replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&(?:amp;?)?', '&amp;', 'g')) AS words FROM t""",
+)
 def html_sanitize(t):
+    """Whether anything active is left of a page, and the digest of all its text, which is whole."""
     none, held = F.create_map().cast(EMPTY), F.array().cast("array<bigint>")
     out = t.pages.select("page_id", html.render_column(F.col("html"), none, none, held, F.lit(""), F.lit(True)).alias("h"))
-    return out.select("page_id", F.col("h").rlike(r"(?i)<script|<style|\son[a-z]+=|javascript:").alias("active"), F.md5(_paragraphs(F.col("h"))).alias("paragraphs"))
+    return out.select("page_id", F.col("h").rlike(r"(?i)<script|<style|\son[a-z]+=|javascript:").alias("active"), F.md5(F.regexp_replace("h", "<[^>]*>", "")).alias("words"))
 
 
 def _mask_sql(x: str) -> str:
@@ -122,6 +119,18 @@ def passages_found(t):
     return hits.join(t.benchmark.select("item_id", F.col("text").alias("pattern")), "pattern").select("item_id", F.col("id").alias("doc_id"))
 
 
+_COUNTED = ("p", "li", "ul", "h1", "nav", "article", "footer", "div")
+
+
+@query("tag_balance", "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{n}[ >]')) AS {n}_open, len(regexp_extract_all(html, '<{n}[ >]')) AS {n}_shut" for n in _COUNTED) + " FROM pages")
+def tag_balance(t):
+    """Elements of every page as its tree is written: each that a page begins is there and ends, whatever the page leaves open."""
+    none, held = F.create_map().cast(EMPTY), F.array().cast("array<bigint>")
+    out = t.pages.select("page_id", html.render_column(F.col("html"), none, none, held, F.lit(""), F.lit(True)).alias("h"))
+    of = lambda pattern: F.regexp_count("h", F.lit(pattern)).cast("bigint")
+    return out.select("page_id", *(c for n in _COUNTED for c in (of(f"<{n}[ >]").alias(f"{n}_open"), of(f"</{n}>").alias(f"{n}_shut"))))
+
+
 @query("missing_runs", "SELECT * FROM (VALUES ('abc', 'abc', 0), ('abxyc', 'abc', 2), ('abc', '', 3), ('', 'x', 0)) v(a, b, run)")
 def missing_runs(t):
     df = t.spark.createDataFrame([("abc", "abc"), ("abxyc", "abc"), ("abc", ""), ("", "x")], "a string, b string")

@@ -1,10 +1,11 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from daybook.functions import html
+from daybook.functions import html, tree
 from daybook.functions.media import jpeg_size
 
 
@@ -42,7 +43,8 @@ def test_images_live_and_dead():
 
 def test_own_links_and_users():
     out = html.render('<a href="http://me.invalid/12.html" target="_blank">x</a><lj user="a_b">', held=[12], host="me.invalid", root="../")
-    assert 'href="../entries/12.html"' in out and "noopener" in out and "a-b.invalid" in out
+    assert 'href="../entries/12.html"' in out and "noopener" in out and 'href="https://a-b.livejournal.com/"' in out
+    assert 'href="https://me.invalid/~a-b"' in html.render("<lj comm=a_b>", users="https://me.invalid/~{}")
 
 
 @settings(max_examples=200, deadline=None)
@@ -117,3 +119,88 @@ def plain_missing(a, b):
 @given(st.text("abc", max_size=12), st.text("abcd", max_size=12))
 def test_missing_runs_equal_the_plain_walk(a, b):
     assert html.missing_run(a, b) == plain_missing(a, b)
+
+
+@pytest.mark.parametrize(
+    "source, out",
+    [
+        ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"),
+        ("<b>1<i>2</b>3</i>", "<b>1<i>2</i></b><i>3</i>"),
+        ("<i>a<div>b</i>c</div>d", "<i>a</i><div><i>b</i>c</div>d"),
+        ("<b>1<i>2<p>3</b>4", "<b>1<i>2</i></b><i><p><b>3</b>4</p></i>"),
+        ("<p><b>x<p>y", "<p><b>x</b></p><p><b>y</b></p>"),
+        ("<table><tr><td>a</td>loose</tr></table>", "loose<table><tbody><tr><td>a</td></tr></tbody></table>"),
+        ("<table>x<tr><td>1<td>2<tr><td>3</table>y", "x<table><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table>y"),
+        ("<table><b>x</b></table>", "<b>x</b><table></table>"),
+        ("<table><td><b>x</table>y", "<table><tbody><tr><td><b>x</b></td></tr></tbody></table>y"),
+        ("<table><tr><td><table><tr><td>i</table>o</table>", "<table><tbody><tr><td><table><tbody><tr><td>i</td></tr></tbody></table>o</td></tr></tbody></table>"),
+        ("<td>x</td>y", "xy"),
+        ("<p>a<p>b<div>c</div>d", "<p>a</p><p>b</p><div>c</div>d"),
+        ("<ul><li>1<li>2<ul><li>3</ul><li>4</ul>", "<ul><li>1</li><li>2<ul><li>3</li></ul></li><li>4</li></ul>"),
+        ("<a href=1>x<a href=2>y", "<a>x</a><a>y</a>"),
+        ("a</p>b</br>c", "a<p></p>b<br>c"),
+        ("<lj user=x>t</lj>u", "<lj>tu"),
+        ("<textarea><b>x</textarea>y", "<textarea><b>x</textarea>y"),
+        ("x <b", "x "),
+        ("<lj-cut>a<p>b</lj-cut>c", "<lj-cut>a<p>b</p></lj-cut>c"),
+    ],
+)
+def test_trees_of_soup(source, out):
+    assert tree.outline(source) == out
+
+
+TAGS = "b i a p div table tr td li ul font lj-cut object script br img".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([f"<{t}>" for t in TAGS] + [f"</{t}>" for t in TAGS]), st.sampled_from(["w1 ", "w2 ", "\n"])), max_size=30))
+def test_trees_are_balanced_and_lose_no_word(parts):
+    source = "".join(parts)
+    open_, text = [], []
+    for kind, x in tree.walk(tree.tree(source)):
+        if kind == "start":
+            open_.append(x)
+        elif kind == "end":
+            assert open_.pop() is x
+        else:
+            text.append(x)
+    assert not open_
+    for w in ("w1", "w2"):
+        assert "".join(text).count(w) == source.count(w)
+    balance = []
+    for close, name in re.findall(r"<(/?)([a-z]+)", html.render(source)):
+        if name not in ("br", "img"):
+            assert not close or balance.pop() == name
+            balance += [] if close else [name]
+    assert not balance
+
+
+@pytest.mark.parametrize("soup", ["<b>" * 50_000, "<div>" * 50_000, "<table><tr><td>" * 5_000, "<p><b>" * 20_000, "<a href=x>" * 20_000, "</b>" * 50_000, "<" * 50_000, "&" * 50_000, "<b " * 20_000, "<!--" * 20_000, "<i>" * 200 + "<p>x</i>" * 2_000])
+def test_no_soup_takes_long(soup):
+    began = time.time()
+    assert "end" in html.render(soup + "<x>end") or "<b" in soup or "<!--" in soup
+    html.redact(soup)
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "<base href='//evil.invalid/'>", "<meta http-equiv=refresh content='0;url=//evil.invalid/'>", "<link rel=stylesheet href='//evil.invalid/x.css'>", "<svg><a xlink:href='javascript:evil()'>x</a></svg>",
+        "<a href='data:image/svg+xml,<svg onload=evil()>'>x</a>", "<a href='&#106;avascript:evil()'>x</a>", "<a href='java\tscript:evil()'>x</a>", "<a href='\u00a0javascript:evil()'>x</a>", "<form action='vbscript:evil()'>x</form>",
+        "<b style='background:url(//evil.invalid/x)'>x</b>", "<b style='behavior:evil'>x</b>", "<input formaction='javascript:evil()'>", "<math href='javascript:evil()'>x</math>", "<table background='javascript:evil()'><tr><td>x</table>", "<noscript><style>evil{}</style></noscript>", "<template><script>evil()</script></template>",
+    ],
+)
+def test_only_listed_elements_and_schemes(bad):
+    assert "evil" not in html.render(bad)
+
+
+@pytest.mark.parametrize("good", ["http://a.invalid/x", "//a.invalid/x", "x.html#y", "/x?a=b:c", "mailto:a@b.invalid", "a.invalid:80/x", "#k", "?q=1:2", "FTP://a.invalid/"])
+def test_other_addresses_stay(good):
+    assert html.safe_address(good) and good.lower() in html.render(f"<a href='{good}'>x</a>").lower()
+
+
+def test_posters_belong_to_the_journals_embeds():
+    out = html.render('<iframe src="a"></iframe><object data="b"><embed src="c"></object><video src="d"></video><lj-embed id="1">in</lj-embed><lj-embed id="2">', posters=["http://v.invalid/1", None])
+    assert out.count('class="video"') == 1 and 'href="http://v.invalid/1"' in out and out.count("lost-embed") == 4 and "in" in words(out)
+    assert out.index("lost-embed") < out.index("v.invalid")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,41 @@ def test_set_cover(spark):
     assert assets.set_cover(pairs, 2) == ["b", "a"]
 
 
+def plain_cover(pairs, budget):
+    left, out = set(pairs), []
+    while left and len(out) < budget:
+        counts = {}
+        for i, _ in left:
+            counts[i] = counts.get(i, 0) + 1
+        best = min(counts, key=lambda i: (-counts[i], i))
+        out.append(best)
+        gone = {e for i, e in pairs if i == best}
+        left = {(i, e) for i, e in left if e not in gone}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_set_cover_by_bitmaps(spark, seed):
+    """Against sets, with repeated pairs, elements of several buckets of bits and more steps than there is to cover."""
+    r = random.Random(seed)
+    pairs = [(r.randrange(12), r.randrange(r.choice([5, 90_000]))) for _ in range(2000)]
+    df = spark.createDataFrame(pairs + pairs[:50], "item int, element long").repartition(5)
+    assert assets.set_cover(df, 9) == plain_cover(pairs, 9)
+    assert assets.set_cover(df.where("item < 2"), 9) == plain_cover([p for p in pairs if p[0] < 2], 9)
+    assert assets.set_cover(df.limit(0)) == []
+
+
+def test_set_cover_over_many_buckets(spark):
+    pairs = spark.range(100_000).selectExpr("id % 3 AS item", "id AS element").union(spark.range(40_000).selectExpr("9 AS item", "id AS element"))
+    assert assets.set_cover(pairs) == [9, 0, 1, 2]
+
+
+def test_numbers(spark):
+    rows = spark.createDataFrame([(f"w{i}",) for i in range(500)], "w string").repartition(7)
+    got = [r.w for r in assets.numbers(rows, "w").orderBy("number").collect()]
+    assert got == sorted(got) and assets.numbers(rows, "w").agg({"number": "max"}).first()[0] == 500
+
+
 def test_lost_reasons(spark):
     refs = spark.createDataFrame([(None, "a", "t", 404, None), (None, "b", "t", None, "dns"), (None, "c", None, None, None), ("h", "d", "t", 200, None)], "hash string, source_url string, fetched_at string, http_status int, error string")
     assert {r.source_url: r.reason for r in assets.lost_reasons(refs).collect()} == {"a": "HTTP 404", "b": "dns"}
