@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from daybook.functions import html, scrub, text
 from daybook.plans.registry import query
-from daybook.shared import shared_dir
+from daybook.shared import shared_dir, swept
 from daybook.sources import comments, fetch, xmlrpc
 
 
@@ -28,32 +31,42 @@ def html_references(t):
     return found.select("page_id", "link", text.host_of(F.col("link")).alias("host"))
 
 
-SOUP = [
-    (1, '<p>one<img src="a.png" alt="x"><a href="b.jpg">two</a>\nthree', "https://me.example.invalid/1.html"),
-    (2, '<lj user="Some_One">says </3 <lj-cut text="more">hidden<script>alert(1)</script> rest', "https://me.example.invalid/2.html"),
-    (3, '<iframe src="https://v.example.invalid/1"></iframe><lj-poll-7><a href="javascript:x()" onclick="y()">z</a>', "https://me.example.invalid/3.html"),
-]
 EMPTY = "map<string,string>"
 
 
-@query("html_extract", "SELECT * FROM (VALUES (1, 'https://me.example.invalid/a.png|https://me.example.invalid/b.jpg', '', '', false), (2, '', 'some_one', '', true), (3, '', '', 'iframe', false)) v(id, images, users, embeds, has_cut)")
+@query(
+    "html_extract",
+    """SELECT doc_id, 'https://me.example.invalid/a' || doc_id || '.png|https://me.example.invalid/b.jpg' AS images, lower(source) || '_x' AS users, 'iframe|lj-embed' AS embeds, 'https://v.example.invalid/' || doc_id || '|' || lang AS addresses,
+doc_id % 2 = 0 AS has_cut, CASE WHEN doc_id % 2 = 0 THEN lang END AS cut_text FROM documents""",
+)
 def html_extract(t):
-    df = t.spark.createDataFrame(SOUP, "id int, html string, base string")
-    x = html.extract_udf(F.col("html"), F.col("base"))
-    return df.select("id", F.array_join(x["images"]["url"], "|").alias("images"), F.array_join(x["users"], "|").alias("users"), F.array_join(x["embeds"]["tag"], "|").alias("embeds"), x["has_cut"].alias("has_cut"))
+    """Bodies of tag soup around every text: an image, a link to one, a mention, embeds, a cut that never ends."""
+    n = F.col("doc_id").cast("string")
+    cut = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<lj-cut text="'), "lang", F.lit('"><b>')))
+    parts = [F.lit('<p>one<img src="a'), n, F.lit('.png" alt="x"><a href="b.jpg">two</a>\n'), text.escape_html(F.coalesce("text", F.lit(""))), F.lit('<lj user="'), F.upper("source"), F.lit('_X">'), F.coalesce(cut, F.lit(""))]
+    parts += [F.lit('<iframe src="https://v.example.invalid/'), n, F.lit('"></iframe><script>var a = "<img src=c.png>";</script><lj-embed id="'), F.col("lang"), F.lit('"> end <a href="')]
+    x = html.extract_udf(F.concat(*parts), F.lit("https://me.example.invalid/1.html"))
+    joined = lambda c: F.array_join(c, "|")
+    return t.documents.select("doc_id", joined(x["images"]["url"]).alias("images"), joined(x["users"]).alias("users"), joined(x["embeds"]["tag"]).alias("embeds"), joined(x["embeds"]["url"]).alias("addresses"), x["has_cut"].alias("has_cut"), x["cut_text"].alias("cut_text"))
 
 
 @query(
     "html_render_stats",
-    "SELECT * FROM (VALUES (1, 1, true, 1, false), (2, 0, true, 0, false), (3, 0, false, 2, false)) v(id, breaks, open_end, lost, active)",
+    """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations)
+SELECT conv_id, turn, length(x) - length(replace(x, chr(10), '')) + 1 AS breaks, true AS whole, 3 AS lost, false AS active, md5(x) AS words FROM c""",
 )
 def html_render_stats(t):
-    df = t.spark.createDataFrame(SOUP, "id int, html string, base string")
+    """Every turn as a body with a poll, an embed, a lost image, a handler, an unfinished cut and a table, where line breaks are none."""
+    body = text.escape_html(F.coalesce("text", F.lit("")))
+    raw = F.concat(F.lit('<lj-poll-7>\n<b onclick="y()"><q>'), body, F.lit('</q><iframe src="https://v.example.invalid/1">no</iframe><img src="gone.png"><script>x()</script><table>\n<tr><td>a\nb</table><lj-cut><a href="javascript:x()">the end'))
     none, held = F.create_map().cast(EMPTY), F.array(F.lit(1).cast("bigint"))
-    out = df.select("id", html.render_column(F.col("html"), none, none, held, F.lit("me.example.invalid"), F.lit(False)).alias("h"))
+    out = t.conversations.select("conv_id", "turn", html.render_column(raw, none, none, held, F.lit("me.example.invalid"), F.lit(False)).alias("h"))
+    quoted = F.regexp_extract("h", "(?s)<q>(.*)</q>", 1)
+    for sign, entity in (("<br>\n", "\n"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        quoted = F.replace(quoted, F.lit(sign), F.lit(entity))
     return out.select(
-        "id", F.regexp_count("h", F.lit("<br>")).alias("breaks"), (F.contains("h", F.lit("three")) | F.contains("h", F.lit(" rest"))).alias("open_end"),
-        F.regexp_count("h", F.lit('class="lost')).alias("lost"), F.col("h").rlike("(?i)<script|onclick|javascript:").alias("active"),
+        "conv_id", "turn", F.regexp_count("h", F.lit("<br>")).cast("bigint").alias("breaks"), F.contains("h", F.lit("the end</a></details></b>")).alias("whole"),
+        F.regexp_count("h", F.lit('class="lost')).alias("lost"), F.col("h").rlike("(?i)<script|onclick|javascript:").alias("active"), F.md5(quoted).alias("words"),
     )
 
 
@@ -131,55 +144,76 @@ def tag_balance(t):
     return out.select("page_id", *(c for n in _COUNTED for c in (of(f"<{n}[ >]").alias(f"{n}_open"), of(f"</{n}>").alias(f"{n}_shut"))))
 
 
-@query("missing_runs", "SELECT * FROM (VALUES ('abc', 'abc', 0), ('abxyc', 'abc', 2), ('abc', '', 3), ('', 'x', 0)) v(a, b, run)")
+@query("missing_runs", "SELECT doc_id, (doc_id % 7)::INT AS run FROM documents")
 def missing_runs(t):
-    df = t.spark.createDataFrame([("abc", "abc"), ("abxyc", "abc"), ("abc", ""), ("", "x")], "a string, b string")
-    return df.select("a", "b", html.missing_run_udf(F.col("a"), F.col("b")).alias("run"))
+    """Whole texts against themselves, with signs put in that the other doesn't have."""
+    whole = F.coalesce("text", F.lit(""))
+    more = F.concat(whole, F.repeat(F.lit("\x01"), (F.col("doc_id") % 7).cast("int")), whole, F.lit(""))
+    return t.documents.select("doc_id", html.missing_run_udf(more, F.concat(whole, whole)).alias("run"))
 
 
-@query("bogus_end_tags", "SELECT * FROM (VALUES ('I </3 you', 'I &lt;/3 you'), ('<b>x</b>', '<b>x</b>'), ('</', '&lt;/')) v(raw, escaped)")
+@query("bogus_end_tags", "SELECT doc_id, md5(coalesce(text, '') || ' I &lt;/3 you &lt;/ </b>&lt;/' || doc_id) AS escaped FROM documents")
 def bogus_end_tags(t):
-    df = t.spark.createDataFrame([("I </3 you",), ("<b>x</b>",), ("</",)], "raw string")
-    return df.select("raw", text.escape_bogus_end_tags(F.col("raw")).alias("escaped"))
+    raw = F.concat(F.coalesce("text", F.lit("")), F.lit(" I </3 you </ </b></"), F.col("doc_id").cast("string"))
+    return t.documents.select("doc_id", F.md5(text.escape_bogus_end_tags(raw)).alias("escaped"))
 
 
-EXPORT = """<?xml version="1.0"?><journal><maxid>9</maxid><comments>
-<comment id='3' jitemid='10' posterid='7' state='A'><subject>Hi</subject><body> kept blanks </body><date>2004-01-02T03:04:05Z</date></comment>
-<comment id='4' jitemid='10' parentid='3'><body>anonymous</body></comment>
-<comment id='9' jitemid='11' posterid='7' state='D'/></comments><usermaps><usermap id='7' user='some_one'/></usermaps></journal>"""
+def _landed(t, lines, name: str) -> str:
+    """Writes XML elements, a line each, as documents into a folder, by the executors; returns the folder."""
+    path = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    swept(t.spark, path)
 
+    def document(batches):
+        yield pd.DataFrame({"line": ["<?xml version='1.0'?><journal>"]})
+        for b in batches:
+            yield b
+        yield pd.DataFrame({"line": ["</journal>"]})
 
-def _landed(t, content: str, name: str) -> str:
-    """Puts a document of ours into the shared folder."""
-    jvm = t.spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(t.spark)}/daybook-{name}")
-    out = where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(content.encode()))
-    out.close()
-    return where.toString()
+    lines.select(F.regexp_replace("line", "\n", "&#10;").alias("line")).repartition(3).mapInPandas(document, "line string").write.text(path)
+    return path
 
 
-@query("xml_comments", "SELECT * FROM (VALUES (3, 10, NULL, 7, 'Hi', ' kept blanks ', 'A'), (4, 10, 3, NULL, NULL, 'anonymous', 'A'), (9, 11, NULL, 7, NULL, NULL, 'D')) v(id, jitemid, parentid, posterid, subject, body, state)")
+@query(
+    "xml_comments",
+    """SELECT event_id AS id, user_id AS jitemid, CASE WHEN event_id % 3 > 0 THEN event_id // 2 END AS parentid, CASE WHEN event_id % 5 > 0 THEN user_id + 1 END AS posterid,
+CASE WHEN event_id % 4 > 0 THEN 'A & <b>' END AS subject, CASE WHEN event_id % 4 > 0 THEN '  ' || event_type || chr(10) || ' ' END AS body, CASE WHEN event_id % 4 = 0 THEN 'D' ELSE 'A' END AS state FROM events WHERE event_id > 1""",
+)
 def xml_comments(t):
-    return comments.comment_bodies(t.spark, _landed(t, EXPORT, "export.xml")).drop("date")
+    """An export with a comment for each event, landed in several files: roots and replies, anonymous ones, deleted ones without a body."""
+    own = t.events.where("event_id > 1")
+    head = F.concat(F.lit("<comment id='"), "event_id", F.lit("' jitemid='"), "user_id", F.lit("'"))
+    reply = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(" parentid='"), F.floor(F.col("event_id") / 2), F.lit("'"))).otherwise("")
+    poster = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" posterid='"), F.col("user_id") + 1, F.lit("'"))).otherwise("")
+    told = F.concat(F.lit("><subject>A &amp; &lt;b&gt;</subject><body>  "), "event_type", F.lit("\n </body><date>2004-01-02T03:04:05Z</date></comment>"))
+    end = F.when(F.col("event_id") % 4 == 0, " state='D'/>").otherwise(told)
+    return comments.comment_bodies(t.spark, _landed(t, own.select(F.concat(head, reply, poster, end).alias("line")), "export")).drop("date")
 
 
-@query("xml_posters", "SELECT 7::BIGINT AS posterid, 'some_one' AS username")
+@query("xml_posters", "SELECT c_custkey AS posterid, 'user_' || c_name AS username FROM customer")
 def xml_posters(t):
-    return comments.posters(t.spark, _landed(t, EXPORT, "posters.xml"))
+    lines = t.customer.select(F.concat(F.lit("<usermap id='"), "c_custkey", F.lit("' user='user_"), "c_name", F.lit("'/>")).alias("line"))
+    return comments.posters(t.spark, _landed(t, lines, "posters"))
 
 
-EVENTS = """<?xml version="1.0"?><methodResponse><params><param><value><struct><member><name>events</name><value><array><data><value><struct>
-<member><name>itemid</name><value><int>5</int></value></member><member><name>anum</name><value><int>17</int></value></member>
-<member><name>eventtime</name><value><string>2004-01-02 03:04:00</string></value></member><member><name>event</name><value><base64>w6Q=</base64></value></member>
-<member><name>security</name><value>private</value></member><member><name>props</name><value><struct><member><name>taglist</name><value>a, b,,c</value></member>
-<member><name>opt_preformatted</name><value><int>1</int></value></member></struct></value></member></struct></value></data></array></value></member></struct></value></param></params></methodResponse>"""
-
-
-@query("xml_entries", "SELECT 5::BIGINT AS itemid, 1297::BIGINT AS ditemid, 'ä' AS body, 'private' AS security, 'a|b|c' AS tags, true AS preformatted")
+@query(
+    "xml_entries",
+    """SELECT o_orderkey AS itemid, o_orderkey * 256 + 17 AS ditemid, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS eventtime, 'ä ' || o_orderpriority AS body, CASE WHEN o_orderkey % 3 = 0 THEN 'private' ELSE 'public' END AS security,
+'a|' || o_orderstatus || '|c' AS tags, o_orderkey % 2 = 0 AS preformatted FROM orders""",
+)
 def xml_entries(t):
-    rows = xmlrpc.entries(t.spark.createDataFrame([(EVENTS,)], "xml string"))
-    return rows.select("itemid", "ditemid", "body", "security", F.array_join("tags", "|").alias("tags"), F.map_contains_key("props", "opt_preformatted").alias("preformatted"))
+    """Responses of fifty entries each, made of all orders: bodies in base64, props that may lack, values with and without a type."""
+    member = lambda name, value: F.concat(F.lit(f"<member><name>{name}</name><value>"), value, F.lit("</value></member>"))
+    typed = lambda kind, value: F.concat(F.lit(f"<{kind}>"), value, F.lit(f"</{kind}>"))
+    pre = F.when(F.col("o_orderkey") % 2 == 0, member("opt_preformatted", F.lit("<int>1</int>"))).otherwise("")
+    props = typed("struct", F.concat(member("taglist", F.concat(F.lit("a, "), "o_orderstatus", F.lit(",,c"))), pre))
+    entry = F.concat(
+        F.lit("<value><struct>"), member("itemid", typed("int", F.col("o_orderkey").cast("string"))), member("anum", F.lit("<i4>17</i4>")), member("eventtime", typed("string", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))),
+        member("event", typed("base64", F.base64(F.encode(F.concat(F.lit("ä "), "o_orderpriority"), "UTF-8")))), F.when(F.col("o_orderkey") % 3 == 0, member("security", F.lit("private"))).otherwise(""), member("props", props), F.lit("</struct></value>"),
+    )
+    pages = t.orders.select(F.floor(F.col("o_orderkey") / 50).alias("page"), entry.alias("entry")).groupBy("page").agg(F.array_join(F.collect_list("entry"), "").alias("entries"))
+    xml = F.concat(F.lit("<?xml version='1.0'?><methodResponse><params><param><value><struct><member><name>events</name><value><array><data>"), "entries", F.lit("</data></array></value></member></struct></value></param></params></methodResponse>"))
+    rows = xmlrpc.entries(pages.select(xml.alias("xml")))
+    return rows.select("itemid", "ditemid", "eventtime", "body", "security", F.array_join("tags", "|").alias("tags"), F.coalesce(F.map_contains_key("props", "opt_preformatted"), F.lit(False)).alias("preformatted"))
 
 
 @query("challenge_auth", "SELECT page_id, md5(url || md5('secret')) AS reply FROM pages")
