@@ -31,35 +31,21 @@ def status(store) -> dict[str, int]:
     return {name: store.read(name).count() for name in ("entries", "comments", "users", "assets")}
 
 
-def build(spark, store, root: str) -> int:
-    from pyspark.sql import functions as F
-
-    from daybook.functions import html, text
-    from daybook.operators import assets
+def build(spark, store, root: str, base: str | None = None) -> int:
+    """Writes the site: entries with their comments, all lists and their indexes, calendars, pictures, the dashboard, the home page."""
+    from daybook.operators.archive import Archive
     from daybook.plans import site
 
-    entries = store.read("entries")
-    if not entries.take(1):
+    if not store.read("entries").take(1):
         print("nothing to build: the archive is empty", file=sys.stderr)
         return 2
     store.check()
-    refs, blobs = store.read("asset_refs"), store.read("assets")
-    live, dead = assets.live_paths(refs, blobs), assets.lost_reasons(refs)
-    found = refs.where("context = 'entry'").select(F.col("context_id").alias("itemid"), "source_url").distinct().join(live, "source_url", "left").join(dead, "source_url", "left")
-    pairs = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("source_url", c))))
-    maps = found.groupBy("itemid").agg(pairs("local_path").alias("live"), pairs("reason").alias("dead"))
-    rows = entries.join(maps, "itemid", "left")
-    pre = F.coalesce(F.map_contains_key("props", F.lit("opt_preformatted")), F.lit(False))
-    none = F.create_map().cast("map<string,string>")
-    body = html.render_column(F.col("body"), F.coalesce("live", none), F.coalesce("dead", none), F.array(F.col("ditemid")), F.lit(""), pre)
+    tables = {name: store.read(name) for name in store.tables}
+    me = store.get_state("username")
+    base = base or (f"https://{me.replace('_', '-')}.livejournal.com" if me else "")
     site.start(root)
-    pages = site.entry_pages(rows.select("itemid", text.title(F.col("subject"), F.col("body")).alias("title"), F.col("eventtime").alias("shown"), body.alias("body")))
-    tags = store.read("entry_tags").join(entries.select("itemid", text.title(F.col("subject"), F.col("body")).alias("label")), "itemid")
-    tag_pages = site.list_pages(tags.select(text.slugify(F.col("tag")).alias("slug"), F.col("tag").alias("title"), "itemid", text.escape_html(F.col("label")).alias("label")), "tags")
-    recent = entries.orderBy(F.desc("eventtime"), F.desc("itemid")).limit(30)
-    home = site.list_pages(recent.select(F.lit("recent").alias("slug"), F.lit("Recent").alias("title"), "itemid", text.escape_html(text.title(F.col("subject"), F.col("body"))).alias("label")), "lists")
-    n = site.write_files(pages.unionByName(tag_pages).unionByName(home), root)
-    print(f"{n} pages", file=sys.stderr)
+    told = status(store) | {"pages": sum(site.write_files(pages, root) for pages in site.all_pages(Archive(tables, me, base)))}
+    print(", ".join(f"{n} {name}" for name, n in told.items()), file=sys.stderr)
     return 0
 
 
@@ -116,7 +102,7 @@ def run(a, spark, send=None, get=get) -> int:
     elif a.command == "status":
         told = status(store)
     elif a.command == "build":
-        return build(spark, store, a.out)
+        return build(spark, store, a.out, a.base)
     elif not store.read("entries").take(1):
         print("nothing fetched yet", file=sys.stderr)
         return 2

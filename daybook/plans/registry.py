@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("scalars", "joins", "aggregates", "windows", "trees", "documents_html", "datasets", "extras", "merges")
+MODULES = ("scalars", "joins", "aggregates", "windows", "trees", "documents_html", "datasets", "extras", "merges", "archives")
 
 
 class Tables:
