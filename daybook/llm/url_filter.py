@@ -34,9 +34,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return events.withColumn("until", F.coalesce(until, F.to_date(F.lit(FOREVER)))).where("action = 'add'").select(*key, F.col("day").alias("start"), "until")
 
 
+def plain(url: Column) -> Column:
+    """An address as browsers read its host: without blanks around it and line breaks in it, with slashes for backslashes, two slashes behind a scheme of the web, http where it begins with two slashes."""
+    bare = F.replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", ""), F.lit("\\"), F.lit("/"))
+    return F.regexp_replace(F.regexp_replace(bare, r"^//+", "http://"), r"^(?i)(https?|ftp|wss?):/*", "$1://")
+
+
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user, port and a dot at its end; '' where there is none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*?)\.?(?:[/?#:].*)?$", 1))
+    """The host in lower case, without user, port and dots at its end, addresses of version 6 in their brackets; '' where there is none."""
+    return F.lower(F.regexp_extract(plain(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*(\[[^\]/?#@]*\]|[^/?#:@]*?)\.*(?:[/?#:].*)?$", 1))
 
 
 def suffixes(host: Column) -> Column:
@@ -47,7 +53,7 @@ def suffixes(host: Column) -> Column:
 
 def first_step(url: Column) -> Column:
     """Host and first step of the path."""
-    return F.concat(host_of(url), F.lit("/"), F.regexp_extract(url, r"^[^:]*://[^/?#]*/([^/?#]*)", 1))
+    return F.concat(host_of(url), F.lit("/"), F.regexp_extract(plain(url), r"^[^:]*://[^/?#]*/([^/?#]*)", 1))
 
 
 def as_of(days: DataFrame, valid: DataFrame) -> DataFrame:
@@ -132,8 +138,9 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 360)::INT AS fetched,
-                  rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)*([^/?#:@]*)', 2)), '.') AS host,
-                  regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]*)', 1) AS step FROM pages),
+                  rtrim(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)*(\[[^\]/?#@]*\]|[^/?#:@]*)', 2)), '.') AS host,
+                  regexp_extract(u, '^[^:]*://[^/?#]*/([^/?#]*)', 1) AS step
+           FROM (SELECT *, regexp_replace(regexp_replace(replace(regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]', '', 'g'), chr(92), '/'), '^//+', 'http://'), '(?i)^(https?|ftp|wss?):/*', '\1://') AS u FROM pages)),
 s AS (SELECT page_id, host, string_split(host, '.') AS p FROM c),
 x AS (SELECT page_id, host, 'domain' AS kind, array_to_string(list_slice(p, i, len(p)), '.') AS pattern FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)),
 k AS (SELECT * FROM x UNION ALL SELECT page_id, host, 'path', host || '/' || step FROM c UNION ALL SELECT page_id, host, 'url', url FROM c),

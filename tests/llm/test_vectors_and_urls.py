@@ -92,6 +92,8 @@ def test_hosts_without_user_port_and_last_dot(spark):
     urls = {
         "http://bad.org/": "bad.org", "http://user@bad.org/": "bad.org", "http://u:p@bad.org/x": "bad.org", "http://bad.org./": "bad.org", "HTTPS://U@BAD.org.:80?q": "bad.org", "http://good.org@bad.org/": "bad.org",
         "http://good.org/@bad.org": "good.org", "http://bad.org": "bad.org", "http://bad.org.": "bad.org", "http://a@b@bad.org/": "bad.org", "http://good.org?u@bad.org": "good.org", "no address": "", "http://": "", "mailto:a@bad.org": "",
+        "http://bad.org\\@good.org/": "bad.org", " http://bad.org/": "bad.org", "\thttp://bad.org\n": "bad.org", "http://bad.org../": "bad.org", "//bad.org/": "bad.org", "\\\\bad.org/": "bad.org", "http:/bad.org/": "bad.org", "HTTPS:bad.org": "bad.org",
+        "ht\ntp://bad.org/": "bad.org", "http://[2001:DB8::1]:80/x": "[2001:db8::1]", "http://u@[::1]/": "[::1]", "http://[::1": "[", "ftp:///bad.org": "bad.org", "gopher://bad.org/": "bad.org", "https://": "",
     }
     df = spark.createDataFrame([(i, u, day(0)) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
     entries = spark.createDataFrame([("l", "domain", "bad.org", "add", day(0))], "`list` string, kind string, pattern string, action string, day date")
