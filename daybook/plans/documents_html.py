@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from daybook import sql
 from daybook.functions import html, scrub, text
 from daybook.plans.registry import query
 from daybook.shared import shared_dir, swept
@@ -70,6 +71,26 @@ def html_render_stats(t):
     )
 
 
+@query("lateral_links", """SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<[^>]*$', ''), '<a\\s[^>]*href="[^"]+"[^>]*>'))::BIGINT AS links FROM pages""")
+def lateral_links(t):
+    """The links of pages by a table function in SQL, counted with their places."""
+    sql.register(t.spark)
+    t.pages.createOrReplaceTempView("daybook_pages")
+    return t.spark.sql("SELECT page_id, count(l.url) AS links FROM daybook_pages LEFT JOIN LATERAL page_links(html, url) AS l GROUP BY page_id")
+
+
+@query(
+    "gaps_by_owner",
+    """WITH d AS (SELECT DISTINCT user_id::VARCHAR AS owner, ts::DATE AS day FROM events), g AS (SELECT owner, lag(day) OVER w AS start, day AS until FROM d WINDOW w AS (PARTITION BY owner ORDER BY day))
+SELECT owner, start::VARCHAR AS start, until::VARCHAR AS until, (until - start)::INT AS days FROM g WHERE start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY owner ORDER BY until - start DESC, start) = 1""",
+)
+def gaps_by_owner(t):
+    """The longest silence of each user, by a table function over whole groups in their order."""
+    sql.register(t.spark)
+    t.events.select(F.col("user_id").cast("string").alias("owner"), F.to_date("ts").alias("day")).distinct().createOrReplaceTempView("daybook_days")
+    return t.spark.sql("SELECT * FROM longest_gaps(TABLE(SELECT owner, day FROM daybook_days) PARTITION BY owner ORDER BY day)")
+
+
 @query(
     "html_sanitize",
     r"""WITH t AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>|<[^>]*$', '', 'gs') AS x FROM pages)

@@ -168,6 +168,12 @@ def test_files_progress_sql_surface(spark, tmp_path, archive):
         Event("other")
     assert "missing_run" in daybook.register(spark)
     assert spark.sql("SELECT missing_run('abxyc', 'abc') AS n, redact_html('<p>ab 1') AS r, resolve_url('b', 'http://a.invalid/x') AS u").first()["n"] == 2
+    links = spark.sql("SELECT l.place, l.url FROM VALUES ('<a href=b>x</a><a href=http://c.invalid/>y</a>'), (NULL) AS t(h), LATERAL page_links(h, 'http://a.invalid/') AS l")
+    assert sorted(map(tuple, links.collect())) == [(0, "http://a.invalid/b"), (1, "http://c.invalid/")]
+    gaps = spark.sql("SELECT * FROM longest_gaps(TABLE(SELECT * FROM VALUES ('a', DATE '2004-01-01'), ('a', DATE '2004-01-09'), ('a', DATE '2004-01-05'), ('a', NULL), ('b', DATE '2004-01-01') AS t(owner, day)) PARTITION BY owner ORDER BY day)")
+    assert [tuple(r) for r in gaps.collect()] == [("a", "2004-01-01", "2004-01-05", 4)]
+    refs = spark.sql("SELECT r.* FROM VALUES ('<img src=x.png alt=k>') AS t(h), LATERAL page_references(h, 'http://a.invalid/') AS r")
+    assert [tuple(r) for r in refs.collect()] == [("http://a.invalid/x.png", "x.png", "k", "img")]
     assert daybook.query(archive[0], "SELECT count(*) AS n FROM entries WHERE itemid > :least", least=5).first()["n"] == 2
     assert all(getattr(daybook, name) is not None for name in daybook.__all__)
     with pytest.raises(AttributeError):
