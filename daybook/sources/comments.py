@@ -23,11 +23,18 @@ def posters(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_id").alias("posterid"), F.col("_user").alias("username"))
 
 
-def comment_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Deleted comments come without children: their body is null, which is not ''."""
-    raw = _rows(spark, path, "comment", "_id bigint, _jitemid bigint, _posterid bigint, _parentid bigint, _state string, subject string, body string, date string")
+#: Of a comment in the export.
+BODY = "_id bigint,_jitemid bigint,_posterid bigint,_parentid bigint,_state string,subject string,body string,date string"
+
+
+def bodies_of(raw: DataFrame) -> DataFrame:
     parent = F.nullif("_parentid", F.lit(0))
     return raw.select(
         F.col("_id").alias("id"), F.col("_jitemid").alias("jitemid"), parent.alias("parentid"), F.nullif("_posterid", F.lit(0)).alias("posterid"),
         "subject", "body", "date", comment_state(F.col("_state")).alias("state"),
     )
+
+
+def comment_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Deleted comments come without children: their body is null, which is not ''."""
+    return bodies_of(_rows(spark, path, "comment", BODY))
