@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.functions import harvest, html
+from daybook.functions import harvest, html, sqltext
 from daybook.operators.store import Store
 from daybook.schemas import TABLES
 
@@ -51,7 +51,7 @@ class LongestGaps:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Functions that SQL lacks: extraction, resolving, redaction, gaps, harvest, and table functions. Returns their names."""
+    """Functions that SQL lacks: extraction, resolving, redaction, gaps, harvest, table functions and those of ``sqltext``. Returns their names."""
     made = {
         "extract_html": F.pandas_udf(html.extract_udf.__wrapped__, html.EXTRACTION),
         "resolve_url": F.pandas_udf(html.resolve_udf.__wrapped__, "string"),
@@ -64,7 +64,7 @@ def register(spark: SparkSession) -> list[str]:
     tables = {"page_references": PageReferences, "page_links": PageLinks, "longest_gaps": LongestGaps}
     for name, f in tables.items():
         spark.udtf.register(name, f)
-    return [*made, *tables]
+    return [*made, *tables, *sqltext.create(spark)]
 
 
 def query(store: Store, statement: str, **args) -> DataFrame:

@@ -78,8 +78,10 @@ class Activity(StatefulProcessor):
 
 
 def _timed(events: DataFrame, late: str, owner: str, ts: str) -> DataFrame:
-    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(owner).isNotNull() & F.col(ts).isNotNull())
-    return rows.withWatermark(ts, late)
+    rows = events.where(F.col(owner).isNotNull() & F.col(ts).isNotNull())
+    if events.isStreaming:
+        return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return rows if events.schema[ts].dataType.simpleString().startswith("timestamp") else rows.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull())
 
 
 def _micros(spark: SparkSession, width: str) -> int:
