@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daybook import sql
 from daybook.functions import html, scrub, text
 from daybook.plans.registry import query
-from daybook.shared import shared_dir, swept
+from daybook.shared import shared_dir, swept, written
 from daybook.sources import comments, fetch, xmlrpc
 
 
@@ -141,7 +141,7 @@ def leaked_values(t):
 @query("leaked_after_redaction", "SELECT count(*) AS pages, 0 AS leaks FROM pages")
 def leaked_after_redaction(t):
     """Words removed from pages that still stand in what redaction leaves of any page: there is none."""
-    kept = t.pages.select(html.redact_udf(F.col("html")).alias("r"))
+    kept = written(t.pages.select(html.redact_udf(F.col("html")).alias("r")))  # once, for both sides
     found = scrub.leaks(kept.select(F.explode("r.removed").alias("value")), kept.select(F.col("r.html").alias("text")), allowed=scrub.names_of_markup())
     return t.pages.agg(F.count("*").alias("pages")).select("pages", F.lit(found.count()).cast("long").alias("leaks"))
 
