@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from daybook.functions.text import decode_entities
-from daybook.shared import checkpointed, shared_dir, swept
+from daybook.shared import shared_dir, swept, written
 
 
 def pseudonyms(names: DataFrame, prefix: str = "user") -> DataFrame:
@@ -37,22 +37,23 @@ def redact_prose(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\p{L}", "x"), r"\p{N}", "0")
 
 
-#: Signs of a piece of text in which places are looked up one by one, so that a long text costs no more a sign than a short one.
-PIECE = 256
+#: Signs of a run in an index of long patterns; most signs from one run to the next.
+RUN, PIECE = 16, 256
 
 
 def readings(text: Column) -> Column:
     """What a text says, as an array: itself, with references decoded, with percent signs decoded, and what its base64 elements hold; in lower case, blanks as one space."""
     coded = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<base64>\s*([A-Za-z0-9+/=\s]*?)\s*</base64>"), F.lit(1)), lambda b: F.make_valid_utf8(F.try_to_binary(F.regexp_replace(b, r"\s", ""), F.lit("base64")).cast("string")))
-    decoded = decode_entities(text)
-    percent = F.coalesce(F.try_url_decode(F.replace(decoded, F.lit("+"), F.lit("%2B"))), decoded)
-    every = F.concat(F.array(text, decoded, percent), coded, F.transform(coded, decode_entities))
+    percent = lambda d: F.coalesce(F.try_url_decode(F.replace(d, F.lit("+"), F.lit("%2B"))), d)
+    # arrays of one hand a value on, so that it is worked out once
+    plain = F.flatten(F.transform(F.array(decode_entities(text)), lambda d: F.array(text, d, percent(d))))
+    every = F.flatten(F.transform(F.array(coded), lambda c: F.concat(plain, c, F.transform(c, decode_entities))))
     return F.array_distinct(F.transform(F.filter(every, lambda t: t.isNotNull()), lambda t: F.lower(F.regexp_replace(t, r"\s+", " "))))
 
 
 def patterns(removed: DataFrame, least: int, allowed: list[str] | None = None) -> DataFrame:
     """removed (value) -> value, pattern: what may not be found, the value as it reads and the words in it; none shorter than ``least``, of filler (x and 0) alone, or ``allowed``."""
-    reads = removed.where("value is not null").select("value", F.explode(readings(F.col("value"))).alias("read")).distinct()
+    reads = removed.where("value is not null").select("value").distinct().select("value", F.explode(readings(F.col("value"))).alias("read")).distinct()
     words = F.filter(F.split("read", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least)
     every = reads.select("value", F.explode(F.array_distinct(F.concat(F.array(F.btrim("read")), words))).alias("pattern"))
     kept = every.where((F.length("pattern") >= least) & ~F.col("pattern").rlike(r"^(?:x|0|[^\p{L}\p{N}])*$"))
@@ -61,25 +62,34 @@ def patterns(removed: DataFrame, least: int, allowed: list[str] | None = None) -
     return kept.distinct()
 
 
-def grams(text: Column, n: int) -> Column:
-    """All different runs of n signs in a text, as an array. The text is cut into overlapping pieces first."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PIECE + n - 1}}})).{{1,{PIECE}}}"), F.lit(1))
-    of = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substr(p, i, F.lit(n)))
-    return F.filter(F.array_distinct(F.flatten(F.transform(pieces, of))), lambda g: F.length(g) == n)
+def grams(text: Column, n: int, step: int = 1) -> Column:
+    """The runs of n signs that begin at every ``step``-th sign of a text, as an array, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).{{1,{step}}}"), F.lit(1))
 
 
 def found_in(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(pattern), (id, text) -> pattern, id wherever the text holds the pattern, of n signs at least, anywhere.
 
-    An index from runs of n signs to the texts that hold them is asked for the rarest run of each pattern; a pattern with a run
-    that no text holds is out. What is left is looked up in the texts themselves. Every pattern that stands in a text is found.
+    An index from runs of signs to the texts that hold them, taken at every ``step``-th sign: where the shortest pattern is longer than
+    a run, wherever it stands one of its first ``step`` runs is in the index, and so it is for any ``step`` runs of a pattern that
+    follow each other. A pattern asks for those that fewest texts hold; one of which no text holds any is out. What is left is looked
+    up in the texts themselves. Every pattern that stands in a text is found.
     """
-    indexed = texts.select("id", F.explode(grams(F.col("text"), n)).alias("gram"))
-    asked = wanted.select("pattern").distinct().select("pattern", F.explode(grams(F.col("pattern"), n)).alias("gram"))
-    indexed = checkpointed(indexed.join(asked.select("gram").distinct(), "gram", "left_semi"))
+    every = wanted.select("pattern").where(F.length("pattern") >= n).distinct()
+    shortest = every.agg(F.min(F.length("pattern"))).first()[0]
+    if shortest is None:
+        return texts.where("false").select(F.lit("").alias("pattern"), "id")
+    run = max(n, min(RUN, (shortest + 1) // 2))
+    step = min(shortest - run + 1, PIECE)
+    indexed = texts.select("id", F.explode(F.array_distinct(grams(F.col("text"), run, step))).alias("gram"))
+    asked = every.select("pattern", F.posexplode(grams(F.col("pattern"), run)).alias("at", "gram")).withColumn("group", F.floor(F.col("at") / step))
+    asked = written(asked.where((F.col("group") + 1) * step + run - 1 <= F.length("pattern")).select("pattern", "group", "gram").distinct())
+    indexed = written(indexed.join(asked.select("gram").distinct(), "gram", "left_semi"))
     held = indexed.groupBy("gram").agg(F.count("*").alias("held"))
-    counted = asked.join(held, "gram", "left").groupBy("pattern").agg(F.min(F.coalesce("held", F.lit(0))).alias("least"), F.min_by("gram", F.struct("held", "gram")).alias("gram"))
-    maybe = indexed.join(counted.where("least > 0").select("pattern", "gram"), "gram").select("pattern", "id").distinct()
+    counted = asked.join(held, "gram", "left").groupBy("pattern", "group").agg(F.sum(F.coalesce("held", F.lit(0))).alias("held"))
+    # no occurrence without a run of every group
+    best = counted.groupBy("pattern").agg(F.min(F.struct("held", "group")).alias("best")).where("best.held > 0").select("pattern", F.col("best.group").alias("group"))
+    maybe = indexed.join(asked.join(best, ["pattern", "group"]).select("pattern", "gram"), "gram").select("pattern", "id").distinct()
     return maybe.join(texts, "id").where(F.contains("text", "pattern")).select("pattern", "id")
 
 
