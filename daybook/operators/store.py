@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from daybook.operators.log import CommitLog, applied
 from daybook.schemas import TABLES
+from daybook.shared import written
 
 
 def settled(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -101,6 +102,8 @@ def orphans(child: DataFrame, parent: DataFrame, column: str, key: str) -> DataF
 
 #: Adjacent whole-numbered keys that stay together, so that a page of a source falls into few buckets.
 TOGETHER = 1024
+#: Rows of a bucket that one task writes, about; it sorts what it writes.
+SHARE = 100_000
 
 
 class Conflict(RuntimeError):
@@ -140,23 +143,38 @@ class Transaction:
         whole = isinstance(self.store.tables[name][0][first].dataType, (IntegerType, LongType))
         return F.pmod(F.xxhash64(F.floor(F.col(first) / TOGETHER) if whole else F.col(first)), F.lit(buckets)).cast("int")
 
-    def _write(self, name: str, rows: DataFrame, buckets: int) -> dict:
-        """Rows in their buckets, in a folder of their own; returns {bucket: [folder, rows]}."""
-        schema, folder = self.store.tables[name][0], uuid.uuid4().hex
+    def _write(self, name: str, rows: DataFrame, buckets: int, held: dict[int, int]) -> dict:
+        """Rows in their buckets, in a folder of their own; returns {bucket: [folder, rows]}. ``held`` says how many rows a bucket may have: large ones are dealt to several tasks by their keys, so that no task sorts more than its share."""
+        (schema, key), folder = self.store.tables[name], uuid.uuid4().hex
         path = f"{self.store.root}/{name}/{folder}"
         cast = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).withColumn("bucket", self.bucket(name, buckets))
-        cast.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
-        held = self.spark.read.schema(StructType([*schema, *StructType().add("bucket", "integer")])).parquet(path).groupBy("bucket").count().collect()
-        return {str(b): [folder, n] for b, n in held}
+        large = {b: -(-n // SHARE) for b, n in held.items() if n > SHARE}
+        share = F.lit(0)
+        if large:
+            share = F.pmod(F.xxhash64(*key), F.coalesce(F.create_map(*(F.lit(i) for pair in large.items() for i in pair))[F.col("bucket")], F.lit(1))).cast("int")
+        cast.repartition(max(1, -(-sum(held.values()) // SHARE)), "bucket", share).write.partitionBy("bucket").parquet(path)
+        found = self.spark.read.schema(StructType([*schema, *StructType().add("bucket", "integer")])).parquet(path).groupBy("bucket").count().collect()
+        return {str(b): [folder, n] for b, n in found}
+
+    def _held(self, name: str, rows: DataFrame, buckets: int) -> dict[int, int]:
+        return dict(rows.select(self.bucket(name, buckets).alias("b")).groupBy("b").count().collect())
+
+    def _grown(self, rows: int, buckets: int) -> int:
+        while rows > buckets * self.store.most // 2:
+            buckets *= 2
+        return buckets
 
     def merge(self, name: str, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """``how(old, new)`` of the buckets that new falls into gives their rows; new needs the first column of the key. Where buckets outgrow the store's bound, the table gets more of them."""
         table = self._table(name)
-        touched = {str(r[0]) for r in new.select(self.bucket(name, table["buckets"]).alias("b")).distinct().collect()}
+        more = self._held(name, new, table["buckets"])
+        touched = {str(b) for b in more}
         self._see(name, touched)
         if not touched:
             return
-        parts = self._write(name, how(self._rows(name, {b: p for b, p in table["parts"].items() if b in touched}), new), table["buckets"])
+        old = {b: p for b, p in table["parts"].items() if b in touched}
+        held = {b: n + (table["parts"].get(str(b)) or [None, 0])[1] for b, n in more.items()}
+        parts = self._write(name, how(self._rows(name, old), new), table["buckets"], held)
         change = self.delta["tables"].setdefault(name, {"buckets": table["buckets"], "parts": {}})
         change["parts"] |= {b: parts.get(b) for b in touched} | parts
         self._fit(name)
@@ -165,12 +183,11 @@ class Transaction:
         table, most = self._table(name), self.store.most
         if max((n for _, n in table["parts"].values()), default=0) <= most:
             return
-        rows, buckets = sum(n for _, n in table["parts"].values()), table["buckets"]
-        while rows > buckets * most // 2:
-            buckets *= 2
+        buckets = self._grown(sum(n for _, n in table["parts"].values()), table["buckets"])
         if buckets > table["buckets"]:
             self._see(name, None)
-            self.delta["tables"][name] = {"buckets": buckets, "whole": True, "parts": self._write(name, self._rows(name, table["parts"]), buckets)}
+            rows = self._rows(name, table["parts"])
+            self.delta["tables"][name] = {"buckets": buckets, "whole": True, "parts": self._write(name, rows, buckets, self._held(name, rows, buckets))}
 
     def upsert(self, name: str, new: DataFrame, order: list[str] | None = None) -> None:
         self.merge(name, new, lambda old, rows: upsert(old, rows, self.store.tables[name][1], order))
@@ -179,7 +196,11 @@ class Transaction:
         """Replaces the whole table."""
         self._see(name, None)
         buckets = self._table(name)["buckets"]
-        self.delta["tables"][name] = {"buckets": buckets, "whole": True, "parts": self._write(name, df, buckets)}
+        rows = written(df)  # counted before it is dealt
+        n = rows.count()
+        if n > buckets * self.store.most:
+            buckets = self._grown(n, buckets)
+        self.delta["tables"][name] = {"buckets": buckets, "whole": True, "parts": self._write(name, rows, buckets, self._held(name, rows, buckets))}
         self._fit(name)
 
     def get_state(self, key: str) -> str | None:
