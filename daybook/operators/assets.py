@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from daybook.functions.lazy import arrow_udf
-from daybook.shared import checkpointed
+from daybook.shared import checkpointed, written
 
 
 def host_collapse(refs: DataFrame, min_urls: int = 5, min_share: float = 0.5) -> DataFrame:
@@ -55,33 +52,35 @@ def lost_reasons(refs: DataFrame) -> DataFrame:
     return lost.groupBy("source_url").agg(F.max(reason).alias("reason"))
 
 
-#: Elements of a bucket of bits: 4 KB.
-BITS = 32_768
+#: Elements of a word of bits.
+BITS = 64
 
 
 def set_cover(pairs: DataFrame, budget: int = 16) -> list:
     """Greedy cover: up to ``budget`` items (item, element), each covering most elements not yet covered; smallest item at a tie.
 
-    Elements get whole numbers, and an item becomes a few bitmaps, one for each bucket of numbers it has: the only shuffles of
-    pairs. A step counts what bitmaps have beside those covered so far and takes the covered bits away by and-not, bucket by
-    bucket, so it moves one row a bucket instead of the pairs; the driver sees one item a step. Null items and elements count as
-    items and elements.
+    Elements get whole numbers, and an item becomes the words of 64 bits that it has numbers in: the only shuffles of pairs. A step
+    counts the bits of words that are left and takes the covered ones away by and-not, word by word, so it moves a row a word instead
+    of the pairs, all of it in Spark; the driver sees one item a step. Null items and elements count as items and elements.
     """
     distinct = pairs.select("item", "element").distinct()
     elements = distinct.select("element").distinct()
     order = F.struct(F.xxhash64("element").alias("hash"), "element")
     numbered = numbers(elements.withColumn("order", order), "order").select("element", "number")
     placed = distinct.join(numbered, distinct["element"].eqNullSafe(numbered["element"])).select("item", "number")
-    bits = placed.groupBy("item", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-    left, chosen = checkpointed(bits), []
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("number", F.lit(BITS)).cast("int"))
+    bits = placed.groupBy("item", F.floor(F.col("number") / BITS).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    left, chosen = written(bits), []
     while len(chosen) < budget:
-        best = left.groupBy("item").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0").orderBy(F.desc("n"), "item").first()
+        best = left.groupBy("item").agg(F.sum(F.bit_count("bits")).alias("n")).where("n > 0").orderBy(F.desc("n"), "item").first()
         if best is None:
             break
         chosen.append(best["item"])
-        taken = left.where(F.col("item").eqNullSafe(best["item"])).select("bucket", F.col("bits").alias("_taken"))
-        met = left.join(F.broadcast(taken) if taken.count() < 1000 else taken, "bucket", "left")
-        left = checkpointed(met.select("item", "bucket", F.when(F.col("_taken").isNull(), F.col("bits")).otherwise(_and_not("bits", "_taken")).alias("bits")).where(F.bitmap_count("bits") > 0))
+        if len(chosen) == budget:
+            break
+        taken = left.where(F.col("item").eqNullSafe(best["item"])).select("word", F.col("bits").alias("_taken"))
+        met = left.join(F.broadcast(taken) if taken.count() < 100_000 else taken, "word", "left")
+        left = written(met.select("item", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_taken", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0"))
     return chosen
 
 
@@ -96,9 +95,3 @@ def numbers(rows: DataFrame, order: str) -> DataFrame:
     first = rows.sparkSession.createDataFrame(starts, "_range int, _first long")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     return dealt.withColumn("number", own).join(F.broadcast(first), "_range").withColumn("number", F.col("number") + F.col("_first")).drop("_range", "_first")
-
-
-@arrow_udf("binary")
-def _and_not(bits: pd.Series, taken: pd.Series) -> pd.Series:
-    """The bits of one bitmap that another lacks."""
-    return pd.Series([(np.frombuffer(a, np.uint8) & ~np.frombuffer(b, np.uint8)).tobytes() for a, b in zip(bits, taken)])
