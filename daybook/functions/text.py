@@ -48,7 +48,9 @@ def decode_entities(text: Column, rounds: int = 6) -> Column:
             s = F.replace(s, F.lit(f"&{name};"), F.lit(char))
         return F.replace(s, F.lit("&amp;"), F.lit("&"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda s, _: F.when(F.contains(s, F.lit("&")), once(s)).otherwise(s))
+    # what no round changes is only looked at
+    some = "&(?:#[0-9]{1,7};|#x[0-9A-Fa-f]{1,6};|(?:" + "|".join(name for name, _ in (*NAMED, ("amp", "&"))) + ");)"
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda s, _: F.when(F.contains(s, F.lit("&")) & s.rlike(some), once(s)).otherwise(s))
 
 
 def title(subject: Column, body: Column, most: int = 70) -> Column:
