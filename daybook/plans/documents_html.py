@@ -179,6 +179,10 @@ def bogus_end_tags(t):
     return t.documents.select("doc_id", F.md5(text.escape_bogus_end_tags(raw)).alias("escaped"))
 
 
+#: Elements of a landed document, about.
+LINES = 500_000
+
+
 def _landed(t, lines, name: str) -> str:
     """Writes XML elements, a line each, as documents into a folder, by the executors; returns the folder."""
     path = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
@@ -190,7 +194,8 @@ def _landed(t, lines, name: str) -> str:
             yield b
         yield pd.DataFrame({"line": ["</journal>"]})
 
-    lines.select(F.regexp_replace("line", "\n", "&#10;").alias("line")).repartition(3).mapInPandas(document, "line string").write.text(path)
+    parts = max(3, -(-lines.count() // LINES))
+    lines.select(F.regexp_replace("line", "\n", "&#10;").alias("line")).repartition(parts).mapInPandas(document, "line string").write.text(path)
     return path
 
 
