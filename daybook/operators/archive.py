@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from daybook.functions import html, text
 from daybook.operators import assets, pictures, threads
 from daybook.operators.order import neighbours
-from daybook.shared import checkpointed
+from daybook.shared import written
 
 #: Entries of a list page, comments of a page.
 ENTRIES, COMMENTS = 200, 500
@@ -37,7 +37,7 @@ class Archive:
     def _kept(self, name: str, rows: DataFrame) -> DataFrame:
         """What many pages are made of, written once."""
         if name not in self._written:
-            self._written[name] = checkpointed(rows)
+            self._written[name] = written(rows)
         return self._written[name]
 
     def entries(self) -> DataFrame:
@@ -118,7 +118,7 @@ class Archive:
         found = refs.where(F.col("context") == context).select(F.col("context_id").alias(key), "source_url").distinct().join(live, "source_url", "left").join(dead, "source_url", "left")
         pairs = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("source_url", c))))
         maps = found.groupBy(key).agg(pairs("local_path").alias("live"), pairs("reason").alias("dead"))
-        links = rows.select(key, F.explode(html.extract_udf(F.col("body"), F.lit(self.base + "/"))["links"]).alias("url"))
+        links = rows.select(key, F.explode_outer(html.extract_udf(F.col("body"), F.lit(self.base + "/"))["links"]).alias("url")).where("url is not null")  # outer: no test of sizes that runs the function twice
         own = links.select(key, text.self_item(F.col("url"), F.lit(self.host)).alias("ditemid")).where("ditemid is not null").distinct()
         held = own.join(self.tables["entries"].select("ditemid"), "ditemid", "left_semi").groupBy(key).agg(F.collect_list("ditemid").alias("held"))
         shown = self.tables["entry_embeds"].where(F.col("thumb_hash").isNotNull()).groupBy("ditemid").agg(F.map_from_entries(F.collect_list(F.struct("idx", "url"))).alias("urls"))
